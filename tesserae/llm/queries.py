@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, mixing, url_cascade
+from tesserae.llm import bpe, mixing, toxicity, url_cascade
 from tesserae.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -20,6 +20,11 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -28,7 +33,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""
