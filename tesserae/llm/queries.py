@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.llm import bpe, mixing, toxicity, url_cascade
+from tesserae.llm import bpe, fingerprints, mixing, toxicity, url_cascade
 from tesserae.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -29,11 +29,15 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_cascade.judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprinted(table(spark, sf_dir, "documents"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op10_mixing": op10_mixing}
+QUERIES = {"op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op8_url_filter": r"""
