@@ -107,7 +107,7 @@ def dealt(docs: DataFrame) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    borders = sorted({int(x) for x in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
+    borders = sorted({min(int(x), 2**63 - 1) for x in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
 
     def found(border: list[int], key):
         """How many borders are at most key, by bisection."""
