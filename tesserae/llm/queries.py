@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, fingerprints, mixing, toxicity, url_cascade
+from tesserae.llm import bpe, fingerprints, lines, mixing, toxicity, url_cascade
 from tesserae.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -16,6 +17,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
 
@@ -37,9 +43,29 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {"op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
+    "op1_line_dedup": r"""
+WITH l AS (
+  SELECT doc_id, u.i AS i, u.x AS x, trim(u.x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM documents)),
+n AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE t <> ''),
+w AS (
+  SELECT doc_id, pos,
+         t || chr(10) || lead(t, 1) OVER d || chr(10) || lead(t, 2) OVER d AS win
+  FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+later AS (
+  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM w WHERE win IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT n.doc_id, n.i FROM n JOIN later ON n.doc_id = later.doc_id AND n.pos BETWEEN later.pos AND later.pos + 2)
+SELECT l.doc_id,
+       count(*) FILTER (WHERE t <> '') AS n_lines,
+       count(gone.i) AS n_removed,
+       sha256(coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS text_sha256,
+       length(coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS n_chars
+FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i
+GROUP BY l.doc_id
+""",
     "op8_url_filter": r"""
 WITH p AS (
   SELECT page_id,
