@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, fingerprints, lines, mixing, toxicity, url_cascade
+from tesserae.llm import bpe, fingerprints, lines, lm_scoring, mixing, substrings, toxicity, url_cascade
 from tesserae.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -22,10 +22,19 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"), F.length("text").alias("n_chars"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lm_scoring.scored(docs, lm_scoring.trained(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeated(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.fitted(docs, table(spark, sf_dir, "labels")))
@@ -43,7 +52,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op5_bpe": op5_bpe, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_bpe": op5_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
