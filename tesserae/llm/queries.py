@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.llm import bpe, fingerprints, lines, lm_scoring, mixing, ngram_join, substrings, toxicity, url_cascade
+from tesserae.llm import bpe, fingerprints, lines, lm_scoring, mixing, ngram_join, nn_descent, substrings, toxicity, url_cascade
 from tesserae.llm.common import table
 
 URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -26,6 +26,10 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.linked(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.deduplicated(table(spark, sf_dir, "embeddings"))
+
+
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return lm_scoring.scored(docs, lm_scoring.trained(docs, table(spark, sf_dir, "labels")))
@@ -56,7 +60,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "rate", "copies")
 
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_ngram_join": op2_ngram_join, "op4_lm_scoring": op4_lm_scoring, "op5_bpe": op5_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_ngram_join": op2_ngram_join, "op3_embedding_dedup": op3_embedding_dedup, "op4_lm_scoring": op4_lm_scoring, "op5_bpe": op5_bpe, "op6_substring_dedup": op6_substring_dedup, "op7_toxicity": op7_toxicity, "op8_url_filter": op8_url_filter, "op9_fingerprints": op9_fingerprints, "op10_mixing": op10_mixing}
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
