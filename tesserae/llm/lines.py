@@ -61,3 +61,11 @@ def deduplicated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     stay = F.array_except(F.sequence(F.lit(0), F.size("tess_lines") - 1), F.col("tess_gone"))
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("tess_lines"), i)), "\n")
     return out.withColumn("text", F.when(F.col("tess_gone").isNull(), F.col("text")).otherwise(text)).drop("tess_id", "tess_rid", "tess_gone", "tess_lines")
+
+
+def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:
+    """docs with cleaned texts, n_chars counted anew where it is a column, and without the documents all of whose lines went."""
+    out = deduplicated(docs, width).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)

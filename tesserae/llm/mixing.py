@@ -136,3 +136,10 @@ def mixed(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float =
         every = every.unionByName(now)
     info = [(s, goal[s], float(stats[s]["size"]), 0.0, 0.0, 1) for s in goal]
     return attached(every, info).select("doc_id", "size", F.col("scale").cast("bigint").alias("source_size"), "target", F.col("w").alias("rate"), "copies", (F.col("copies") * F.col("size")).alias("taken"), "rid")
+
+
+def copies_of(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), budget: float = 1.5) -> DataFrame:
+    """docs with each row as often as the mix takes it. Rows that agree in doc_id, source and text are taken alike."""
+    taken = mixed(docs, weights, budget).groupBy(F.col("rid").alias("tess_of")).agg(F.max("copies").alias("tess_n")).where("tess_n > 0")
+    rows = docs.withColumn("tess_rid", F.xxhash64("doc_id", "source", "text")).join(taken, F.col("tess_rid") == F.col("tess_of"))
+    return rows.withColumn("tess_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "tess_n"))).select(*docs.columns)

@@ -331,3 +331,9 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
     out = rows.join(ids, F.col("node") == F.col("k"), "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("component_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def representatives(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS) -> DataFrame:
+    """docs without the documents that a lower doc_id is linked to, directly or through others. Rows with a null id stay; of an id that repeats all rows go if one does."""
+    gone = linked(docs, width, hundredths).where("component_id <> doc_id").select(F.col("doc_id").alias("tess_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("tess_gone"), "left_anti")

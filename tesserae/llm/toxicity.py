@@ -270,3 +270,19 @@ def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
     out = docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
     out = out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_marked", "spans")
     return out if spans else out.drop("spans")
+
+
+def clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't predicted toxic, with all their columns; null and empty texts are scored as such. docs: text at least."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            if batch.num_rows:
+                rows = [m.marks(t.as_py() or "") for t in batch.column(at)]
+                lengths = [r[2] for r in rows]
+                yield batch.filter(pa.array(m.scores(m.marginals([r[:2] for r in rows], lengths), lengths) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
