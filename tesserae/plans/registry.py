@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from tesserae.session import table
 
 
+NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
 class Tables:
     """The driver tables as attributes: t.lineitem reads lineitem on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def sql(self, text: str) -> DataFrame:
+        """Spark SQL over the driver tables; those that the text names become views."""
+        for name in NAMES:
+            if re.search(rf"\b{name}\b", text):
+                table(self.spark, self.sf_dir, name).createOrReplaceTempView(name)
+        return self.spark.sql(text)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
@@ -26,6 +37,10 @@ class Registry:
         self.QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
         self.ORACLE_SQL: dict[str, str] = {}
 
+    def both(self, name: str, sql: str, spark: str | None = None) -> None:
+        """Register SQL that both engines understand, or one text for each."""
+        self.query(sql, name)(lambda t: t.sql(spark or sql))
+
     def query(self, sql: str | None = None, name: str | None = None):
         """Register a function of Tables under its own name, with its SQL if it has one."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +29,16 @@ def local_session(cores: int | str = "*", partitions: int = 8, **more: str) -> S
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One driver table. Spark reads the path, so any store that it knows will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Write to the folder that the cluster names in spark.checkpoint.dir and read again, so that later steps see fixed rows whatever executor is lost. Where it is unset (one machine, as in tests) a folder of our own serves."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
