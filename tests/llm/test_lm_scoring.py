@@ -52,9 +52,11 @@ def test_as_by_dictionaries(spark):
     models = lm.trained(d, spark.createDataFrame(labels, LABELS))
     got = {r["doc_id"]: r for r in lm.scored(d, models).collect()}
     want = brute(docs, {i for i, q, *_ in labels if q})
+    off = []
     for i, (n, target, background) in want.items():
         assert got[i]["n_tokens"] == n
-        assert np.allclose([got[i]["loss_target"], got[i]["loss_background"], got[i]["difference"]], [target, background, target - background], atol=0.05)
+        off.append(np.abs(np.array([got[i]["loss_target"], got[i]["loss_background"], got[i]["difference"]]) - [target, background, target - background]).max())
+    assert np.median(off) < 1e-6 and max(off) < 0.2  # a few bigrams share a slot
     score = lambda k: np.mean([got[i]["difference"] for i in got if (i % 3 == 0) == k])
     assert score(True) < score(False) - 0.2
 
