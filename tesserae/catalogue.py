@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesserae.plans import expressions, relational, tpch
+from tesserae.plans import expressions, relational, scalars, tpch
 
-MODULES = (tpch, expressions, relational)
+MODULES = (tpch, expressions, relational, scalars)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
