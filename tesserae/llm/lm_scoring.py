@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import dropped, saved
 from tesserae.llm.fingerprints import mix
 
 #: Parameters: words in the vocabulary besides the unknown one, bigram slots, weight of the unigram model behind a bigram, and the unigram model's add-on.
@@ -28,7 +29,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The words that are commonest in the whole corpus, ties in code-point order."""
+    """The commonest words of the whole corpus: all that occur at least so often that they number size at most. Ordered by count, ties in code-point order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
@@ -45,8 +46,17 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
         if held:
             yield out()
 
-    counts = docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.col("n").desc(), "word").limit(size).collect()]
+    counts = saved(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
+    # how many words occur how often, in classes that get coarser with the count: a table of bounded size
+    low = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(F.lit(1.02), F.floor(F.log("n") / F.log(F.lit(1.02)))).cast("bigint"))
+    least, room = 2**62, size
+    for r in counts.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("low").desc()).collect():
+        if r["words"] > room:
+            break
+        least, room = r["low"], room - r["words"]
+    kept = counts.where(low >= least).collect()
+    dropped(counts)
+    return [w for _, w in sorted((-r["n"], r["word"]) for r in kept)]
 
 
 def ids_of(texts: list[str | None], number: dict[str, int], unknown: int) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +163,8 @@ def trained(docs: DataFrame, labels: DataFrame) -> Models:
     """Models of the documents labelled as of good quality (target) and of all other documents (background). Every document is counted once a row; contradicting and null labels count as none."""
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("of"))
     words = vocabulary(docs)
-    rows = docs.select("doc_id", "text").join(good, F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("target"))
+    # both tables grow alike, so the join is by sorting at any size
+    rows = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("target"))
     return Models.of(words, counted(rows, words), SLOTS)
 
 
