@@ -19,6 +19,8 @@ TOKEN = re.compile(r"\w+")
 TOKEN_JAVA = r"[\p{L}\p{M}\p{N}_]+"
 #: Bounds of the sample that the model is fitted on: labelled documents of each class, words kept.
 SAMPLE_PER_CLASS, WORDS_KEPT = 10_000, 5_000
+#: Of these the chain's own parameters are fitted on so many, and on no document with more marked words than that.
+CHAIN_SAMPLE, CHAIN_MARKS = 4_000, 256
 #: A word is marked from this log odds on; classes begin at these.
 CLASSES = (2.0, 3.0, 4.0, 5.0, 6.0)
 LEAST_DOCS = 4
@@ -52,7 +54,11 @@ class Chain:
         first = (neutral - low * np.eye(2)) / (top - low)
         return step, np.exp(bias + w), top, low / top, first, np.eye(2) - first
 
-    def run(self, counts: np.ndarray, gaps: np.ndarray, kinds: np.ndarray):
+    def partition(self, counts: np.ndarray, gaps: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+        """The log partition function of each document, by the forward pass alone."""
+        return self.run(counts, gaps, kinds, backward=False)[1]
+
+    def run(self, counts: np.ndarray, gaps: np.ndarray, kinds: np.ndarray, backward: bool = True):
         """Marginals of the marked tokens and the log partition function of each document.
 
         counts: marked tokens of each document, descending; gaps: neutral tokens before each marked one and, in the last column that a document uses, after it; kinds: classes.
@@ -79,6 +85,8 @@ class Chain:
         tail = np.einsum("di,dij,dj->d", now, power(last), ones)
         log_z += np.log(tail) + last * math.log(top)
         out = np.zeros((docs, width))
+        if not backward:
+            return out, log_z
         beta = np.einsum("dij,dj->di", power(last), ones)
         for j in reversed(range(width)):
             n = live[j]
@@ -223,16 +231,21 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     got = sorted(map(tuple, texts.mapInArrow(marked, "toxic int, at array<int>, kind array<int>, n int").collect()), key=repr)
     toxic = np.array([r[0] == 1 for r in got])
     hits, lengths = [(list(r[1]), list(r[2])) for r in got], [r[3] for r in got]
-    counts, gaps, kinds, order = padded(hits, lengths)
-    gold = toxic[order]
+    fit = [i for i in np.random.default_rng(0).permutation(len(got)).tolist() if len(hits[i][0]) <= CHAIN_MARKS][:CHAIN_SAMPLE]
+    groups = []
+    for size in sorted({len(hits[i][0]).bit_length() for i in fit}):
+        some = [i for i in fit if len(hits[i][0]).bit_length() == size]
+        *arrays, order = padded([hits[i] for i in some], [lengths[i] for i in some])
+        groups.append((*arrays, toxic[some][order]))
 
     def loss(x: np.ndarray) -> float:
-        chain = Chain(x)
-        _, log_z = chain.run(counts, gaps, kinds)
-        return float((log_z - chain.score(counts, gaps, kinds, gold)).sum() / len(counts) + 1e-3 * (x @ x))
+        chain, out = Chain(x), 0.0
+        for counts, gaps, kinds, gold in groups:
+            out += float((chain.partition(counts, gaps, kinds) - chain.score(counts, gaps, kinds, gold)).sum())
+        return out / len(fit) + 1e-3 * float(x @ x)
 
     start = np.array([0.0, *np.linspace(1, 4, len(CLASSES)), -4.0, 0.0, -2.0])
-    model.chain = Chain(minimised(loss, start) if len(counts) and counts.max() else start)
+    model.chain = Chain(minimised(loss, start) if any(g[0].any() for g in groups) else start)
     p = model.marginals(hits, lengths)
     x = features(np.array([m.sum() for m in p]), np.array([m.max(initial=0.0) for m in p]), np.array(lengths, float))
     model.weights = logistic(x, toxic.astype(float))
