@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tesserae.plans import catalogs, expressions, relational, scalars, tpch
+from tesserae.plans import catalogs, changes, expressions, relational, scalars, streams, tpch
 
-MODULES = (tpch, expressions, relational, scalars, catalogs)
+MODULES = (tpch, expressions, relational, scalars, catalogs, changes, streams)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
