@@ -49,6 +49,11 @@ def rate() -> Column:
     return F.when(F.col("dual") == math.inf, F.lit(CAP)).when(F.col("dual") == -math.inf, F.lit(0.0)).otherwise(F.least(F.lit(CAP), F.exp(tilt)))
 
 
+def exact_sum(c: Column) -> Column:
+    """A sum that no order of the rows changes: in decimals."""
+    return F.sum(F.round(c, 4).cast("decimal(28,4)")).cast("double")
+
+
 def balanced(docs: DataFrame, goals: dict, scales: dict, iterations: int = 60, close: float = 1e-5) -> dict:
     """The dual variable of each source of docs (source, size), by Newton steps kept within a bracket (a step outside it is replaced by bisection).
 
@@ -69,7 +74,8 @@ def balanced(docs: DataFrame, goals: dict, scales: dict, iterations: int = 60, c
             break
         rows = [(s, goals[s], scales[s], x[0], 0.0, 1) for s, x in state.items()]
         at = attached(docs, rows).withColumn("w", rate())
-        sums = at.groupBy("source").agg(F.sum(F.col("w") * F.col("size")).alias("words"), F.sum(F.when(F.col("w") < CAP, F.col("w") * F.col("size") * F.col("size") / F.col("scale")).otherwise(0.0)).alias("slope")).collect()
+        words, slope = F.col("w") * F.col("size"), F.when(F.col("w") < CAP, F.col("w") * F.col("size") * F.col("size") / F.col("scale")).otherwise(0.0)
+        sums = at.groupBy("source").agg(exact_sum(words).alias("words"), exact_sum(slope).alias("slope")).collect()
         for r in sums:
             x, goal = state[r["source"]], goals[r["source"]]
             error = r["words"] - goal
