@@ -2,7 +2,7 @@
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups, and a document is the point of its groups' counts; two sets share at most the sum of their points' coordinate minima, so a subtree of an R-tree can be passed over when that sum with its box's upper corner is too low. Pairs that survive are verified exactly.
 
-To spread this over a cluster without loss, documents are first routed by the contents of fine groups: sets within the similarity differ in at most r shingles, so of r + 1 groups at least one holds the same shingles in both. Documents that agree in a group are joined into candidate clusters; a linked pair is always in one. Each cluster is cut into leaves of bounded size, and pairs of leaves are joined through R-trees. Only links that join two components leave a task, and leaves that are one component already are not compared again, so a group of thousands of near copies costs about its length, not its square.
+To spread this over a cluster without loss, documents are first routed by the contents of fine groups: sets within the similarity differ in at most r shingles, so of r + 1 groups at least one holds the same shingles in both. Documents that agree in a group share a cell; in each cell an R-tree finds the pairs whose bound reaches the similarity, and such pairs make clusters. Chance agreements, a common line alone in its group, fall to the bound. Each cluster, which by then holds little but real copies, is cut into leaves of bounded size, and pairs of leaves are joined through R-trees and verified. Only links that join two components leave a task, and leaves that are one component already are not compared again, so a group of thousands of near copies costs about its length, not its square.
 """
 
 from __future__ import annotations
@@ -18,49 +18,27 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import components, saved
 from tesserae.llm.fingerprints import mix
-from tesserae.llm.substrings import parts_of
+from tesserae.llm.words import parts_of, shingles_of, words_of
 
-#: Words in a shingle; similarity in hundredths; coordinates of a point; children of a tree node; documents of a leaf.
-SHINGLE, HUNDREDTHS, GROUPS, FANOUT, LEAF = 4, 85, 64, 16, 128
+#: Words in a shingle; similarity in hundredths; shingles that a coordinate counts on average, at most; children of a tree node; documents of a leaf; documents of a cell that one task compares.
+SHINGLE, HUNDREDTHS, DENSITY, FANOUT, LEAF, BLOCK = 4, 85, 8, 16, 128, 512
 BAND = 1.5
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    lens = np.array([len(w) for w in words])
-    flat = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
-    begin = np.cumsum(lens) - lens
-    place = (np.arange(len(flat)) - np.repeat(begin, lens)).astype(np.uint64)
-    return mix(np.add.reduceat(mix((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place), begin) + lens.astype(np.uint64))
-
-
-class Shingler:
-    """Shingle sets of texts, with the word hashes that a task has met."""
-
-    def __init__(self, width: int):
-        self.width, self.number, self.hashes = width, {}, np.zeros(0, np.uint64)
-
-    def sets(self, texts: list[str]) -> list[np.ndarray]:
-        """Sorted distinct shingle hashes of each text. Words are runs of other than ASCII white space, with A-Z lowered."""
-        if len(self.number) > 500_000:
-            self.number, self.hashes = {}, np.zeros(0, np.uint64)
-        number = self.number
-        ids = []
-        for t in texts:
-            ids.append([number.setdefault(w, len(number)) for w in t.encode("utf-8", "surrogatepass").lower().split()])
-        if len(number) > len(self.hashes):
-            self.hashes = np.concatenate([self.hashes, word_hashes(list(number)[len(self.hashes) :])])
-        out = []
-        for one in ids:
-            h = self.hashes[one] if one else np.zeros(0, np.uint64)
-            k = min(self.width, len(h))
-            if not k:
-                out.append(h)
-                continue
-            s = h[: len(h) - k + 1].copy()
-            for j in range(1, k):
-                s = s * np.uint64(0x9E3779B97F4A7C15) + h[j : len(h) - k + 1 + j]
-            out.append(np.unique(mix(s + np.uint64(k))))
-        return out
+def sets_in(texts: list[str], width: int) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text. Words are runs of other than ASCII white space, with A-Z lowered; fewer than width of them are one shingle."""
+    words = words_of(texts)
+    every = shingles_of(words.hashes, width) if len(words.hashes) >= width else np.zeros(0, np.uint64)
+    out = []
+    for a, z in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
+        s = every[a : z - width + 1] if z - a >= width else shingles_of(words.hashes[a:z], z - a) if z > a else words.hashes[:0]
+        s = np.sort(s)
+        if len(s) > 1:
+            new = s[1:] != s[:-1]
+            if not new.all():
+                s = s[np.r_[True, new]]
+        out.append(s)
+    return out
 
 
 def name_of(s: np.ndarray) -> int:
@@ -149,6 +127,22 @@ def survivors(a: Tree, b: Tree, hundredths: int) -> Iterator[tuple[int, np.ndarr
             yield int(i), b.order[at]
 
 
+def point_of(s: np.ndarray, shift: int = 64) -> np.ndarray:
+    """The counts of a set's groups: a power of two of them, so many that a coordinate counts DENSITY shingles on average and none over 255. The hashes' upper bits, of shift in all, name the group, so halving the groups adds neighbours up."""
+    bits = max(4, (len(s) // DENSITY).bit_length())
+    while True:
+        counts = np.bincount((s >> np.uint64(shift - bits)).astype(np.int64), minlength=1 << bits)
+        if len(s) <= 255 or counts.max() <= 255:
+            return counts.astype(np.uint8)
+        bits += 1
+
+
+def points(raw: list[np.ndarray]) -> np.ndarray:
+    """Points of one dimension, the least among them."""
+    dim = min(len(p) for p in raw)
+    return np.array([p.reshape(dim, -1).sum(1) for p in raw], np.int64)
+
+
 class Groups:
     """Union-find over the rows of a task, begun with what is known."""
 
@@ -170,10 +164,10 @@ class Groups:
 
 def joined(left: list[int], right: list[int], sets: list[np.ndarray], known: list, hundredths: int) -> list[tuple[int, int]]:
     """Links between rows left and right (or among left where right is empty) that join two groups."""
-    points = np.array([np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS) for s in sets])
+    every = points([point_of(s, 40) for s in sets])
     groups, out = Groups(known), []
     other = right or left
-    a, b = Tree(points[left]), Tree(points[other])
+    a, b = Tree(every[left]), Tree(every[other])
     for i, js in survivors(a, b, hundredths):
         i = left[i]
         for j in js:
@@ -186,29 +180,41 @@ def joined(left: list[int], right: list[int], sets: list[np.ndarray], known: lis
     return out
 
 
+def near_groups(left: list[int], right: list[int], raw: list[np.ndarray], hundredths: int) -> list[tuple[int, int]]:
+    """Pairs of rows, as joined(), whose bound reaches the similarity; of those that join the same two groups one."""
+    every, label, out = points(raw), np.arange(len(raw)), []
+    other = np.array(right or left)
+    for i, js in survivors(Tree(every[left]), Tree(every[other]), hundredths):
+        i, js = left[i], other[js]
+        for j in js[np.unique(label[js], return_index=True)[1]]:
+            if label[i] != label[j]:
+                label[label == label[j]] = label[i]
+                out.append((i, int(j)))
+    return out
+
+
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and node (name of the shingle set) of each row."""
+    """doc_id, n_shingles, node (name of the shingle set) and point of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in batches:
             for at, texts in parts_of(batch, 1):
-                sets = shingler.sets(texts)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) for s in sets], pa.int64())], ["doc_id", "n_shingles", "node"])
+                sets = sets_in(texts, width)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array([name_of(s) for s in sets], pa.int64()), pa.array([point_of(s).tobytes() if len(s) else b"" for s in sets], pa.binary())], ["doc_id", "n_shingles", "node", "point"])
 
-    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint")
+    return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, point binary")
 
 
 def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
-    """(node, first): nodes that share a route, each with the first that has it. A task sends each distinct set once, so a group of equal copies sends a row for each task, not for each copy."""
+    """(cell, node): nodes that share a route. A cell is named by its members, so those of several routes that hold the same nodes are one. A task sends each distinct set once, so a group of equal copies sends a row for each task, not for each copy."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, seen = Shingler(width), set()
+        seen = set()
         for batch in batches:
             for _, texts in parts_of(batch, 0):
                 keys, nodes = [], []
-                for s in shingler.sets(texts):
+                for s in sets_in(texts, width):
                     node = name_of(s)
                     if len(s) and node not in seen:
                         seen.add(node)
@@ -217,47 +223,100 @@ def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["route", "node"])
 
+    def cells(route: np.ndarray, node: np.ndarray, seen: set) -> Iterator[pa.RecordBatch]:
+        new = np.r_[True, (route[1:] != route[:-1]) | (node[1:] != node[:-1])]
+        route, node = route[new], node[new]
+        begin = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
+        size = np.diff(begin, append=len(route))
+        name = mix(np.add.reduceat(mix(node.view(np.uint64)), begin) + size.astype(np.uint64)).view(np.int64)
+        many = np.flatnonzero(size > 1)
+        many = many[[not (c in seen or seen.add(c)) for c in name[many].tolist()]]
+        if len(many):
+            keep = np.zeros(len(size), bool)
+            keep[many] = True
+            rows = np.repeat(keep, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(name, size)[rows]), pa.array(node[rows])], ["cell", "node"])
+        if len(seen) > 1_000_000:
+            seen.clear()
+
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first, sent = None, 0, set()
+        route, node, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            route, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            begin = np.flatnonzero(np.r_[True, route[1:] != route[:-1]])
-            lead = node[begin].copy()
-            if route[0] == last:
-                lead[0] = first
-            leads = np.repeat(lead, np.diff(begin, append=len(route)))
-            last, first = route[-1], lead[-1]
-            other = node != leads
-            pairs = set(zip(node[other].tolist(), leads[other].tolist(), strict=True)) - sent
-            if len(sent) > 1_000_000:
-                sent = set()
-            sent |= pairs
-            if pairs:
-                a, b = zip(*pairs, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            route, node = np.concatenate([route, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
+            if len(route):
+                last = int(np.searchsorted(route, route[-1], side="left"))
+                if last:
+                    yield from cells(route[:last], node[:last], seen)
+                    route, node = route[last:], node[last:]
+        if len(route):
+            yield from cells(route, node, seen)
 
     sent = docs.select("text").mapInArrow(send, "route bigint, node bigint")
-    return sent.repartition(parts, "route").sortWithinPartitions("route").mapInArrow(meet, "a bigint, b bigint")
+    return sent.repartition(parts, "route").sortWithinPartitions("route", "node").mapInArrow(meet, "cell bigint, node bigint").distinct()
+
+
+def clustered(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, point. A cell of over BLOCK nodes is split, and pairs of blocks are compared apart."""
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
+    rows = cells.join(nodes.select("k", "point"), F.col("node") == F.col("k")).join(sizes, F.col("cell") == F.col("of"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    rows = rows.select(F.xxhash64("cell", low, high).alias("cell"), "node", (F.col("block") > F.col("other")).alias("side"), "point")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, rows, sent = None, [], set()
+
+        def done():
+            if len(rows) > 1:
+                left, right = [i for i, r in enumerate(rows) if not r[1]], [i for i, r in enumerate(rows) if r[1]]
+                found = {(rows[i][0], rows[j][0]) for i, j in near_groups(left, right, [np.frombuffer(r[2], np.uint8) for r in rows], hundredths)} - sent if left else set()
+                sent.update(found)
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for c, *row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+                if c != cell:
+                    yield from done()
+                    cell, rows = c, []
+                    if len(sent) > 1_000_000:
+                        sent = set()
+                rows.append(row)
+        yield from done()
+
+    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
+
+
+def packed(s: np.ndarray) -> bytes:
+    """A sorted set by the upper five bytes of its hashes: enough to tell the shingles of two documents apart."""
+    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    return np.unique(out.view("<u8").ravel())
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node and set of the wanted (of: doc_id, node): one document each."""
+    """node, cluster, leaves, leaf and set of the wanted (of: doc_id, node, cluster, leaves, leaf): one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(width)
         for batch in batches:
-            for _, texts in parts_of(batch, 0):
-                sets = shingler.sets(texts)
-                yield pa.RecordBatch.from_arrays([pa.array([name_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "set"])
+            for at, texts in parts_of(batch, 0):
+                sets = sets_in(texts, width)
+                # a document may repeat its id with other texts: only the wanted one's set counts
+                same = pa.array([name_of(s) == n for s, n in zip(sets, batch.column(1).slice(at, len(texts)).to_pylist(), strict=True)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, len(texts)) for i in range(1, 5)], pa.array([packed(s) for s in sets], pa.binary())], ["node", "cluster", "leaves", "leaf", "set"]).filter(same)
 
-    found = docs.join(wanted, F.col("doc_id") == F.col("of")).select("text").mapInArrow(run, "node bigint, set binary")
-    return found
+    found = docs.join(wanted, F.col("doc_id") == F.col("of")).select("text", "node", "cluster", "leaves", "leaf")
+    return found.mapInArrow(run, "node bigint, cluster bigint, leaves int, leaf int, set binary")
 
 
-def compared(cells: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """Links (a, b) among the nodes of each cell. cells: cell, node, side (0, or 1 for those to be joined with 0 only), known (component so far)."""
+def compared(cells: DataFrame, hundredths: int) -> DataFrame:
+    """Links (a, b) among the nodes of each cell. cells: cell, node, side (0, or 1 for those to be joined with 0 only), known (component so far), set."""
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,7 +324,7 @@ def compared(cells: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
 
         def done():
             if len(rows) > 1:
-                sets = [np.frombuffer(r[3], np.uint64) for r in rows]
+                sets = [unpacked(r[3]) for r in rows]
                 left = [i for i, r in enumerate(rows) if not r[1]]
                 right = [i for i, r in enumerate(rows) if r[1]]
                 links = joined(left, right, sets, [r[2] for r in rows], hundredths)
@@ -280,9 +339,7 @@ def compared(cells: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
                 rows.append(row)
         yield from done()
 
-    of = sets.withColumnRenamed("node", "of")
-    rows = cells.join(of, F.col("node") == F.col("of")).select("cell", "node", "side", "known", "set")
-    return rows.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
 
 
 def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS) -> DataFrame:
@@ -293,38 +350,39 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = saved(described(docs, width), "nodes")
     docs = docs.where("doc_id is not null")
-    clusters = components(meetings(docs, width, hundredths))
+    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("of"), F.first("point").alias("point")).withColumnRenamed("node", "k")
+    cells = saved(meetings(docs, width, hundredths), "cells")
+    clusters = components(clustered(cells, one, hundredths))
     clusters = saved(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("of")).withColumnRenamed("node", "k")
-    wanted = one.join(clusters, F.col("k") == F.col("node"), "left_semi").select("of")
-    # a document may repeat its id with other texts: all of its sets are made, and those that nobody wants fall away in the join
+    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("leaves")).withColumnRenamed("cluster", "c")
+    leaves = clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
+    wanted = one.join(leaves, F.col("k") == F.col("node")).select("of", "node", "cluster", "leaves", "leaf")
     sets = saved(sets_of(docs, wanted, width), "sets")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("leaves")).withColumnRenamed("cluster", "of")
-    leaves = clusters.join(sizes, F.col("cluster") == F.col("of")).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int")).select("node", "cluster", "leaves", "leaf")
-    leaves = saved(leaves, "leaves")
 
     def cell(a, b):
         return F.xxhash64("cluster", a, b).alias("cell")
 
     # first round: each leaf in itself, and all leaves of a cluster with its first
-    within = leaves.select(cell(F.col("leaf"), F.col("leaf")), "node", F.lit(0).alias("side"), F.col("node").alias("known"))
-    star = leaves.where("leaves > 1").withColumn("to", F.explode(F.when(F.col("leaf") == 0, F.sequence(F.lit(1), F.col("leaves") - 1)).otherwise(F.array("leaf"))))
-    star = star.select(cell(F.lit(0), F.col("to")), "node", (F.col("leaf") > 0).cast("int").alias("side"), F.col("node").alias("known"))
-    links = saved(compared(within.unionByName(star), sets, hundredths), "links")
+    to = F.when((F.col("leaf") == 0) & (F.col("leaves") > 1), F.sequence(F.lit(0), F.col("leaves") - 1)).when(F.col("leaf") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("leaf")))
+    dealt = sets.withColumn("to", F.explode(to))
+    low = F.when((F.col("leaf") > 0) & (F.col("to") == 0), F.lit(0)).otherwise(F.col("leaf"))
+    high = F.when((F.col("leaf") > 0) & (F.col("to") == 0), F.col("leaf")).otherwise(F.col("to"))
+    first = dealt.select(cell(low, high), "node", (low != F.col("leaf")).cast("int").alias("side"), F.col("node").alias("known"), "set")
+    links = saved(compared(first, hundredths), "links")
     # second round: pairs of other leaves that are not one component by now
-    if leaves.where("leaves > 2").limit(1).count():
+    if sets.where("leaves > 2").limit(1).count():
         now = components(links).withColumnRenamed("node", "of")
-        marked = leaves.where("leaves > 2 and leaf > 0").join(now, F.col("node") == F.col("of"), "left").select("node", "cluster", "leaves", "leaf", F.coalesce("component", "node").alias("known"))
+        marked = sets.where("leaves > 2 and leaf > 0").join(now, F.col("node") == F.col("of"), "left").select("node", "cluster", "leaf", F.coalesce("component", "node").alias("known"), "set")
         marked = saved(marked, "marked")
-        boxes = marked.groupBy("cluster", "leaf", "leaves").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+        boxes = marked.groupBy("cluster", "leaf").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
         one_side, other = boxes.select(*[F.col(c).alias(f"{c}_a") for c in boxes.columns]), boxes.select(*[F.col(c).alias(f"{c}_b") for c in boxes.columns])
         pairs = one_side.join(other, (F.col("cluster_a") == F.col("cluster_b")) & (F.col("leaf_a") < F.col("leaf_b"))).where("lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b")
         sides = pairs.select(F.col("cluster_a").alias("c"), "leaf_a", "leaf_b", F.explode(F.array(F.struct(F.col("leaf_a").alias("l"), F.lit(0).alias("side")), F.struct(F.col("leaf_b").alias("l"), F.lit(1).alias("side")))).alias("s"))
         sides = sides.select("c", "leaf_a", "leaf_b", "s.l", "s.side")
-        again = marked.join(sides, (F.col("cluster") == F.col("c")) & (F.col("leaf") == F.col("l"))).select(cell(F.col("leaf_a"), F.col("leaf_b")), "node", "side", "known")
-        links = saved(links.unionByName(compared(again, sets, hundredths)), "links")
+        again = marked.join(sides, (F.col("cluster") == F.col("c")) & (F.col("leaf") == F.col("l"))).select(cell(F.col("leaf_a"), F.col("leaf_b")), "node", "side", "known", "set")
+        links = saved(links.unionByName(compared(again, hundredths)), "links")
     found = components(links).withColumnRenamed("node", "k")
-    named = one.join(found.withColumnRenamed("k", "n"), F.col("k") == F.col("n"), "left").select("k", "of", F.coalesce("component", "k").alias("component"))
+    named = one.drop("point").join(found.withColumnRenamed("k", "n"), F.col("k") == F.col("n"), "left").select("k", "of", F.coalesce("component", "k").alias("component"))
     named = saved(named, "named")
     least = named.groupBy("component").agg(F.min("of").alias("component_id")).withColumnRenamed("component", "c")
     ids = named.join(least, F.col("component") == F.col("c")).select("k", "component_id")
