@@ -14,11 +14,13 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import components, saved
 from tesserae.llm.fingerprints import mix
+from tesserae.llm.words import parts_of, shingles_of, words_of
 
 LEAST_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
 #: Distinct texts of a band's bucket that one task compares; larger buckets are compared block by block.
 BLOCK = 1024
-PART_CHARS = 1_000_000
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 64) -> tuple[int, int]:
@@ -30,61 +32,15 @@ def tuned(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 64)
     raise ValueError("no banding reaches this recall")
 
 
-class Words:
-    """Word hashes of a worker, and whether a word ends a sentence."""
-
-    def __init__(self):
-        self.number: dict[str, int] = {}
-        self.hashes, self.ends = np.zeros(0, np.uint64), np.zeros(0, bool)
-
-    def ids(self, words: list[str]) -> list[int]:
-        number = self.number
-        return [number.setdefault(w, len(number)) for w in words]
-
-    def settle(self) -> None:
-        """Hash the words that are new."""
-        if len(self.number) > len(self.hashes):
-            new = list(self.number)[len(self.hashes) :]
-            self.hashes = np.concatenate([self.hashes, hashed(new)])
-            self.ends = np.concatenate([self.ends, np.fromiter((w[-1] in ".!?" for w in new), bool, len(new))])
-
-    def forget(self) -> None:
-        if len(self.number) > 500_000:
-            self.__init__()
-
-
-def hashed(words: list[str]) -> np.ndarray:
-    """64-bit polynomial hashes of words, by columns of their bytes."""
-    raw = [w.encode("utf-8", "surrogatepass") for w in words]
-    lens = np.array([len(r) for r in raw])
-    flat = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    place = np.arange(len(flat)) - np.repeat(np.cumsum(lens) - lens, lens)
-    return mix(np.add.reduceat(mix((flat + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64)), np.cumsum(lens) - lens) + lens.astype(np.uint64))
-
-
-def paragraphs(texts: list[str], words: Words):
+def paragraphs(texts: list[str]):
     """Of the texts' paragraphs: document index, first word, word after the last (counted in the document), hash; and the shingle hashes with each paragraph's span in them."""
-    flat: list[int] = []
-    breaks: list[int] = []
-    lens = []
-    for text in texts:
-        before = len(flat)
-        for line in text.lower().split("\n"):
-            flat += words.ids(line.split())
-            breaks.append(len(flat))
-        lens.append(len(flat) - before)
-    words.settle()
-    ids, lens = np.array(flat, np.int64), np.array(lens)
-    n, begin = len(ids), np.cumsum(lens) - lens
+    words = words_of(texts, lines=True)
+    begin, lens, n = words.first[:-1], np.diff(words.first), len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < SHINGLE:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
-    h = words.hashes[ids]
-    shingles = h[: n - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        shingles = shingles * np.uint64(0x9E3779B97F4A7C15) + h[k : n - SHINGLE + 1 + k]
-    shingles = mix(shingles)
-    ends = np.unique(np.concatenate([np.flatnonzero(words.ends[ids]) + 1, np.array(breaks), begin + lens]))
+    shingles = shingles_of(words.hashes, SHINGLE)
+    ends = np.flatnonzero(_STOP[words.last] | np.r_[words.lines[1:] > words.lines[:-1], True]) + 1
     ends = ends[ends > 0]
     starts = np.unique(np.concatenate([[0], ends[:-1]]))
     doc = np.searchsorted(begin + lens, starts, side="right")
@@ -99,18 +55,9 @@ def paragraphs(texts: list[str], words: Words):
     return doc, starts - begin[doc], stops - begin[doc], text_hash, shingles, starts, last
 
 
-def parts_of(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[str]]]:
-    """Consecutive texts of a batch, about PART_CHARS characters at a time, with the first one's row."""
-    at, chars, texts = 0, 0, []
-    for i, text in enumerate(batch.column(column)):
-        texts.append(text.as_py() or "")
-        chars += len(texts[-1])
-        if chars >= PART_CHARS or i == batch.num_rows - 1:
-            yield at, texts
-            at, chars, texts = i + 1, 0, []
-
-
-KEYS = "band bigint, hash bigint, doc_id bigint, start int, stop int, known boolean"
+#: flags: 2 for a paragraph known to repeat, 4 for a row of the first band.
+KEYS = "band bigint, hash bigint, doc_id bigint, start int, stop int, flags int"
+FOUND = KEYS.replace("flags int", "rival boolean")
 
 
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -122,12 +69,10 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
     names = [x.split(" ")[0] for x in KEYS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for at, texts in parts_of(batch, 1):
-                doc, start, stop, text_hash, shingles, a, z = paragraphs(texts, words)
-                words.forget()
+                doc, start, stop, text_hash, shingles, a, z = paragraphs(texts)
                 if not len(doc):
                     continue
                 spans = np.stack([a, z], 1).ravel()
@@ -137,7 +82,7 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     for r in range(rows):
                         seed = mix(np.array([b * rows + r + 1], np.uint64))[0]
                         key = mix(key ^ np.minimum.reduceat(mix(padded ^ seed), spans)[::2]) + np.uint64(b)
-                    rows_out = [key.view(np.int64), text_hash.view(np.int64), ids[at + doc], start.astype(np.int32), stop.astype(np.int32), np.zeros(len(doc), bool)]
+                    rows_out = [key.view(np.int64), text_hash.view(np.int64), ids[at + doc], start.astype(np.int32), stop.astype(np.int32), np.full(len(doc), 4 * (b == 0), np.int32)]
                     if b == 0:
                         order = np.argsort(text_hash, kind="stable")
                         same = np.flatnonzero(np.r_[True, text_hash[order][1:] != text_hash[order][:-1]])
@@ -148,7 +93,7 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                         stands[order[same]] = True
                         lone = [x[several] for x in rows_out]
                         lone[0] = mix(key[several] ^ mix(doc[several].astype(np.uint64) + text_hash[several])).view(np.int64)
-                        lone[5] = np.ones(len(lone[0]), bool)
+                        lone[5] = np.full(len(lone[0]), 2, np.int32)
                         rows_out = [np.concatenate([x[stands], y]) for x, y in zip(rows_out, lone, strict=True)]
                     else:
                         rows_out = [x[stands] for x in rows_out]
@@ -158,35 +103,49 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
 
 def shared(keys: DataFrame) -> DataFrame:
-    """Of the rows of keys those known to repeat and those whose band two documents or more have, or one at places that don't overlap. A band's rows are held only until that is certain."""
+    """What the bands show: places of paragraphs that repeat word for word (rival false; from the first band, where equal ones meet, and those known before), and of each band with different texts one place of each (rival true).
+
+    Different texts whose first places lie in one document are no rivals: what repeats either is told by that document anyway, and overlapping paragraphs are alike of themselves.
+    """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
+    def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        band, text, doc, flags = (table.column(i).to_numpy() for i in (0, 1, 2, 5))
+        begin = np.r_[True, (band[1:] != band[:-1]) | (text[1:] != text[:-1])]
+        at = np.flatnonzero(begin)
+        size = np.diff(at, append=len(band))
+        place = ((flags & 4) > 0) & np.repeat(size > 1, size) | ((flags & 2) > 0)
+        if place.any():
+            yield from out(table.filter(pa.array(place)), False)
+        # the first place of each text, band by band
+        band, doc = band[at], doc[at]
+        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        count = np.diff(first, append=len(band))
+        rivals = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
+        if rivals.any():
+            yield from out(table.take(pa.array(at[np.repeat(rivals, count)])), True)
+
+    def out(table: pa.Table, rival: bool) -> Iterator[pa.RecordBatch]:
+        for batch in table.to_batches():
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.full(batch.num_rows, rival))], ["band", "hash", "doc_id", "start", "stop", "rival"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        certain = None  # the last band, if it is known to be shared
         for batch in batches:
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch])
             if held is not None:
                 table = pa.concat_tables([held, table])
-            band, doc = table.column(0).to_numpy(), table.column(2).to_numpy()
-            start, stop = table.column(3).to_numpy(), table.column(4).to_numpy()
-            first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-            many = (np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)) | (np.maximum.reduceat(start, first) >= np.minimum.reduceat(stop, first))
-            many[0] |= band[0] == certain if certain is not None else False
-            keep = np.repeat(many, np.diff(first, append=len(band))) | table.column(5).to_numpy()
-            certain = band[-1] if many[-1] else None
-            held = None if many[-1] else table.slice(int(first[-1]))
-            upto = len(band) if many[-1] else int(first[-1])
-            if keep[:upto].any():
-                yield from table.slice(0, upto).filter(pa.array(keep[:upto])).to_batches()
+            band = table.column(0).to_numpy()
+            last = int(np.flatnonzero(np.r_[True, band[1:] != band[:-1]])[-1])
+            if last:
+                yield from emit(table.slice(0, last))
+            held = table.slice(last)
         if held is not None:
-            keep = held.column(5).to_numpy()
-            if keep.any():
-                yield from held.filter(pa.array(keep)).to_batches()
+            yield from emit(held)
 
-    return keys.repartition(parts, "band").sortWithinPartitions("band").mapInArrow(run, KEYS)
+    return keys.repartition(parts, "band").sortWithinPartitions("band", "hash", "doc_id", "start").mapInArrow(run, FOUND)
 
 
 def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFrame:
@@ -261,12 +220,10 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     spans = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("hash", "start", "stop")).alias("spans")).withColumnRenamed("doc_id", "of")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
         for batch in batches:
             spans_of = batch.column(1)
             for at, texts in parts_of(batch, 0):
-                doc, start, stop, text_hash, shingles, a, z = paragraphs(texts, words)
-                words.forget()
+                _, _, _, text_hash, shingles, a, z = paragraphs(texts)
                 want = {s["hash"] for i in range(len(texts)) for s in spans_of[at + i].as_py()}
                 rows = {int(h): k for k, h in enumerate(text_hash.view(np.int64).tolist()) if h in want}
                 yield pa.RecordBatch.from_arrays([pa.array(list(rows), pa.int64()), pa.array([np.unique(shingles[a[k] : z[k]]).tobytes() for k in rows.values()], pa.binary())], ["hash", "set"])
@@ -283,18 +240,20 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bands, rows = tuned(similarity, recall)
     found = saved(shared(keyed(docs, bands, rows)), "bands")
-    places = found.select("hash", "doc_id", "start", "stop").distinct()
-    rivals = found.where("not known").select("band", "hash").distinct()
-    crowded = rivals.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("of"))
-    rivals = saved(rivals.join(crowded, F.col("band") == F.col("of"), "left_semi"), "rivals")
-    wanted = rivals.select(F.col("hash").alias("of")).distinct()
-    one = places.join(wanted, F.col("hash") == F.col("of"), "left_semi").groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("p")).select("hash", "p.*")
-    links = verified(shingle_sets(docs, one), rivals, similarity)
+    rivals = found.where("rival")
+    one = rivals.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("p")).select("hash", "p.*")
+    links = verified(shingle_sets(docs, one), rivals.select("band", "hash"), similarity)
     of = components(links).withColumnRenamed("node", "of")
-    places = places.join(of, F.col("hash") == F.col("of"), "left").select("doc_id", "start", "stop", F.coalesce("component", "hash").alias("component"))
+    places = found.where("not rival").select("hash", "doc_id", "start", "stop")
+    linked = one.join(of, F.col("hash") == F.col("of"), "left_semi")
+    places = places.unionByName(linked)
     place: Column = F.struct("doc_id", "start", "stop")
-    first = places.groupBy("component").agg(F.min(place).alias("a"), F.max(place).alias("z")).where("a <> z").select(F.col("component").alias("of"), F.col("a.doc_id").alias("of_doc_id"), F.col("a.stop").alias("of_stop"))
-    later = places.join(first, F.col("component") == F.col("of")).where("doc_id <> of_doc_id or start >= of_stop")
+    texts = places.groupBy("hash").agg(F.min(place).alias("a"), F.max(place).alias("z"))
+    texts = texts.join(of, F.col("hash") == F.col("of"), "left").select("hash", "a", "z", F.coalesce("component", "hash").alias("component"))
+    texts = saved(texts, "texts")
+    first = texts.groupBy("component").agg(F.min("a").alias("first"), F.max("z").alias("last")).where("first <> last").select(F.col("component").alias("c"), "first")
+    firsts = texts.join(first, F.col("component") == F.col("c")).select(F.col("hash").alias("of"), F.col("first.doc_id").alias("of_doc_id"), F.col("first.stop").alias("of_stop"))
+    later = places.join(firsts, F.col("hash") == F.col("of")).where("doc_id <> of_doc_id or start >= of_stop")
     spans = later.groupBy("doc_id", "of_doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("spans"))
     merged = F.aggregate(
         "spans",

@@ -46,8 +46,7 @@ def test_near_copies_of_a_paragraph_are_linked_as_brute_force_says(spark):
             words[rng.randint(0, len(words) - 1)] = "changed"
         rows.append((i, " ".join(words), None, None))
     got = {(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated(spark.createDataFrame(rows, SCHEMA), recall=0.9999).collect()}
-    words = substrings.Words()
-    doc, start, stop, text_hash, shingles, a, z = substrings.paragraphs([r[1] for r in rows], words)
+    doc, start, stop, text_hash, shingles, a, z = substrings.paragraphs([r[1] for r in rows])
     sets = [set(shingles[x:y].tolist()) for x, y in zip(a, z, strict=True)]
     group = list(range(len(sets)))
     for i in range(len(sets)):
