@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -15,10 +17,9 @@ QUERIES, ORACLE_SQL = _r.QUERIES, _r.ORACLE_SQL
 @_r.query("SELECT p_partkey, p_size FROM part UNION ALL SELECT 1000000 + n_nationkey, 7 FROM nation WHERE n_regionkey = 1")
 def dml_insert_select(t):
     """INSERT ... SELECT with a column list, into a table."""
-    t.spark.sql("DROP TABLE IF EXISTS tesserae_part")
-    t.part.select("p_partkey", "p_size").write.mode("overwrite").saveAsTable("tesserae_part")
-    t.nation.where("n_regionkey = 1").select((F.col("n_nationkey") + 1000000).cast("bigint").alias("p_partkey"), F.lit(7).alias("p_size")).write.insertInto("tesserae_part")
-    return t.spark.table("tesserae_part")
+    name = t.create(t.part.select("p_partkey", "p_size"))
+    t.nation.where("n_regionkey = 1").select((F.col("n_nationkey") + 1000000).cast("bigint").alias("p_partkey"), F.lit(7).alias("p_size")).write.insertInto(name)
+    return t.spark.table(name)
 
 
 _SOURCE = "SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey ELSE p_partkey + 1000000 END AS p_partkey, p_size + 1 AS p_size FROM part WHERE p_partkey % 5 = 0"
@@ -89,10 +90,10 @@ def dml_returning_old_new(t):
 
 @_r.query("SELECT 0::BIGINT AS n")
 def dml_truncate(t):
-    t.spark.sql("DROP TABLE IF EXISTS tesserae_gone")
-    t.region.write.mode("overwrite").saveAsTable("tesserae_gone")
-    t.spark.sql("TRUNCATE TABLE tesserae_gone")
-    return t.spark.table("tesserae_gone").agg(F.count(F.lit(1)).alias("n"))
+    name = f"tesserae_{uuid.uuid4().hex}"
+    t.region.write.saveAsTable(name)  # Spark truncates managed tables only
+    t.spark.sql(f"TRUNCATE TABLE {name}")
+    return t.spark.table(name).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_r.query("SELECT l_orderkey, l_linenumber, count(*) > 0 AS there FROM lineitem GROUP BY ALL")

@@ -82,9 +82,7 @@ _r.both("expr_table", "TABLE region")
 def expr_select_into(t):
     """SELECT INTO: the result becomes a table, which is then read."""
     rows = t.customer.where("c_acctbal > 5000").select("c_custkey", "c_name", "c_acctbal")
-    t.spark.sql("DROP TABLE IF EXISTS tesserae_rich")
-    rows.write.mode("overwrite").saveAsTable("tesserae_rich")
-    return t.spark.table("tesserae_rich")
+    return t.spark.table(t.create(rows))
 
 
 @_r.query("SELECT count(*) BETWEEN 0 AND (SELECT count(*) FROM orders) AS within_bounds FROM orders")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tesserae.session import table
+from tesserae.session import shared_dir, table
 
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -26,6 +27,14 @@ class Tables:
                 table(self.spark, self.sf_dir, name).createOrReplaceTempView(name)
         return self.spark.sql(text)
 
+    def create(self, rows: DataFrame, **layout) -> str:
+        """Write rows as a table of a new name, its files in the shared folder; returns the name."""
+        from tesserae.sources.writers import create_layout
+
+        name = f"tesserae_{uuid.uuid4().hex}"
+        create_layout(rows, name, path=f"{shared_dir(self.spark)}/{name}", **layout)
+        return name
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

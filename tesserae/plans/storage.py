@@ -138,14 +138,14 @@ def src_range_dictionary(t):
 @_r.query("SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 def src_table_layout(t):
     """Two tables bucketed alike join without moving either."""
-    o = writers.create_layout(t.orders.select("o_orderkey", "o_custkey"), "tesserae_orders", buckets=(4, "o_custkey"), order=["o_custkey"])
-    c = writers.create_layout(t.customer.select("c_custkey"), "tesserae_customer", buckets=(4, "c_custkey"), order=["c_custkey"])
+    o = t.spark.table(t.create(t.orders.select("o_orderkey", "o_custkey"), buckets=(4, "o_custkey"), order=["o_custkey"]))
+    c = t.spark.table(t.create(t.customer.select("c_custkey"), buckets=(4, "c_custkey"), order=["c_custkey"]))
     return o.join(c, o["o_custkey"] == c["c_custkey"]).groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_r.query("SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_returnflag")
 def src_partition_pruning(t):
-    f = writers.create_layout(t.lineitem.select("l_orderkey", "l_returnflag"), "tesserae_flags", partition=["l_returnflag"])
+    f = t.spark.table(t.create(t.lineitem.select("l_orderkey", "l_returnflag"), partition=["l_returnflag"]))
     return f.where("l_returnflag = 'R'").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 

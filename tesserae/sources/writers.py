@@ -47,11 +47,13 @@ def replace_folder(spark: SparkSession, path: str, write: Callable[[str], None])
         fs.delete(Path(old), True)
 
 
-def create_layout(rows: DataFrame, name: str, partition: Sequence[str] = (), buckets: tuple[int, str] | None = None, order: Sequence[str] = ()) -> DataFrame:
-    """A table laid out by partition, bucket and sort keys, so that later joins on the bucket key need no shuffle."""
+def create_layout(rows: DataFrame, name: str, partition: Sequence[str] = (), buckets: tuple[int, str] | None = None, order: Sequence[str] = (), path: str | None = None) -> DataFrame:
+    """A table (managed, or with its files at path) laid out by partition, bucket and sort keys, so that later joins on the bucket key need no shuffle."""
     spark = rows.sparkSession
     spark.sql(f"DROP TABLE IF EXISTS `{name}`")
     w = rows.write.mode("overwrite").format("parquet")
+    if path:
+        w = w.option("path", path)
     if partition:
         w = w.partitionBy(*partition)
     if buckets:
