@@ -178,13 +178,13 @@ def udf_procedural_body(t):
     return t.supplier.select("s_suppkey", grade("s_acctbal").alias("grade"))
 
 
-@_r.query("SELECT event_type, sum(value * event_id) / sum(event_id) AS w FROM events GROUP BY event_type")
+@_r.query("SELECT event_type, round(sum(value * event_id) / sum(event_id), 6) AS w FROM events GROUP BY event_type")
 def udf_user_aggregate(t):
     @F.pandas_udf("double")
     def weighted(v: pd.Series, w: pd.Series) -> float:
         return float((v * w).sum() / w.sum())
 
-    return t.events.groupBy("event_type").agg(weighted("value", F.col("event_id").cast("double")).alias("w"))
+    return t.events.groupBy("event_type").agg(F.round(weighted("value", F.col("event_id").cast("double")), 6).alias("w"))
 
 
 @_r.query("SELECT n_nationkey, n_nationkey <> 7 AND n_regionkey > 1 AS ok FROM nation")
