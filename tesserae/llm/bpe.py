@@ -5,6 +5,7 @@ The distinct pieces (pre-tokens) of a part of a partition are laid out as one se
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import json
@@ -16,8 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesserae.llm.common import small_batches
+
 #: Characters of texts that are looked at together, and pieces that a worker keeps between parts.
-PART_CHARS, KEPT_CHUNKS = 4_000_000, 300_000
+PART_CHARS, KEPT_CHUNKS = 4_000_000, 200_000
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Chunks of ASCII and of composed Latin letters, for which the library's normalizer only lowers the case; of these, letters and the pre-tokens.
@@ -72,6 +75,8 @@ class Merger:
         self.final = [self.vocab[c + self.suffix] for c in chars]
         self.of_char = {c: b for b, c in enumerate(chars)}
         self.kept: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str | int, tuple[int, str, str]] = {}
+        self.forget()
 
     def ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of the pairs, -1 where there is no merge."""
@@ -81,14 +86,14 @@ class Merger:
 
     def merged(self, pieces: list[bytes]) -> tuple[list[int], list[int]]:
         """The symbols of all pieces (none empty) after all merges, in one list, and where each piece's end."""
-        lens = np.array([len(p) for p in pieces])
-        ends = np.cumsum(lens)
+        lens = np.array([len(p) for p in pieces], np.int32)
+        ends = np.cumsum(lens, dtype=np.int32)
         flat = np.frombuffer(b"".join(pieces), np.uint8)
         sym = np.array(self.inner, np.int32)[flat]
         sym[ends - 1] = np.array(self.final, np.int32)[flat[ends - 1]]
-        of = np.repeat(np.arange(len(pieces)), lens)
+        of = np.repeat(np.arange(len(pieces), dtype=np.int32), lens)
         n = len(sym)
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         after[ends - 1] = -1
         before[ends - lens] = -1
         index: dict[int, list[np.ndarray]] = {}
@@ -113,7 +118,10 @@ class Merger:
                     index[r] = [places]
                     heapq.heappush(active, r)
 
-        enter(np.flatnonzero(after >= 0))
+        every = np.flatnonzero(after >= 0).astype(np.int32)
+        for part in np.array_split(every, 1 + len(every) // 250_000):
+            enter(part)
+        del every, flat, ends, lens
         while active:
             r = heapq.heappop(active)
             lists = index.pop(r)
@@ -145,42 +153,54 @@ class Merger:
         alive = sym >= 0
         return sym[alive].tolist(), np.cumsum(np.bincount(of[alive], minlength=len(pieces))).tolist()
 
-    def pieces(self, chunk: str) -> list[bytes | int]:
-        """The pre-tokens of a text without white space, as UTF-8; added tokens as ids."""
+    def pieces(self, chunk: str) -> list[str | int]:
+        """The pre-tokens of a text without white space; added tokens as ids."""
         if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            chunk = chunk.lower()
-            return [chunk.encode()] if chunk.isalpha() else [p.encode() for p in PIECE.findall(chunk)]
-        out: list[bytes | int] = []
+            return PIECE.findall(chunk.lower())
+        out: list[str | int] = []
         for part in self.added_at.split(chunk) if self.added_at else [chunk]:
             if part in self.added:
                 out.append(self.added[part])
             elif part:
-                out += [bytes([self.of_char[c] for c in p]) for p, _ in self.split(self.normal(part)) if p]
+                out += [bytes([self.of_char[c] for c in p]).decode("utf-8", "surrogatepass") for p, _ in self.split(self.normal(part)) if p]
         return out
 
     def learn(self, chunks: set[str]) -> None:
-        """Encode chunks (texts without white space) into kept: number of tokens, ids and token names, each joined by a space."""
+        """Encode chunks (texts without white space) into kept, and their pre-tokens into known: number of tokens, ids and token names, each joined by a space."""
         if len(self.kept) > KEPT_CHUNKS:
             self.kept = {}
-        new = [c for c in chunks if c not in self.kept]
-        if not new:
-            return
-        made = [self.pieces(c) for c in new]
-        distinct = list({p for ps in made for p in ps if isinstance(p, bytes)})
-        done: dict[bytes | int, tuple[int, str, str]] = {i: (1, str(i), t) for t, i in self.added.items()}
-        if distinct:
-            flat, ends = self.merged(distinct)
+        if len(self.known) > KEPT_CHUNKS:
+            self.known = {i: (1, str(i), t) for t, i in self.added.items()}
+        kept, known, plain, split = self.kept, self.known, PLAIN.fullmatch, PIECE.findall
+        new = [c for c in chunks if c not in kept]
+        whole, parts = [], []  # chunks that are one pre-token, and the others with theirs
+        for c in new:
+            if plain(c) and "<|" not in c:
+                low = c.lower()
+                if low.isalpha():
+                    whole.append((c, low))
+                else:
+                    parts.append((c, split(low)))
+            else:
+                parts.append((c, self.pieces(c)))
+        wanted = {p for _, p in whole}
+        wanted.update(*[ps for _, ps in parts])
+        fresh = [p for p in wanted if p not in known]
+        if fresh:
+            flat, ends = self.merged([p.encode("utf-8", "surrogatepass") for p in fresh])
             ids, names = [self.numbers[i] for i in flat], [self.names[i] for i in flat]
             start = 0
-            for p, end in zip(distinct, ends, strict=True):
-                done[p] = (end - start, " ".join(ids[start:end]), " ".join(names[start:end]))
+            for p, end in zip(fresh, ends, strict=True):
+                known[p] = (1, ids[start], names[start]) if end == start + 1 else (end - start, " ".join(ids[start:end]), " ".join(names[start:end]))
                 start = end
-        for c, ps in zip(new, made, strict=True):
-            if len(ps) == 1:
-                self.kept[c] = done[ps[0]]
-            else:
-                got = [done[p] for p in ps]
-                self.kept[c] = (sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got]))
+        for c, p in whole:
+            kept[c] = known[p]
+        for c, ps in parts:
+            got = [known[p] for p in ps]
+            kept[c] = (sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got]))
+
+    def forget(self) -> None:
+        self.kept, self.known = {}, {i: (1, str(i), t) for t, i in self.added.items()}
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of tokens, its ids and its decoded text."""
@@ -189,8 +209,10 @@ class Merger:
         kept = self.kept
         for ws in words:
             got = [kept[w] for w in ws if w]
-            got = [x for x in got if x[0]]
-            yield sum([x[0] for x in got]), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+            counts, ids, names = zip(*got, strict=True) if got else ((), (), ())
+            if 0 in counts:  # chunks that the normalizer leaves nothing of
+                counts, ids, names = zip(*[x for x in got if x[0]], strict=True) if any(counts) else ((), (), ())
+            yield sum(counts), " ".join(ids), " ".join(names)
 
 
 _mergers: dict[str, Merger] = {}
@@ -216,6 +238,7 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
 
     docs: doc_id and text; other columns are ignored. vocab_path: a file of the tokenizers library with a BPE model whose pre-tokens never hold white space and which has neither decoder nor post-processor; it is read on the driver and sent along. A null or blank text has no tokens and decodes to the empty text. One row for each row, repeated ones and null ids too.
     """
+    small_batches(docs.sparkSession)
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(spec)  # a file of fixed size
@@ -223,6 +246,14 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = merger(sent.value)
+        gc.disable()  # no cycles come up here, and looking for some among so many small objects takes long
+        try:
+            yield from encoded_batches(bpe, batches)
+        finally:
+            bpe.forget()
+            gc.enable()
+
+    def encoded_batches(bpe: Merger, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             start = 0

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.llm.common import small_batches
+
 TOKEN = re.compile(r"\w+")
 TOKEN_JAVA = r"[\p{L}\p{M}\p{N}_]+"
 #: Bounds of the sample that the model is fitted on: labelled documents of each class, words kept.
@@ -257,6 +259,7 @@ def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
     docs: doc_id and text; other columns are ignored. One row for each row, repeated ones and null ids too; a null or empty text has no tokens and gets the score of a text without any marked word.
     """
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)  # WORDS_KEPT words at most
     schema = "doc_id bigint, score double, n_marked int, spans array<struct<start: int, stop: int, p: double>>"
     kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("p", pa.float64())]))
@@ -287,6 +290,7 @@ def scored(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns; null and empty texts are scored as such. docs: text at least."""
+    small_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
