@@ -149,6 +149,10 @@ def relations(ts: list[Token]) -> list[tuple[str, str, int]]:
     ctes = {ts[i - 1].name for i in range(1, len(ts) - 1) if ts[i].upper == "AS" and ts[i + 1].text == "(" and ts[i - 1].kind in ("word", "quoted") and (ts[i - 2].upper in ("WITH", "RECURSIVE") or ts[i - 2].text == "," or ts[i - 1].text == ")")} if any(t.upper == "WITH" for t in ts) else set()
     out = []
     for i, t in enumerate(ts):
+        if t.kind == "string" and [x.upper for x in ts[i + 1 : i + 3]] in (["::", "REGCLASS"], ["::", "REGTYPE"], ["::", "REGPROC"]):  # a name given as text
+            names, _ = qualified(tokens(t.text.strip("'")), 0)
+            if names:
+                out.append((names[-2] if len(names) > 1 else "public", names[-1], t.at))
         listed = t.text == "," and t.kind == "op" and out and _in_from_list(ts, i)
         if t.upper in _FROM and t.kind == "word" or listed:
             j = i + 1
@@ -200,8 +204,8 @@ def dangers_of(ts: list[Token]) -> list[str]:
     return sorted(found)
 
 
-def parse(sql: str) -> Parsed:
-    """One statement."""
+def parse(sql: str, bodies: bool = True) -> Parsed:
+    """One statement. bodies: whether what a function's or procedure's body names counts as its references."""
     ts = tokens(sql)
     up = [t.upper for t in ts]
     action = up[0] if up else ""
@@ -231,7 +235,7 @@ def parse(sql: str) -> Parsed:
             out.name += sql[ts[end].at : ts[closing(ts, end)].at + 1].lower()
         own = (out.schema, out.name)
         out.references = [r for r in relations(ts) if r[:2] != own]
-        if kind in ("FUNCTION", "PROCEDURE"):
+        if kind in ("FUNCTION", "PROCEDURE") and bodies:
             for t in ts:
                 if t.kind in ("dollar", "string"):
                     body = t.text.split("$", 2)[-1].rsplit("$", 2)[0] if t.kind == "dollar" else t.text.strip("'")

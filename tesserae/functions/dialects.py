@@ -82,3 +82,43 @@ def normalize_utf8(form: str):
         return s.map(lambda x: None if x is None else unicodedata.normalize(form, x))
 
     return normal
+
+
+def gcd(a: Column, b: Column) -> Column:
+    """Greatest common divisor by Euclid's steps; 64-bit numbers need 92 at most."""
+    pair = F.aggregate(F.sequence(F.lit(1), F.lit(92)), F.struct(F.abs(a).cast("bigint").alias("a"), F.abs(b).cast("bigint").alias("b")), lambda s, _: F.when(s["b"] == 0, s).otherwise(F.struct(s["b"].alias("a"), F.pmod(s["a"], s["b"]).alias("b"))))
+    return pair["a"]
+
+
+def truncate(c: Column) -> Column:
+    """trunc of a number: towards zero."""
+    return F.when(c < 0, F.ceil(c)).otherwise(F.floor(c))
+
+
+def num_nulls(*columns: Column) -> Column:
+    out = F.lit(0)
+    for c in columns:
+        out = out + F.isnull(c).cast("int")
+    return out
+
+
+def array_positions(c: Column, x) -> Column:
+    """All places of x, from 1."""
+    return F.filter(F.sequence(F.lit(1), F.size(c)), lambda i: F.element_at(c, i).eqNullSafe(F.lit(x)))
+
+
+def array_replace(c: Column, old, new) -> Column:
+    return F.transform(c, lambda x: F.when(x.eqNullSafe(F.lit(old)), F.lit(new)).otherwise(x))
+
+
+def array_resize(c: Column, n: int, fill) -> Column:
+    return F.concat(F.slice(c, 1, n), F.array_repeat(F.lit(fill), F.greatest(F.lit(0), F.lit(n) - F.size(c))))
+
+
+def l2_distance(a: Column, b: Column) -> Column:
+    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+
+
+def cosine_distance(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    return 1 - dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))

@@ -103,3 +103,76 @@ def cat_formatter(t):
 def udf_from_module(t):
     """A function that lives in a module, as a CLR function lives in an assembly."""
     return t.nation.select("n_nationkey", listing.shout()("n_name").alias("loud"))
+
+
+@_r.query("SELECT * FROM " + values([("s.seq",), ("public.t",)], "ref"))
+def expr_regclass(t):
+    """A name given as text and cast to regclass is a dependency."""
+    from tesserae.catalog import sql_text
+
+    rows = sql_text.parsed_scripts(t.spark.createDataFrame([("x", "SELECT nextval('s.seq'::regclass), 'no' FROM t")], "file string, sql string"))
+    return rows.select(F.explode("refs").alias("r")).select(F.concat_ws(".", "r.schema", "r.object").alias("ref"))
+
+
+@_r.query("SELECT 1::BIGINT AS with_bodies, 0::BIGINT AS without")
+def udf_body_switch(t):
+    """Dependencies of function bodies, on and off."""
+    from tesserae.catalog import sql_text
+
+    text = "CREATE FUNCTION f() RETURNS int LANGUAGE sql AS $$ SELECT 1 FROM q.r $$"
+    return t.spark.createDataFrame([(len(sql_text.parse(text).references), len(sql_text.parse(text, bodies=False).references))], "with_bodies bigint, without bigint")
+
+
+@_r.query("SELECT * FROM " + values([("f", "g"), ("g", "f"), ("f", "t"), ("v", "t.c")], "src, dst"))
+def graph_cycle_removal(t):
+    """Functions on a cycle let go of columns, and of the tables whose columns they name."""
+    from tesserae.operators.graphs import on_cycle
+
+    e = t.spark.createDataFrame([("f", "g"), ("g", "f"), ("f", "t"), ("g", "t.c"), ("g", "t"), ("v", "t.c")], "src string, dst string")
+    kinds = t.spark.createDataFrame([("f", "FUNCTION", None), ("g", "FUNCTION", None), ("t", "TABLE", None), ("t.c", "COLUMN", "t"), ("v", "VIEW", None)], "node string, kind string, parent string")
+    cyclic = on_cycle(e).join(kinds.where("kind = 'FUNCTION'"), "node", "left_semi")
+    columns = kinds.where("kind = 'COLUMN'").select(F.col("node").alias("dst"), "parent")
+    hit = e.join(cyclic.withColumnRenamed("node", "src"), "src", "left_semi").join(columns, "dst")
+    gone = hit.select("src", "dst").union(hit.select("src", F.col("parent").alias("dst")))
+    return e.join(gone, ["src", "dst"], "left_anti")
+
+
+@_r.query("SELECT * FROM " + values([("a", "bob", None), ("c", None, "{x=r/y}")], "object, owner, acl"))
+def src_overrides_export(t):
+    """Only what overrides change is written: owner and privileges."""
+    import uuid
+
+    from tesserae.session import shared_dir
+
+    f = f"{shared_dir(t.spark)}/io-{uuid.uuid4().hex}"
+    rows = t.spark.createDataFrame([("a", "bob", None, "CREATE"), ("b", None, None, "CREATE"), ("c", None, "{x=r/y}", "CREATE")], "object string, owner string, acl string, ddl string")
+    rows.where("owner IS NOT NULL OR acl IS NOT NULL").select("object", "owner", "acl").write.json(f)
+    return t.spark.read.schema("object string, owner string, acl string").json(f)
+
+
+@_r.query("SELECT n_nationkey FROM nation WHERE n_nationkey > 20")
+def src_foreign_table(t):
+    """A foreign table: a table of another database under a name here."""
+    import uuid
+
+    url, name, driver = f"jdbc:derby:memory:f{uuid.uuid4().hex};create=true", f"tesserae_{uuid.uuid4().hex}", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    t.nation.select("n_nationkey").write.format("jdbc").options(url=url, dbtable="far", driver=driver).save()
+    t.spark.sql(f"CREATE TABLE {name} USING jdbc OPTIONS (url '{url}', dbtable 'far', driver '{driver}')")
+    return t.spark.table(name).where("n_nationkey > 20").select("n_nationkey")
+
+
+@_r.query("SELECT event_type, count(*) AS n, max(event_id) AS last FROM events GROUP BY event_type")
+def stream_trigger(t):
+    """A statement trigger with a transition table: each batch is audited as it comes."""
+    import uuid
+
+    from tesserae.session import shared_dir
+    from tesserae.streaming import events as ev
+
+    f = f"{shared_dir(t.spark)}/audit-{uuid.uuid4().hex}"
+
+    def trigger(rows, batch: int) -> None:
+        rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).write.mode("append").parquet(f"{f}/out")
+
+    ev.source(t.spark, t.sf_dir).writeStream.option("checkpointLocation", f"{f}/state").trigger(availableNow=True).foreachBatch(trigger).start().awaitTermination()
+    return t.spark.read.parquet(f"{f}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last"))
