@@ -180,9 +180,9 @@ def joined(left: list[int], right: list[int], sets: list[np.ndarray], known: lis
     return out
 
 
-def near_groups(left: list[int], right: list[int], raw: list[np.ndarray], hundredths: int) -> list[tuple[int, int]]:
+def near_groups(left: list[int], right: list[int], raw: list[np.ndarray], known: list[int], hundredths: int) -> list[tuple[int, int]]:
     """Pairs of rows, as joined(), whose bound reaches the similarity; of those that join the same two groups one."""
-    every, label, out = points(raw), np.arange(len(raw)), []
+    every, label, out = points(raw), np.unique(known, return_inverse=True)[1], []
     other = np.array(right or left)
     for i, js in survivors(Tree(every[left]), Tree(every[other]), hundredths):
         i, js = left[i], other[js]
@@ -256,13 +256,29 @@ def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
 
 
 def clustered(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, point. A cell of over BLOCK nodes is split, and pairs of blocks are compared apart."""
+    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, point.
+
+    First each node's most frequented cell is looked through: that connects most of a large group. Of the other cells only those whose nodes are not one group by then have anything to add.
+    """
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cell", "of")
+    best = cells.join(sizes, F.col("cell") == F.col("of")).groupBy("node").agg(F.max(F.struct("n", "cell")).alias("best")).select(F.col("best.cell").alias("of")).distinct()
+    chosen = cells.join(best, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
+    first = saved(near_pairs(chosen, nodes, hundredths), "near")
+    now = components(first).withColumnRenamed("node", "of")
+    marked = saved(cells.join(now, F.col("node") == F.col("of"), "left").select("cell", "node", F.coalesce("component", "node").alias("known")), "marked")
+    mixed = marked.groupBy("cell").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select(F.col("cell").alias("of"))
+    rest = marked.join(mixed, F.col("cell") == F.col("of"), "left_semi")
+    return first.unionByName(near_pairs(rest, nodes, hundredths))
+
+
+def near_pairs(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
+    """In each cell pairs whose bound reaches the similarity, of those that join the same two groups one. cells: cell, node, known (group so far). A cell of over BLOCK nodes is split, and pairs of blocks are compared apart."""
     parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
     rows = cells.join(nodes.select("k", "point"), F.col("node") == F.col("k")).join(sizes, F.col("cell") == F.col("of"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(F.xxhash64("cell", low, high).alias("cell"), "node", (F.col("block") > F.col("other")).alias("side"), "point")
+    rows = rows.select(F.xxhash64("cell", low, high).alias("cell"), "node", (F.col("block") > F.col("other")).alias("side"), "point", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, sent = None, [], set()
@@ -270,14 +286,14 @@ def clustered(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
         def done():
             if len(rows) > 1:
                 left, right = [i for i, r in enumerate(rows) if not r[1]], [i for i, r in enumerate(rows) if r[1]]
-                found = {(rows[i][0], rows[j][0]) for i, j in near_groups(left, right, [np.frombuffer(r[2], np.uint8) for r in rows], hundredths)} - sent if left else set()
+                found = {(rows[i][0], rows[j][0]) for i, j in near_groups(left, right, [np.frombuffer(r[2], np.uint8) for r in rows], [r[3] for r in rows], hundredths)} - sent if left else set()
                 sent.update(found)
                 if found:
                     a, b = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for c, *row in zip(*[batch.column(i).to_pylist() for i in range(4)], strict=True):
+            for c, *row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if c != cell:
                     yield from done()
                     cell, rows = c, []
