@@ -1,6 +1,6 @@
 """Embedding near-dedup by NN-descent.
 
-A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. A list that is full of links grows. Links over the threshold make components; inside each component all similarities are then computed block by block, so the number of links of a vector is exact for its component without any pair being written. An audit holds a sample of vectors against all others; while it finds too few links in common components, more leaves are added and the graph is refined again.
+A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. Links over the threshold make components. Lists then hold the nearest vectors of the own component and, apart from them, the nearest of other components, so however dense a group is, it never keeps a link to another one out; components are merged until no link between two is found. Inside each component all similarities are then computed block by block, so the number of links of a vector is exact for its component without any pair being written. An audit holds a sample of vectors against all others; while it finds too few links in common components, more leaves are added and the graph is refined again.
 """
 
 from __future__ import annotations
@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import components, saved
 
-#: Neighbours of a list, and of one that is full of links; trees at first; vectors of a leaf and of a block; sampled vectors and the recall that the audit asks for.
+#: Neighbours of a list, of the own component and of others each; reversed ones; trees at first; vectors of a leaf and of a block; sampled vectors and the recall that the audit asks for.
 NEIGHBOURS, WIDE, TREES, LEAF, BLOCK, AUDITED, RECALL = 8, 32, 10, 128, 256, 256, 0.99
+#: Members that stand for a component in a tree of representatives (others in each tree), and such trees a pass.
+MEMBERS, MEMBER_TREES = 8, 4
 ROUNDS, EXTRA = 4, 3
 
 
@@ -34,42 +36,52 @@ def units(column: pa.Array) -> np.ndarray:
 
 
 def best(edges: DataFrame) -> DataFrame:
-    """The lists: of each node its NEIGHBOURS most similar, and links up to WIDE. edges: u, v, sim, fresh; of equal ones the older stays."""
-    one = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
+    """Edges by rank in their lists, a list being of a node's own component or of others. edges: u, v, sim, fresh, own; of equal ones the older stays."""
+    one = edges.groupBy("u", "v", "own").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
+    rank = F.row_number().over(Window.partitionBy("u", "own").orderBy(F.col("sim").desc(), "v"))
     return one.withColumn("rank", rank)
 
 
 def leaves(nodes: DataFrame, first: int, trees: int) -> DataFrame:
-    """Edges from random-projection leaves: for each tree vectors are sorted by the signs of random projections and cut into runs of LEAF; in a run each vector gets its most similar ones."""
+    """Edges from random-projection leaves: for each tree vectors are sorted by the signs of random projections and cut into runs of LEAF; in a run each vector gets its most similar ones of its component (nodes: node, component, vec) and of others."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kind = nodes.schema["vec"].dataType.simpleString()
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            dims = np.diff(batch.column(1).offsets.to_numpy())
+            dims = np.diff(batch.column(2).offsets.to_numpy())
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                node, vec = batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at))
+                node, comp, vec = (batch.column(i).take(pa.array(at)) for i in range(3))
                 x = units(vec)
                 for t in range(first, first + trees):
                     if (t, dim) not in planes:
                         planes[t, dim] = np.random.default_rng([t, int(dim)]).standard_normal((int(dim), 32))
                     bits = x @ planes[t, dim] > 0
                     codes = (bits * (1 << np.arange(31, -1, -1, dtype=np.int64))).sum(1)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(codes), node, vec], ["tree", "dim", "code", "node", "vec"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), t, np.int32)), pa.array(np.full(len(at), dim, np.int32)), pa.array(codes), node, comp, vec], ["tree", "dim", "code", "node", "component", "vec"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
         def join(part: pa.Table) -> pa.RecordBatch:
-            node, x = part.column(3).to_numpy(), units(part.column(4).combine_chunks())
+            node, comp, x = part.column(3).to_numpy(), part.column(4).to_numpy(), units(part.column(5).combine_chunks())
             sim = x @ x.T
             np.fill_diagonal(sim, -2)
             k = min(NEIGHBOURS, len(node) - 1)
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(node, k)), pa.array(node[top].ravel()), pa.array(np.take_along_axis(sim, top, 1).ravel())], ["u", "v", "sim"])
+            alike = comp[:, None] == comp[None, :]
+            us, vs, ss, os = [], [], [], []
+            for own in (False, True):
+                of = np.where(alike == own, sim, -2)
+                top = np.argpartition(-of, k - 1, axis=1)[:, :k]
+                best = np.take_along_axis(of, top, 1)
+                i, j = np.nonzero(best > -2)
+                us.append(node[i])
+                vs.append(node[top[i, j]])
+                ss.append(best[i, j])
+                os.append(np.full(len(i), own))
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ss, os)], ["u", "v", "sim", "own"])
 
         def cut(table: pa.Table, whole: bool) -> tuple[list[pa.RecordBatch], pa.Table]:
             key = table.column(0).to_numpy().astype(np.int64) << 32 | table.column(1).to_numpy()
@@ -94,13 +106,13 @@ def leaves(nodes: DataFrame, first: int, trees: int) -> DataFrame:
         if held:
             yield from cut(pa.Table.from_batches(held), True)[0]
 
-    coded = nodes.select("node", "vec").mapInArrow(code, f"tree int, dim int, code bigint, node bigint, vec {kind}")
+    coded = nodes.select("node", "component", "vec").mapInArrow(code, f"tree int, dim int, code bigint, node bigint, component bigint, vec {kind}")
     dealt = coded.repartitionByRange(parts, "tree", "dim", "code", "node").sortWithinPartitions("tree", "dim", "code", "node")
-    return dealt.mapInArrow(near, "u bigint, v bigint, sim double").withColumn("fresh", F.lit(True))
+    return dealt.mapInArrow(near, "u bigint, v bigint, sim double, own boolean").withColumn("fresh", F.lit(True))
 
 
-def kept(edges: DataFrame, threshold: float) -> DataFrame:
-    return best(edges).where((F.col("rank") <= NEIGHBOURS) | (F.col("sim") >= threshold) & (F.col("rank") <= WIDE))
+def kept(edges: DataFrame) -> DataFrame:
+    return best(edges).where(F.col("rank") <= NEIGHBOURS)
 
 
 def neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -110,32 +122,37 @@ def neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     reverse = graph.withColumn("back", F.row_number().over(back)).where(F.col("back") <= WIDE).select(F.col("v").alias("at"), F.col("u").alias("member"), "fresh")
     members = graph.select(F.col("u").alias("at"), F.col("v").alias("member"), "fresh").unionByName(reverse).groupBy("at", "member").agg(F.max("fresh").alias("fresh"))
     live = members.where("fresh").select(F.col("at").alias("live")).distinct()
-    worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n"))
-    state = nodes.join(worst, F.col("node") == F.col("u"), "left").select("node", "vec", F.when(F.col("n") >= NEIGHBOURS, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
-    rows = members.join(live, F.col("at") == F.col("live"), "left_semi").join(state, F.col("member") == F.col("node")).select("at", "node", "fresh", "worst", "vec")
+    # the least similarity of each of the two lists, where the list is full
+    least = lambda own: F.when(F.count(F.when(own, 1)) >= NEIGHBOURS, F.min(F.when(own, F.col("sim")))).otherwise(F.lit(-2.0))
+    worst = graph.groupBy("u").agg(least(F.col("own")).alias("w_own"), least(~F.col("own")).alias("w_other"))
+    state = nodes.join(worst, F.col("node") == F.col("u"), "left").select("node", "component", "vec", F.coalesce("w_own", F.lit(-2.0)).alias("w_own"), F.coalesce("w_other", F.lit(-2.0)).alias("w_other"))
+    rows = members.join(live, F.col("at") == F.col("live"), "left_semi").join(state, F.col("member") == F.col("node")).select("at", "node", "fresh", "w_own", "vec", "component", "w_other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def pairs(table: pa.Table) -> Iterator[pa.RecordBatch]:
             at, node = table.column(0).to_numpy(), table.column(1).to_numpy()
-            fresh, worst = table.column(2).to_numpy(), table.column(3).to_numpy()
+            fresh, w_own = table.column(2).to_numpy(), table.column(3).to_numpy()
+            comp, w_other = table.column(5).to_numpy(), table.column(6).to_numpy()
             x = units(table.column(4).combine_chunks()) if len(set(np.diff(table.column(4).combine_chunks().offsets.to_numpy()))) == 1 else None
             begins = np.append(np.flatnonzero(np.r_[True, at[1:] != at[:-1]]), len(at))
-            us, vs, ss = [], [], []
+            us, vs, ss, os = [], [], [], []
             for a, z in zip(begins[:-1], begins[1:], strict=True):
                 if z - a < 2:
                     continue
                 y = x[a:z] if x is not None else units(table.column(4).slice(a, z - a).combine_chunks())
                 sim = y @ y.T
-                ok = (fresh[a:z, None] | fresh[None, a:z]) & (sim > worst[a:z, None])
+                own = comp[a:z, None] == comp[None, a:z]
+                ok = (fresh[a:z, None] | fresh[None, a:z]) & (sim > np.where(own, w_own[a:z, None], w_other[a:z, None]))
                 np.fill_diagonal(ok, False)
                 i, j = np.nonzero(ok)
                 us.append(node[a + i])
                 vs.append(node[a + j])
                 ss.append(sim[i, j])
+                os.append(own[i, j])
             if us:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs)), pa.array(np.concatenate(ss))], ["u", "v", "sim"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (us, vs, ss, os)], ["u", "v", "sim", "own"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -152,21 +169,68 @@ def neighbours_of_neighbours(graph: DataFrame, nodes: DataFrame) -> DataFrame:
             yield from pairs(held)
 
     dealt = rows.repartition(parts, "at").sortWithinPartitions("at")
-    return dealt.mapInArrow(run, "u bigint, v bigint, sim double").withColumn("fresh", F.lit(True))
+    return dealt.mapInArrow(run, "u bigint, v bigint, sim double, own boolean").withColumn("fresh", F.lit(True))
 
 
-def refined(edges: DataFrame, nodes: DataFrame, threshold: float, rounds: int = ROUNDS) -> DataFrame:
+def refined(edges: DataFrame, nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """Refine until under one list in fifty changes."""
     n = nodes.count()
-    graph = saved(kept(edges, threshold), "graph")
+    graph = saved(kept(edges), "graph")
     for _ in range(rounds):
         new = neighbours_of_neighbours(graph, nodes)
-        graph = saved(kept(graph.select("u", "v", "sim", F.lit(False).alias("fresh")).unionByName(new), threshold), "graph")
+        graph = saved(kept(graph.select("u", "v", "sim", F.lit(False).alias("fresh"), "own").unionByName(new)), "graph")
         if graph.where("fresh").agg(F.count_distinct("u")).first()[0] <= n / 50:
             break
     return graph
 
 
+def placed(nodes: DataFrame, of: DataFrame | None) -> DataFrame:
+    """nodes with their component; one without a link is its own. of: node, component."""
+    if of is None:
+        return nodes.withColumn("component", F.col("node"))
+    return nodes.join(of.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").drop("k").withColumn("component", F.coalesce("component", "node"))
+
+
+def representatives(nodes: DataFrame, tree: int) -> DataFrame:
+    """MEMBERS of each component, by a hash that differs from tree to tree. Their count is a partial minimum, so a large component stays spread out."""
+    slot = F.pmod(F.xxhash64("node", F.lit(tree)), F.lit(MEMBERS))
+    chosen = nodes.groupBy("component", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64("node", F.lit(tree), F.lit(1)).alias("h"), F.col("node").alias("k"))).alias("x"))
+    return nodes.join(chosen.select(F.col("x.k").alias("k")), F.col("node") == F.col("k"), "left_semi")
+
+
+def merged(of: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) of those already found and of links (u, v)."""
+    pairs = links.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    if of is not None:
+        pairs = pairs.unionByName(of.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return saved(components(pairs), "components")
+
+
+def linked(nodes: DataFrame, of: DataFrame | None, edges: DataFrame | None, first: int, trees: int, threshold: float) -> tuple[DataFrame, DataFrame, int]:
+    """Components, the graph's edges (u, v, sim) and the next tree: leaves of so many trees are refined, and as long as that links components, the lists are dealt anew by component and refined again, with trees of representatives."""
+    while True:
+        now = saved(placed(nodes, of), "placed")
+        new = leaves(now, first, trees) if trees else None
+        first += trees
+        if of is not None:
+            for _ in range(MEMBER_TREES):
+                some = leaves(representatives(now, first), first, 1)
+                new = some if new is None else new.unionByName(some)
+                first += 1
+        if edges is not None:
+            comp = now.select(F.col("node").alias("n"), "component")
+            old = edges.join(comp.select(F.col("n").alias("u"), F.col("component").alias("cu")), "u").join(comp.select(F.col("n").alias("v"), F.col("component").alias("cv")), "v")
+            new = new.unionByName(old.select("u", "v", "sim", F.lit(False).alias("fresh"), (F.col("cu") == F.col("cv")).alias("own")))
+        graph = refined(new, now)
+        edges = graph.select("u", "v", "sim")
+        links = graph.where((F.col("sim") >= threshold) & ~F.col("own"))
+        if of is not None and links.isEmpty():
+            return of, edges, first
+        # the first pass knows no components: the next one gives the lists of others a whole set of leaves
+        trees = trees if of is None else 0
+        of = merged(of, links)
+
+
 def recall(nodes: DataFrame, of: DataFrame, threshold: float, queries: int = AUDITED) -> float:
     """Share of the links of sampled vectors (the lowest by a hash) that lie within one component. of: node, component. The sample is compared with all vectors in blocks, and only counts are passed on."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(queries).select("node", "vec").collect()
@@ -249,17 +313,11 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").alias("vec"))
     rows = rows.withColumn("node", F.when(usable(F.col("vec")) & F.col("vec_id").isNotNull(), F.xxhash64("vec")))
     nodes = saved(rows.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "vectors")
-    first, edges = 0, None
-    for extra in range(1 + EXTRA):
-        trees = TREES * 2**extra
-        new = leaves(nodes, first, trees)
-        first += trees
-        graph = refined(new if edges is None else edges.unionByName(new), nodes, threshold)
-        edges = graph.select("u", "v", "sim", F.lit(False).alias("fresh"))
-        of = components(graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b")))
-        of = saved(of, "components")
+    of, edges, first = linked(nodes, None, None, 0, TREES, threshold)
+    for extra in range(EXTRA):
         if recall(nodes, of, threshold) >= RECALL:
             break
+        of, edges, first = linked(nodes, of, edges, first, TREES * 2 ** (extra + 1), threshold)
     links = counted(nodes, of, threshold).withColumnRenamed("node", "l")
     named = nodes.select("node", "least", "copies").join(of.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     named = saved(named.join(links, F.col("node") == F.col("l"), "left").select("node", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")

@@ -49,3 +49,18 @@ def test_unusable_vectors_and_empty_table(spark):
     alone = [(i, 0, i, True) for i in (4, 5, 5, 6, 7, 8, 9, 10)]
     assert got == sorted([(1, 2, 1, True), (2, 2, 1, False), (3, 2, 1, False), (None, 0, None, False), *alone], key=repr)
     assert nn_descent.deduplicated(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_links_between_dense_groups(spark):
+    """Two groups of near copies, 0.90 to 0.95 apart, are one component, and each vector counts the other group's."""
+    rng = np.random.default_rng(5)
+    n, dim = 500, 64
+    a, noise = rng.standard_normal(dim), rng.standard_normal(dim)
+    a /= np.linalg.norm(a)
+    b = noise - (noise @ a) * a
+    b = 0.938 * a + np.sqrt(1 - 0.938**2) * b / np.linalg.norm(b)
+    x = np.concatenate([np.repeat(a[None], n, 0), np.repeat(b[None], n, 0)]) + 0.0125 * rng.standard_normal((2 * n, dim))
+    ids = [int(i) for i in rng.permutation(2 * n)]
+    rows = [(i, [float(v) for v in x[k]], 1, "", 0) for k, i in enumerate(ids)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
+    assert got == brute(ids, x)
