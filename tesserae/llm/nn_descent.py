@@ -1,10 +1,11 @@
 """Embedding near-dedup by NN-descent.
 
-A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. Links over the threshold make components. Lists then hold the nearest vectors of the own component and, apart from them, the nearest of other components, so however dense a group is, it never keeps a link to another one out; components are merged until no link between two is found. Inside each component all similarities are then computed block by block, so the number of links of a vector is exact for its component without any pair being written. An audit holds a sample of vectors against all others; while it finds too few links in common components, more leaves are added and the graph is refined again.
+A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. Links over the threshold make components. Lists then hold the nearest vectors of the own component and, apart from them, the nearest of other components, so however dense a group is, it never keeps a link to another one out; components are merged until no link between two is found. Inside each component all similarities are then computed block by block, so the number of links of a vector is exact for its component without any pair being written. An audit holds a sample of vectors against all others; while it finds too few of a vector's links in common components, more leaves are added and the graph is refined again, and if that does not help, all vectors are compared block by block.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ NEIGHBOURS, WIDE, TREES, LEAF, BLOCK, AUDITED, RECALL = 8, 32, 10, 128, 256, 256
 #: Members that stand for a component in a tree of representatives (others in each tree), and such trees a pass.
 MEMBERS, MEMBER_TREES = 8, 4
 ROUNDS, EXTRA = 4, 3
+#: Vectors of a block where all are compared.
+WHOLE_BLOCK = 2048
 
 
 def usable(v: Column) -> Column:
@@ -232,7 +235,7 @@ def linked(nodes: DataFrame, of: DataFrame | None, edges: DataFrame | None, firs
 
 
 def recall(nodes: DataFrame, of: DataFrame, threshold: float, queries: int = AUDITED) -> float:
-    """Share of the links of sampled vectors (the lowest by a hash) that lie within one component. of: node, component. The sample is compared with all vectors in blocks, and only counts are passed on."""
+    """Share of a vector's links that lie within its component, the mean of sampled vectors with links (the lowest by a hash), so that a large group counts no more than its vectors. of: node, component. The sample is compared with all vectors in blocks, and only counts are passed on."""
     sample = nodes.orderBy(F.xxhash64("node", F.lit(11)), "node").limit(queries).select("node", "vec").collect()
     rows = nodes.select("node", "vec").join(of.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", F.coalesce("component", "node").alias("component"), "vec")
     wanted = [r["node"] for r in sample]
@@ -242,22 +245,78 @@ def recall(nodes: DataFrame, of: DataFrame, threshold: float, queries: int = AUD
         by_dim.setdefault(len(r["vec"]), []).append(r)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = same = 0
+        total, same = Counter(), Counter()
         for batch in batches:
             dims = np.diff(batch.column(2).offsets.to_numpy())
             for dim, some in by_dim.items():
                 at = np.flatnonzero(dims == dim)
                 if not len(at):
                     continue
-                q = units(pa.array([r["vec"] for r in some], pa.list_(pa.float64())))
+                q, of = units(pa.array([r["vec"] for r in some], pa.list_(pa.float64()))), [r["node"] for r in some]
                 node, comp = batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at]
-                hit = (q @ units(batch.column(2).take(pa.array(at))).T >= threshold) & (np.array([r["node"] for r in some])[:, None] != node)
-                total += int(hit.sum())
-                same += int((hit & (np.array([component[r["node"]] for r in some])[:, None] == comp)).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([same])], ["total", "same"])
+                hit = (q @ units(batch.column(2).take(pa.array(at))).T >= threshold) & (np.array(of)[:, None] != node)
+                inside = hit & (np.array([component[n] for n in of])[:, None] == comp)
+                total.update(dict(zip(of, hit.sum(1).tolist(), strict=True)))
+                same.update(dict(zip(of, inside.sum(1).tolist(), strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64()), pa.array([same[n] for n in total], pa.int64())], ["node", "total", "same"])
 
-    got = rows.mapInArrow(run, "total bigint, same bigint").agg(F.sum("total"), F.sum("same")).first()
-    return got[1] / got[0] if got[0] else 1.0
+    one = rows.mapInArrow(run, "node bigint, total bigint, same bigint").groupBy("node").agg(F.sum("total").alias("total"), F.sum("same").alias("same"))
+    got = one.where("total > 0").agg(F.avg(F.col("same") / F.col("total"))).first()[0]
+    return 1.0 if got is None else got
+
+
+def compared(nodes: DataFrame, threshold: float) -> DataFrame:
+    """Links (u, v) between components, u and v being the components, from all vectors by products of blocks. Of each product only as many links are passed on as join its components; nodes: node, component, vec."""
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = nodes.withColumn("dim", F.size("vec"))
+    sizes = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / WHOLE_BLOCK).cast("int").alias("blocks")).withColumnRenamed("dim", "d")
+    rows = rows.join(F.broadcast(sizes), F.col("dim") == F.col("d"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select(F.xxhash64("dim", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.col("block") > F.col("other")).alias("side"), (F.col("block") == F.col("other")).alias("own"), "component", "vec")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cells, side, own, comp = (table.column(i).to_numpy() for i in range(4))
+            begins = np.append(np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]), len(cells))
+            for a, z in zip(begins[:-1], begins[1:], strict=True):
+                x, c = units(table.column(4).slice(a, z - a).combine_chunks()), comp[a:z]
+                left = np.ones(z - a, bool) if own[a] else ~side[a:z]
+                right = left if own[a] else side[a:z]
+                i, j = np.nonzero((x[left] @ x[right].T >= threshold) & (c[left][:, None] != c[right]))
+                up: dict[int, int] = {}
+
+                def root(k: int) -> int:
+                    while up.setdefault(k, k) != k:
+                        up[k] = k = up[up[k]]
+                    return k
+
+                us, vs = [], []
+                for u, v in np.unique(np.stack([c[left][i], c[right][j]], 1), axis=0).tolist():
+                    if root(u) != root(v):
+                        up[root(u)] = root(v)
+                        us.append(u)
+                        vs.append(v)
+                if us:
+                    yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            if held is not None:
+                table = pa.concat_tables([held, table])
+            cells = table.column(0).to_numpy()
+            last = int(np.searchsorted(cells, cells[-1], side="left"))
+            if last:
+                yield from links(table.slice(0, last))
+            held = table.slice(last)
+        if held is not None:
+            yield from links(held)
+
+    dealt = rows.repartition(parts, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
 def counted(nodes: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
@@ -318,6 +377,9 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         if recall(nodes, of, threshold) >= RECALL:
             break
         of, edges, first = linked(nodes, of, edges, first, TREES * 2 ** (extra + 1), threshold)
+    else:
+        if recall(nodes, of, threshold) < RECALL:
+            of = merged(of, compared(saved(placed(nodes, of), "placed"), threshold))
     links = counted(nodes, of, threshold).withColumnRenamed("node", "l")
     named = nodes.select("node", "least", "copies").join(of.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     named = saved(named.join(links, F.col("node") == F.col("l"), "left").select("node", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")

@@ -64,3 +64,26 @@ def test_links_between_dense_groups(spark):
     rows = [(i, [float(v) for v in x[k]], 1, "", 0) for k, i in enumerate(ids)]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.deduplicated(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()}
     assert got == brute(ids, x)
+
+
+def test_audit_sees_small_groups_beside_a_large_one(spark):
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((1000, 24))
+    x[:400] = x[0] + 0.05 * rng.standard_normal((400, 24))
+    for i in range(400, 1000, 2):
+        x[i + 1] = x[i] + 0.05 * rng.standard_normal(24)
+    nodes = spark.createDataFrame([(i, [float(v) for v in y]) for i, y in enumerate(x)], "node bigint, vec array<float>")
+    large = spark.createDataFrame([(i, 0) for i in range(400)], "node bigint, component bigint")
+    assert nn_descent.recall(nodes, large, 0.9) < 0.8
+
+
+def test_all_are_compared_where_the_audit_is_not_met(spark, monkeypatch):
+    for name, value in {"TREES": 1, "LEAF": 2, "ROUNDS": 0, "EXTRA": 0, "WHOLE_BLOCK": 64, "RECALL": 1.1}.items():
+        monkeypatch.setattr(nn_descent, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((300, 24))
+    for i in range(0, 300, 3):
+        x[i + 1 : i + 3] = x[i] + 0.1 * rng.standard_normal((2, 24))
+    rows = [(i, [float(v) for v in y], 1, "", 0) for i, y in enumerate(x)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in nn_descent.deduplicated(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(list(range(300)), x)
