@@ -1,6 +1,6 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of target texts and one of background texts, share one vocabulary, one smoothing and one total of words: the counts of either are scaled to that of the smaller. A document's score is its mean loss per token under the target model less that under the background model; low scores read like the target. Unigram counts are kept by word; bigram counts in a table of fixed size, indexed by a hash, so that the models have a bounded size whatever the corpus. All documents are counted.
+Two bigram models, one of target texts and one of background texts, share one vocabulary, one smoothing and one total of words: the counts of either are scaled to that of the smaller. A document's score is its mean loss per token under the target model less that under the background model; low scores read like the target. All words and all bigrams of all documents are counted exactly, in distributed tables that grow with the corpus; a document's distinct bigrams are joined to them. Words are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -8,20 +8,22 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import dropped, saved
-from tesserae.llm.fingerprints import mix
+from tesserae.llm.common import dropped, saved, small_batches
 
-#: Parameters: words in the vocabulary besides the unknown one, bigram slots, weight of the unigram model behind a bigram, and the unigram model's add-on.
-VOCABULARY, SLOTS, PRIOR, ADD = 65_536, 1 << 20, 64.0, 0.5
-BLOCK = 1024
-#: Distinct words that a counting task holds before it passes them on, and characters that are scored together.
+#: Words that vocabulary() returns at most, weight of the unigram model behind a bigram, and the unigram model's add-on.
+VOCABULARY, PRIOR, ADD = 65_536, 64.0, 0.5
+#: Distinct words that a counting task holds before it passes them on, and characters that are counted or scored together.
 HELD_WORDS, PART_CHARS = 400_000, 1_000_000
+#: The name of the symbol before a text's first word.
+START = 0x5EED_0F_7E87
 
 
 def words_of(text: str | None) -> list[str]:
@@ -59,140 +61,151 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
     return [w for _, w in sorted((-r["n"], r["word"]) for r in kept)]
 
 
-def ids_of(texts: list[str | None], number: dict[str, int], unknown: int) -> tuple[np.ndarray, np.ndarray]:
-    """Word ids of all texts, each text led by the start symbol unknown + 1; and how many each has, with that."""
-    get, flat, lens = number.get, [], []
-    for text in texts:
-        words = words_of(text)
-        flat.append(unknown + 1)
-        flat += [get(w, unknown) for w in words]
-        lens.append(len(words) + 1)
-    return np.array(flat, np.int64), np.array(lens)
+def names_of(text: str | None, named: dict[str, int]) -> list[int]:
+    """Names of a text's words; named keeps those of words seen before."""
+    if len(named) > HELD_WORDS:
+        named.clear()
+    out, get = [], named.get
+    for w in words_of(text):
+        if (n := get(w)) is None:
+            n = named[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        out.append(n)
+    return out
 
 
-def slots_of(ids: np.ndarray, slots: int) -> np.ndarray:
-    """The slot of each bigram that ends at a word, the first word's being of no use."""
-    before = np.empty_like(ids)
-    before[1:], before[:1] = ids[:-1], 0
-    return (mix((before.astype(np.uint64) << np.uint64(32)) | ids.astype(np.uint64)) % np.uint64(slots)).astype(np.int64)
+def pairs_of(names: np.ndarray, firsts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct (group, word before, word) and how often each stands; firsts are the places of texts' first words."""
+    before = np.empty_like(names)
+    before[1:] = names[:-1]
+    before[firsts] = START
+    order = np.lexsort((names, before, group))
+    g, a, b = group[order], before[order], names[order]
+    new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(g)])
+    return g[new], a[new], b[new], np.diff(np.append(new, len(g)))
 
 
-def counted(docs: DataFrame, words: list[str], slots: int = SLOTS) -> np.ndarray:
-    """Counts of docs (text, target boolean): rows background and target, columns the bigram slots, then the words, the unknown word and the start symbol.
+def bigrams_of(docs: DataFrame) -> DataFrame:
+    """a, b, n0 and n1: how often b follows a in background and in target texts. docs: text, target."""
 
-    Each task adds up its part and passes on blocks of counts; blocks are added up in parallel, and the driver receives one table of fixed size.
-    """
-    spark = docs.sparkSession
-    sent, unknown = spark.sparkContext.broadcast(words), len(words)
-    width = -(-(slots + unknown + 2) // BLOCK) * BLOCK
-    schema = "block int, counts binary"
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named: dict[str, int] = {}
+        names, firsts, kinds, lens, chars = [], [], [], [], 0
 
-    def blocks(table: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = table.reshape(2, -1, BLOCK).transpose(1, 0, 2)
-        used = np.flatnonzero(cut.any((1, 2)))
-        for some in np.array_split(used, max(1, len(used) // 256)):
-            if len(some):
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([cut[i].astype("<i8").tobytes() for i in some], pa.binary())], ["block", "counts"])
+        def out() -> pa.RecordBatch:
+            kind = np.repeat(np.array(kinds, np.int64), lens)
+            k, a, b, n = pairs_of(np.array(names, np.int64), np.array(firsts, np.int64), kind)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.where(k == 0, n, 0)), pa.array(np.where(k == 1, n, 0))], ["a", "b", "n0", "n1"])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = {w: i for i, w in enumerate(sent.value)}
-        table = np.zeros((2, width), np.int64)
         for batch in batches:
-            for kind in (False, True):
-                texts = [t.as_py() for t, k in zip(batch.column(0), batch.column(1), strict=True) if k.as_py() is kind]
-                at, chars = 0, 0
-                for i, text in enumerate(texts):
-                    chars += len(text or "")
-                    if chars > PART_CHARS or i == len(texts) - 1:
-                        ids, _ = ids_of(texts[at : i + 1], number, unknown)
-                        real = ids <= unknown
-                        table[int(kind), :slots] += np.bincount(slots_of(ids, slots)[real], minlength=slots)
-                        table[int(kind), slots:] += np.bincount(ids, minlength=width - slots)
-                        at, chars = i + 1, 0
-        yield from blocks(table)
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts = np.frombuffer(counts.as_py(), "<i8")
-                held[block] = held[block] + counts if block in held else counts.copy()
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["block", "counts"])
+            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                some = names_of(text.as_py(), named)
+                if not some:
+                    continue
+                firsts.append(len(names))
+                kinds.append(int(target))
+                lens.append(len(some))
+                names += some
+                chars += len(text.as_py())
+                if chars > 4 * PART_CHARS:
+                    yield out()
+                    names, firsts, kinds, lens, chars = [], [], [], [], 0
+        if names:
+            yield out()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = np.zeros((2, width), np.int64)
-    for r in docs.select("text", "target").mapInArrow(count, schema).repartition(parts, "block").mapInArrow(added, schema).collect():
-        out[:, r["block"] * BLOCK : (r["block"] + 1) * BLOCK] = np.frombuffer(r["counts"], "<i8").reshape(2, BLOCK)
-    return out
+    found = docs.select("text", "target").mapInArrow(count, "a bigint, b bigint, n0 bigint, n1 bigint")
+    return found.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
 
 
 @dataclass
 class Models:
-    """Both models: counts as floats, scaled to one total."""
-
-    words: list[str]
-    slots: int
-    bigrams: np.ndarray
-    unigrams: np.ndarray
-
-    @staticmethod
-    def of(words: list[str], counts: np.ndarray, slots: int) -> Models:
-        bigrams, unigrams = counts[:, :slots].astype(float), counts[:, slots : slots + len(words) + 2].astype(float)
-        totals = unigrams[:, :-1].sum(1)
-        scale = (min(totals) / np.maximum(totals, 1) if min(totals) else np.ones(2))[:, None]
-        return Models(words, slots, (bigrams * scale).astype(np.float32), (unigrams * scale).astype(np.float32))
-
-    def losses(self, ids: np.ndarray) -> np.ndarray:
-        """Loss in nats of each word of ids after the one before it, by background and target."""
-        slot = slots_of(ids, self.slots)
-        words = self.unigrams[:, :-1].astype(float)
-        single = (words + ADD) / (words.sum(1, keepdims=True) + ADD * words.shape[1])
-        before = np.empty_like(ids)
-        before[1:], before[:1] = ids[:-1], len(self.words) + 1
-        out = np.zeros((2, len(ids)))
-        known = np.minimum(ids, len(self.words))
-        for k in (0, 1):
-            context = self.unigrams[k][before]
-            joint = np.minimum(self.bigrams[k][slot], context)  # a slot may hold other bigrams' counts too
-            out[k] = -np.log((joint + PRIOR * single[k][known]) / (context + PRIOR))
-        return out
+    """Both models: losses of each bigram of the corpus (g, the bigram's name, l0 and l1) and counts of its words and the start symbol (w, n0, n1), as distributed tables; and by background and target the scale of counts and the words in all, scaled; the number of distinct words, with an unknown one."""
+
+    losses: DataFrame
+    words: DataFrame
+    scale: list[float]
+    totals: list[float]
+    size: int
+
+    def loss(self, k: int, joint: Column, context: Column, word: Column) -> Column:
+        """Loss in nats of a word: counts of the bigram, of the word before and of the word, null as 0."""
+        n = lambda c: F.coalesce(c, F.lit(0)) * F.lit(self.scale[k])
+        single = (n(word) + ADD) / F.lit(self.totals[k] + ADD * self.size)
+        return -F.log((n(joint) + PRIOR * single) / (n(context) + PRIOR))
+
+
+def named(a: str, b: str) -> Column:
+    """The name of a bigram."""
+    return F.xxhash64(a, b)
+
+
+def contexts(bigrams: DataFrame, words: DataFrame) -> DataFrame:
+    """bigrams (a, b) with the counts of both words: a0, a1, b0, b1."""
+    before = words.select(F.col("w").alias("wa"), F.col("n0").alias("a0"), F.col("n1").alias("a1"))
+    word = words.where(F.col("w") != START).select(F.col("w").alias("wb"), F.col("n0").alias("b0"), F.col("n1").alias("b1"))
+    return bigrams.join(before, F.col("a") == F.col("wa"), "left").join(word, F.col("b") == F.col("wb"), "left")
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Models:
     """Models of the documents labelled as of good quality (target) and of all other documents (background). Every document is counted once a row; contradicting and null labels count as none."""
+    spark = docs.sparkSession
+    small_batches(spark)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("of"))
-    words = vocabulary(docs)
     # both tables grow alike, so the join is by sorting at any size
     rows = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("target"))
-    return Models.of(words, counted(rows, words), SLOTS)
+    bigrams = saved(bigrams_of(rows), "bigrams")
+    words = bigrams.groupBy(F.col("b").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # each text with words has one first word, so the start symbol's count is that of the bigrams that it leads
+    start = bigrams.where(F.col("a") == START).groupBy(F.col("a").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    words = saved(words.unionByName(start), "words")
+    t = words.where(F.col("w") != START).agg(F.count(F.lit(1)), F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    totals = [t[1], t[2]]
+    scale = [min(totals) / max(n, 1) for n in totals] if min(totals) else [1.0, 1.0]
+    models = Models(bigrams, words, scale, [n * s for n, s in zip(totals, scale, strict=True)], t[0] + 1)
+    loss = [models.loss(k, F.col(f"n{k}"), F.col(f"a{k}"), F.col(f"b{k}")).alias(f"l{k}") for k in (0, 1)]
+    models.losses = saved(contexts(bigrams, words).select(named("a", "b").alias("g"), *loss), "losses")
+    dropped(bigrams)
+    return models
 
 
 def scored(docs: DataFrame, models: Models) -> DataFrame:
     """doc_id, n_tokens, loss_target, loss_background (nats per token) and difference, the former less the latter.
 
-    docs: doc_id and text; other columns are ignored. One row for each row, null ids and repeated rows too; without words n_tokens is 0 and the losses are null.
+    docs: doc_id and text; other columns are ignored. One row for each row, null ids and repeated rows too; without words n_tokens is 0 and the losses are null. Words and bigrams that the models do not know count as unseen.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # of fixed size
-    schema = "doc_id bigint, n_tokens bigint, loss_target double, loss_background double, difference double"
-    names = [x.split(" ")[0] for x in schema.split(", ")]
+    small_batches(docs.sparkSession)
+
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, int] = {}
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids, texts, start = batch.column(0), batch.column(1), 0
+            while start < batch.num_rows:
+                part, chars = [], 0
+                while start + len(part) < batch.num_rows and chars < PART_CHARS:
+                    text = texts[start + len(part)].as_py()
+                    part.append(names_of(text, seen))
+                    chars += len(text or "")
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), ids.slice(start, len(part)), pa.array(part, pa.list_(pa.int64()))], ["row", "doc_id", "names"])
+                start, at = start + len(part), at + len(part)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        number, unknown = {w: i for i, w in enumerate(m.words)}, len(m.words)
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, at, chars = batch.column(1).to_pylist(), 0, 0
-            for i, text in enumerate(texts):
-                chars += len(text or "")
-                if chars > PART_CHARS or i == len(texts) - 1:
-                    ids, lens = ids_of(texts[at : i + 1], number, unknown)
-                    losses = m.losses(ids)
-                    first = np.cumsum(lens) - lens
-                    losses[:, first] = 0
-                    n = lens - 1
-                    sums = np.add.reduceat(losses, first, axis=1) / np.maximum(n, 1)
-                    some = n == 0
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, i + 1 - at), pa.array(n, pa.int64()), pa.array(sums[1], mask=some), pa.array(sums[0], mask=some), pa.array(sums[1] - sums[0], mask=some)], names)
-                    at, chars = i + 1, 0
-
-    return docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(run, schema)
+            lens = np.diff(batch.column(1).offsets.to_numpy())
+            names = batch.column(1).flatten().to_numpy()
+            if len(names):
+                firsts = (np.cumsum(lens) - lens)[lens > 0]
+                r, a, b, n = pairs_of(names, firsts, np.repeat(batch.column(0).to_numpy(), lens))
+                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), pa.array(n)], ["row", "a", "b", "n"])
+
+    rows = saved(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(name, "row bigint, doc_id bigint, names array<bigint>"), "names")
+    pairs = rows.select("row", "names").mapInArrow(pair, "row bigint, a bigint, b bigint, n bigint")
+    sums = [F.sum(F.col("n") * F.col(f"l{k}")).alias(f"l{k}") for k in (0, 1)]
+    known = models.losses.withColumnRenamed("g", "k")
+    hit = pairs.select("row", named("a", "b").alias("g"), "n").join(known.hint("merge"), F.col("g") == F.col("k"), "left")
+    found = saved(hit.groupBy("row").agg(*sums, F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)).alias("unseen")), "found")
+    if not found.where("unseen > 0").isEmpty():
+        rest = pairs.withColumn("g", named("a", "b")).join(known, F.col("g") == F.col("k"), "left_anti")
+        rest = contexts(rest, models.words).select("row", "n", *[models.loss(k, F.lit(0), F.col(f"a{k}"), F.col(f"b{k}")).alias(f"l{k}") for k in (0, 1)])
+        found = found.select("row", "l0", "l1").unionByName(rest.groupBy("row").agg(*sums)).groupBy("row").agg(F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+    out = rows.select("row", "doc_id", F.size("names").cast("bigint").alias("n_tokens")).join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
+    return out.select("doc_id", "n_tokens", (F.col("l1") / F.col("n_tokens")).alias("loss_target"), (F.col("l0") / F.col("n_tokens")).alias("loss_background"), ((F.col("l1") - F.col("l0")) / F.col("n_tokens")).alias("difference"))

@@ -78,3 +78,16 @@ def test_nulls_empty_repeated_long_and_empty_tables(spark):
     assert all((r["difference"] is None) == (r["n_tokens"] == 0) for r in got)
     none = spark.createDataFrame([], DOCS)
     assert lm.scored(none, lm.trained(none, spark.createDataFrame([], LABELS))).collect() == []
+
+
+def test_every_bigram_has_its_own_count(spark):
+    """More than 65,536 words, and so many bigrams that in 2^20 slots about a quarter would share one."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(f"w{rng.randrange(90_000)}" for _ in range(1000)), 1, 0.0) for i in range(300)]
+    labels = [(i, int(i % 3 == 0), 0, 0) for i in range(300)]
+    d = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {r["doc_id"]: r for r in lm.scored(d, lm.trained(d, spark.createDataFrame(labels, LABELS))).collect()}
+    want = brute(docs, {i for i, q, *_ in labels if q})
+    for i, (n, target, background) in want.items():
+        assert got[i]["n_tokens"] == n
+        assert abs(got[i]["loss_target"] - target) < 1e-9 and abs(got[i]["loss_background"] - background) < 1e-9
