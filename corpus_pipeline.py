@@ -36,8 +36,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode, and decode again."""
-    return bpe.encoded(docs, vocabulary())
+    """Encode, and decode again: token ids and decoded text of each."""
+    return bpe.encoded(docs, vocabulary(), with_ids=True, with_text=True)
 
 
 STAGES = [("toxicity", toxic), ("line dedup", repeated_lines), ("n-gram Jaccard join", near_copies), ("mixing sources to target weights", mix), ("BPE encoding and decoding", tokens)]

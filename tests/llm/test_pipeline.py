@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -108,3 +109,14 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert cp.run(spark, str(tmp_path)).collect() == []
     assert toxicity.fitted(spark.createDataFrame([], DOCS), spark.createDataFrame([], "doc_id bigint, quality int, toxic int")).words == {}
+
+
+def test_last_stage_yields_tokens_and_texts(spark):
+    docs = [(1, "one two  three\nfour", "en", "s", 19), (1, "one", "en", "s", 3), (2, "", "en", "s", 0), (3, None, None, None, None)]
+    got = cp.tokens(spark, spark.createDataFrame(docs, DOCS), "").collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert len(r["token_ids"]) == r["n_tokens"]
+        assert hashlib.sha256(" ".join(map(str, r["token_ids"])).encode()).hexdigest() == r["ids_sha256"]
+        assert hashlib.sha256(r["decoded"].encode()).hexdigest() == r["decoded_sha256"]
+    assert max(r["n_tokens"] for r in got) > 1
