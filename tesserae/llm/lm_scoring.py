@@ -1,211 +1,233 @@
 """Language-model scoring by cross-entropy difference.
 
-Two bigram models, one of target texts and one of background texts, share one vocabulary, one smoothing and one total of words: the counts of either are scaled to that of the smaller. A document's score is its mean loss per token under the target model less that under the background model; low scores read like the target. All words and all bigrams of all documents are counted exactly, in distributed tables that grow with the corpus; a document's distinct bigrams are joined to them. Words are named by 64-bit hashes.
+Two bigram models, one of target texts and one of background texts, share one vocabulary, one smoothing and one total of words: the counts of either are scaled to that of the smaller. A document's score is its mean loss per token under the target model less that under the background model; low scores read like the target. Every word and every bigram of the corpus is counted exactly, however many there are.
+
+What is gathered grows with the corpus, so it is kept small. Documents are cut into parts of a bounded number of characters. A part is one row: its distinct words, and each token's place among them. From it follow the part's distinct words and bigrams, named by 64-bit hashes, in sorted order. Each part sends them, packed as differences, with its own counts to ranges of hashes; a range adds them up and sends the corpus's counts back in the same order, without the names. The part then holds the counts of all that stands in it, and scores its documents. No table of the whole vocabulary meets anywhere.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
-from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import dropped, saved, small_batches
+from tesserae.llm.common import saved, small_batches
+from tesserae.llm.fingerprints import mix
+from tesserae.llm.words import words_of
 
-#: Words that vocabulary() returns at most, weight of the unigram model behind a bigram, and the unigram model's add-on.
-VOCABULARY, PRIOR, ADD = 65_536, 64.0, 0.5
-#: Distinct words that a counting task holds before it passes them on, and characters that are counted or scored together.
-HELD_WORDS, PART_CHARS = 400_000, 1_000_000
+#: Weight of the unigram model behind a bigram, and the unigram model's add-on.
+PRIOR, ADD = 64.0, 0.5
+#: Characters of a part, names of a range of hashes on average, and labelled documents that are sent to all executors (8 bytes each; more are joined by sorting).
+PART_CHARS, RANGE_NAMES, SENT_LABELS = 4_000_000, 1_000_000, 1_000_000
 #: The name of the symbol before a text's first word.
-START = 0x5EED_0F_7E87
+START = np.uint64(0x5EED_0F_7E87)
+#: Kinds of documents: of the background, of the target, and those that are scored only.
+BACKGROUND, TARGET, OTHER = 0, 1, 2
+BIGRAMS, WORDS = 0, 1
+PART = "part bigint, ids array<bigint>, kinds binary, sizes binary, words binary, n_words int, tokens binary, n0 bigint, n1 bigint"
 
 
-def words_of(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+def squeezed(x: np.ndarray) -> bytes:
+    """Numbers from 0 on by planes of bytes, as many as the largest one needs, compressed."""
+    x = x.astype("<u8")
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return bytes([width]) + pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
 
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> list[str]:
-    """The commonest words of the whole corpus: all that occur at least so often that they number size at most. Ordered by count, ties in code-point order."""
+def unsqueezed(raw: bytes, n: int) -> np.ndarray:
+    out, width = np.zeros((n, 8), np.uint8), raw[0]
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(raw[1:], decompressed_size=n * width, codec="zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
 
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+def differences(x: np.ndarray) -> np.ndarray:
+    """Of sorted numbers the first one, and what each is over the one before."""
+    return np.diff(x, prepend=x.dtype.type(0))
+
+
+def tallied(place: np.ndarray, kind: np.ndarray, n: int) -> list[np.ndarray]:
+    """How often each of n places stands in background and in target texts."""
+    return [np.bincount(place[kind == k], minlength=n) for k in (BACKGROUND, TARGET)]
+
+
+class Part:
+    """The documents of a part: names (sorted, the start symbol among them), each token's place in them, and each document's words and kind."""
+
+    def __init__(self, names: np.ndarray, tokens: np.ndarray, sizes: np.ndarray, kinds: np.ndarray):
+        self.names, self.tokens, self.sizes, self.kinds = names, tokens.astype(np.int64), sizes.astype(np.int64), kinds
+        self.start = int(np.searchsorted(names, START))
+        self.kind = np.repeat(kinds, self.sizes)
+        self.first = (np.cumsum(self.sizes) - self.sizes)[self.sizes > 0]
+
+    @staticmethod
+    def of_texts(texts: list[str], kinds: list[int]) -> Part:
+        words = words_of([t.lower() for t in texts])
+        names, tokens = np.unique(words.hashes, return_inverse=True)
+        every = np.union1d(names, START)
+        return Part(every, np.searchsorted(every, names)[tokens], np.diff(words.first), np.array(kinds, np.uint8))
+
+    def word_counts(self) -> list[np.ndarray]:
+        """Of each name; the start symbol counts once a document with words."""
+        out = tallied(self.tokens, self.kind, len(self.names))
+        for k, n in zip((BACKGROUND, TARGET), out, strict=True):
+            n[self.start] = int(((self.kinds == k) & (self.sizes > 0)).sum())
+        return out
+
+    def bigrams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Names of the distinct bigrams, sorted; the places of both words of each; and the place of each token's bigram among them."""
+        before = np.empty_like(self.tokens)
+        before[1:] = self.tokens[:-1]
+        before[self.first] = self.start
+        pair, at = np.unique(before * len(self.names) + self.tokens, return_inverse=True)
+        a, b = pair // len(self.names), pair % len(self.names)
+        names = mix(mix(self.names[a] + np.uint64(1)) * np.uint64(3) + self.names[b])
+        order = np.argsort(names, kind="stable")
+        rank = np.empty_like(order)
+        rank[order] = np.arange(len(order))
+        return names[order], a[order], b[order], rank[at]
+
+
+def part_of(row: dict) -> Part:
+    sizes = np.frombuffer(row["sizes"], "<u4")
+    names = np.cumsum(unsqueezed(row["words"], row["n_words"]), dtype=np.uint64)
+    return Part(names, unsqueezed(row["tokens"], int(sizes.sum(dtype=np.int64))), sizes, np.frombuffer(row["kinds"], np.uint8))
 
-        for batch in batches:
-            for text in batch.column(0):
-                held.update(words_of(text.as_py()))
-                if len(held) > HELD_WORDS:
-                    yield out()
-                    held = Counter()
-        if held:
-            yield out()
 
-    counts = saved(docs.select("text").mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")), "words")
-    # how many words occur how often, in classes that get coarser with the count: a table of bounded size
-    low = F.when(F.col("n") < 1000, F.col("n")).otherwise(F.pow(F.lit(1.02), F.floor(F.log("n") / F.log(F.lit(1.02)))).cast("bigint"))
-    least, room = 2**62, size
-    for r in counts.groupBy(low.alias("low")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.col("low").desc()).collect():
-        if r["words"] > room:
-            break
-        least, room = r["low"], room - r["words"]
-    kept = counts.where(low >= least).collect()
-    dropped(counts)
-    return [w for _, w in sorted((-r["n"], r["word"]) for r in kept)]
-
-
-def names_of(text: str | None, named: dict[str, int]) -> list[int]:
-    """Names of a text's words; named keeps those of words seen before."""
-    if len(named) > HELD_WORDS:
-        named.clear()
-    out, get = [], named.get
-    for w in words_of(text):
-        if (n := get(w)) is None:
-            n = named[w] = int.from_bytes(blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        out.append(n)
-    return out
-
-
-def pairs_of(names: np.ndarray, firsts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct (group, word before, word) and how often each stands; firsts are the places of texts' first words."""
-    before = np.empty_like(names)
-    before[1:] = names[:-1]
-    before[firsts] = START
-    order = np.lexsort((names, before, group))
-    g, a, b = group[order], before[order], names[order]
-    new = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(g)])
-    return g[new], a[new], b[new], np.diff(np.append(new, len(g)))
-
-
-def bigrams_of(docs: DataFrame) -> DataFrame:
-    """a, b, n0 and n1: how often b follows a in background and in target texts. docs: text, target."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        named: dict[str, int] = {}
-        names, firsts, kinds, lens, chars = [], [], [], [], 0
+def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text and kind: target where the labels say good quality and nothing else."""
+    good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").cast("bigint").alias("of"))
+    good = saved(good, "good")
+    good = F.broadcast(good) if good.count() <= SENT_LABELS else good.hint("merge")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return rows.join(good, F.col("doc_id") == F.col("of"), "left").select("doc_id", "text", F.when(F.col("of").isNotNull(), TARGET).otherwise(BACKGROUND).alias("kind"))
+
+
+def in_parts(rows: DataFrame) -> DataFrame:
+    """The parts of rows (doc_id, text, kind), as PART."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 32
+        ids, texts, kinds, chars = [], [], [], 0
 
         def out() -> pa.RecordBatch:
-            kind = np.repeat(np.array(kinds, np.int64), lens)
-            k, a, b, n = pairs_of(np.array(names, np.int64), np.array(firsts, np.int64), kind)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.where(k == 0, n, 0)), pa.array(np.where(k == 1, n, 0))], ["a", "b", "n0", "n1"])
+            p = Part.of_texts(texts, kinds)
+            n0, n1 = (int(p.sizes[p.kinds == k].sum()) for k in (BACKGROUND, TARGET))
+            row = {"part": at, "ids": ids, "kinds": p.kinds.tobytes(), "sizes": p.sizes.astype("<u4").tobytes(), "words": squeezed(differences(p.names)), "n_words": len(p.names), "tokens": squeezed(p.tokens), "n0": n0, "n1": n1}
+            kind = {"part": pa.int64(), "ids": pa.list_(pa.int64()), "n_words": pa.int32(), "n0": pa.int64(), "n1": pa.int64()}
+            return pa.RecordBatch.from_arrays([pa.array([v], kind.get(c, pa.binary())) for c, v in row.items()], list(row))
 
         for batch in batches:
-            for text, target in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                some = names_of(text.as_py(), named)
-                if not some:
-                    continue
-                firsts.append(len(names))
-                kinds.append(int(target))
-                lens.append(len(some))
-                names += some
-                chars += len(text.as_py())
-                if chars > 4 * PART_CHARS:
+            for i, text, kind in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                ids.append(i)
+                texts.append(text.as_py() or "")
+                kinds.append(kind)
+                chars += len(texts[-1])
+                if chars >= PART_CHARS:
                     yield out()
-                    names, firsts, kinds, lens, chars = [], [], [], [], 0
-        if names:
+                    at, ids, texts, kinds, chars = at + 1, [], [], [], 0
+        if ids:
             yield out()
 
-    found = docs.select("text", "target").mapInArrow(count, "a bigint, b bigint, n0 bigint, n1 bigint")
-    return found.groupBy("a", "b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-
+    return rows.select("doc_id", "text", "kind").mapInArrow(run, PART)
 
-@dataclass
-class Models:
-    """Both models: losses of each bigram of the corpus (g, the bigram's name, l0 and l1) and counts of its words and the start symbol (w, n0, n1), as distributed tables; and by background and target the scale of counts and the words in all, scaled; the number of distinct words, with an unknown one."""
 
-    losses: DataFrame
-    words: DataFrame
-    scale: list[float]
-    totals: list[float]
-    size: int
+def totals(parts: DataFrame, what: tuple[int, ...], bits: int) -> DataFrame:
+    """For each part, kind of name and range of hashes (2 ** bits of them): sums, the corpus's counts of the part's names in their order; and distinct, in one row of a range the number of its names that the models know."""
+    partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sent = "what int, range int, part bigint, n int, names binary, n0 binary, n1 binary"
 
-    def loss(self, k: int, joint: Column, context: Column, word: Column) -> Column:
-        """Loss in nats of a word: counts of the bigram, of the word before and of the word, null as 0."""
-        n = lambda c: F.coalesce(c, F.lit(0)) * F.lit(self.scale[k])
-        single = (n(word) + ADD) / F.lit(self.totals[k] + ADD * self.size)
-        return -F.log((n(joint) + PRIOR * single) / (n(context) + PRIOR))
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split(" ")[0] for x in sent.split(", ")]
+        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                p, cols = part_of(row), [[] for _ in types]
+                for k in what:
+                    if k == WORDS:
+                        keys, counts = p.names, p.word_counts()
+                    else:
+                        keys, _, _, at = p.bigrams()
+                        counts = tallied(at, p.kind, len(keys))
+                    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+                    begin = np.flatnonzero(np.diff(ranges, prepend=-1))
+                    for a, z in zip(begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True):
+                        for col, v in zip(cols, (k, int(ranges[a]), row["part"], z - a, squeezed(differences(keys[a:z])), squeezed(counts[0][a:z]), squeezed(counts[1][a:z])), strict=True):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
 
+        def out() -> pa.RecordBatch:
+            keys, at = np.unique(np.concatenate([np.cumsum(unsqueezed(r["names"], r["n"]), dtype=np.uint64) for r in held]), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([unsqueezed(r[c], r["n"]) for r in held]).astype(np.float64), len(keys)).astype(np.uint64) for c in ("n0", "n1")]
+            ends = np.cumsum([r["n"] for r in held])
+            back = [np.split(s[at], ends[:-1]) for s in sums]
+            known = int((sums[0] + sums[1] > 0).sum())
+            return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in held], pa.int64()), pa.array([now[0]] * len(held), pa.int32()), pa.array([now[1]] * len(held), pa.int32()), pa.array([r["n"] for r in held], pa.int32()), pa.array([squeezed(s) for s in back[0]], pa.binary()), pa.array([squeezed(s) for s in back[1]], pa.binary()), pa.array([known] + [0] * (len(held) - 1), pa.int64())], ["part", "what", "range", "n", "s0", "s1", "distinct"])
 
-def named(a: str, b: str) -> Column:
-    """The name of a bigram."""
-    return F.xxhash64(a, b)
+        for batch in batches:
+            for row in batch.to_pylist():
+                if (row["what"], row["range"]) != now:
+                    if held:
+                        yield out()
+                    now, held = (row["what"], row["range"]), []
+                held.append(row)
+        if held:
+            yield out()
 
+    rows = parts.mapInArrow(send, sent).repartition(partitions, "what", "range").sortWithinPartitions("what", "range", "part")
+    return rows.mapInArrow(add, "part bigint, what int, range int, n int, s0 binary, s1 binary, distinct bigint")
 
-def contexts(bigrams: DataFrame, words: DataFrame) -> DataFrame:
-    """bigrams (a, b) with the counts of both words: a0, a1, b0, b1."""
-    before = words.select(F.col("w").alias("wa"), F.col("n0").alias("a0"), F.col("n1").alias("a1"))
-    word = words.where(F.col("w") != START).select(F.col("w").alias("wb"), F.col("n0").alias("b0"), F.col("n1").alias("b1"))
-    return bigrams.join(before, F.col("a") == F.col("wa"), "left").join(word, F.col("b") == F.col("wb"), "left")
 
+def scored(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None) -> DataFrame:
+    """doc_id, n_tokens, loss_target, loss_background (nats per token) and difference, the former less the latter: of docs, or of others, by models of docs.
 
-def trained(docs: DataFrame, labels: DataFrame) -> Models:
-    """Models of the documents labelled as of good quality (target) and of all other documents (background). Every document is counted once a row; contradicting and null labels count as none."""
+    The target model is of the documents labelled as of good quality (labels: doc_id, quality; contradicting and null labels count as none), the background model of all other ones. docs and others: doc_id and text; other columns are ignored. Every document is counted once a row. One row for each row, null ids and repeated rows too; words are runs of other than ASCII white space in lower case, and without any n_tokens is 0 and the losses are null. Words and bigrams of others that docs lack count as unseen. An empty table of docs gives models that hold all words alike. A text is looked at whole by one task.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select(F.col("doc_id").alias("of"))
-    # both tables grow alike, so the join is by sorting at any size
-    rows = docs.select("doc_id", "text").join(good.hint("merge"), F.col("doc_id") == F.col("of"), "left").select("text", F.col("of").isNotNull().alias("target"))
-    bigrams = saved(bigrams_of(rows), "bigrams")
-    words = bigrams.groupBy(F.col("b").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # each text with words has one first word, so the start symbol's count is that of the bigrams that it leads
-    start = bigrams.where(F.col("a") == START).groupBy(F.col("a").alias("w")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    words = saved(words.unionByName(start), "words")
-    t = words.where(F.col("w") != START).agg(F.count(F.lit(1)), F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
-    totals = [t[1], t[2]]
-    scale = [min(totals) / max(n, 1) for n in totals] if min(totals) else [1.0, 1.0]
-    models = Models(bigrams, words, scale, [n * s for n, s in zip(totals, scale, strict=True)], t[0] + 1)
-    loss = [models.loss(k, F.col(f"n{k}"), F.col(f"a{k}"), F.col(f"b{k}")).alias(f"l{k}") for k in (0, 1)]
-    models.losses = saved(contexts(bigrams, words).select(named("a", "b").alias("g"), *loss), "losses")
-    dropped(bigrams)
-    return models
-
-
-def scored(docs: DataFrame, models: Models) -> DataFrame:
-    """doc_id, n_tokens, loss_target, loss_background (nats per token) and difference, the former less the latter.
-
-    docs: doc_id and text; other columns are ignored. One row for each row, null ids and repeated rows too; without words n_tokens is 0 and the losses are null. Words and bigrams that the models do not know count as unseen.
-    """
-    small_batches(docs.sparkSession)
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, int] = {}
-        at = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            ids, texts, start = batch.column(0), batch.column(1), 0
-            while start < batch.num_rows:
-                part, chars = [], 0
-                while start + len(part) < batch.num_rows and chars < PART_CHARS:
-                    text = texts[start + len(part)].as_py()
-                    part.append(names_of(text, seen))
-                    chars += len(text or "")
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + len(part))), ids.slice(start, len(part)), pa.array(part, pa.list_(pa.int64()))], ["row", "doc_id", "names"])
-                start, at = start + len(part), at + len(part)
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lens = np.diff(batch.column(1).offsets.to_numpy())
-            names = batch.column(1).flatten().to_numpy()
-            if len(names):
-                firsts = (np.cumsum(lens) - lens)[lens > 0]
-                r, a, b, n = pairs_of(names, firsts, np.repeat(batch.column(0).to_numpy(), lens))
-                yield pa.RecordBatch.from_arrays([pa.array(r), pa.array(a), pa.array(b), pa.array(n)], ["row", "a", "b", "n"])
-
-    rows = saved(docs.selectExpr("cast(doc_id as bigint) doc_id", "text").mapInArrow(name, "row bigint, doc_id bigint, names array<bigint>"), "names")
-    pairs = rows.select("row", "names").mapInArrow(pair, "row bigint, a bigint, b bigint, n bigint")
-    sums = [F.sum(F.col("n") * F.col(f"l{k}")).alias(f"l{k}") for k in (0, 1)]
-    known = models.losses.withColumnRenamed("g", "k")
-    hit = pairs.select("row", named("a", "b").alias("g"), "n").join(known.hint("merge"), F.col("g") == F.col("k"), "left")
-    found = saved(hit.groupBy("row").agg(*sums, F.sum(F.when(F.col("k").isNull(), F.col("n")).otherwise(0)).alias("unseen")), "found")
-    if not found.where("unseen > 0").isEmpty():
-        rest = pairs.withColumn("g", named("a", "b")).join(known, F.col("g") == F.col("k"), "left_anti")
-        rest = contexts(rest, models.words).select("row", "n", *[models.loss(k, F.lit(0), F.col(f"a{k}"), F.col(f"b{k}")).alias(f"l{k}") for k in (0, 1)])
-        found = found.select("row", "l0", "l1").unionByName(rest.groupBy("row").agg(*sums)).groupBy("row").agg(F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
-    out = rows.select("row", "doc_id", F.size("names").cast("bigint").alias("n_tokens")).join(found.withColumnRenamed("row", "r"), F.col("row") == F.col("r"), "left")
-    return out.select("doc_id", "n_tokens", (F.col("l1") / F.col("n_tokens")).alias("loss_target"), (F.col("l0") / F.col("n_tokens")).alias("loss_background"), ((F.col("l1") - F.col("l0")) / F.col("n_tokens")).alias("difference"))
+    rows = labelled(docs, labels)
+    if others is not None:
+        rows = rows.unionByName(others.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(OTHER).alias("kind")))
+    parts = saved(in_parts(rows), "parts")
+    t = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n0", "n1")], F.coalesce(F.sum("n_words"), F.lit(0))).first()
+    tokens = [t[0], t[1]]
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # a part has about as many bigrams as tokens; some ranges a task, so that tasks are of like size
+    bits = min(31, max(8 * partitions, (sum(tokens) + t[2]) // RANGE_NAMES).bit_length())
+    distinct = totals(parts, (WORDS,), bits).agg(F.sum("distinct")).first()[0] or 0
+    scale = [min(tokens) / max(n, 1) for n in tokens] if min(tokens) else [1.0, 1.0]
+    size = max(1, distinct)  # the words, and in the start symbol's place one for all unknown ones
+    wanted = (BACKGROUND, TARGET) if others is None else (OTHER,)
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        columns = ["doc_id", "n_tokens", "loss_target", "loss_background"]
+        out = []
+        for row in left.to_pylist():
+            p = part_of(row)
+            got = sorted(right.to_pylist(), key=lambda r: (r["what"], r["range"]))
+            sums = {k: [np.concatenate([unsqueezed(r[c], r["n"]) for r in got if r["what"] == k] or [np.zeros(0, np.uint64)]).astype(np.float64) for c in ("s0", "s1")] for k in (BIGRAMS, WORDS)}
+            _, a, b, at = p.bigrams()
+            ends = np.cumsum(p.sizes)
+            losses = []
+            for k in (TARGET, BACKGROUND):
+                joint, word = sums[BIGRAMS][k] * scale[k], sums[WORDS][k] * scale[k]
+                single = (word[b] + ADD) / (tokens[k] * scale[k] + ADD * size)
+                upto = np.append(0.0, np.cumsum(-np.log((joint + PRIOR * single) / (word[a] + PRIOR))[at]))
+                total = upto[ends] - upto[ends - p.sizes]
+                losses.append(np.where(p.sizes > 0, total / np.maximum(p.sizes, 1), np.nan))
+            keep = np.isin(p.kinds, wanted)
+            out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(p.sizes), *[pa.array(x, mask=p.sizes == 0) for x in losses]], columns).filter(pa.array(keep)))
+        return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], columns)
+
+    back = totals(parts, (BIGRAMS, WORDS), bits).select("part", "what", "range", "n", "s0", "s1")
+    out = parts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(score, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double")
+    return out.withColumn("difference", F.col("loss_target") - F.col("loss_background"))

@@ -31,8 +31,7 @@ def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return lm_scoring.scored(docs, lm_scoring.trained(docs, table(spark, sf_dir, "labels")))
+    return lm_scoring.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

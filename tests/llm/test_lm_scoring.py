@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from tesserae.llm import lm_scoring as lm
 
@@ -24,7 +25,7 @@ def corpus():
 
 
 def brute(docs, good):
-    """Losses by dictionaries, without slots."""
+    """Losses by dictionaries."""
     words = [w for _, w in sorted((-n, w) for w, n in Counter(w for _, t, *_ in docs for w in (t or "").lower().split()).items())]
     uni, bi = [Counter(), Counter()], [Counter(), Counter()]
     for i, t, *_ in docs:
@@ -46,48 +47,66 @@ def brute(docs, good):
     return out
 
 
-def test_as_by_dictionaries(spark):
-    docs, labels = corpus()
-    d = spark.createDataFrame(docs, DOCS).repartition(3)
-    models = lm.trained(d, spark.createDataFrame(labels, LABELS))
-    got = {r["doc_id"]: r for r in lm.scored(d, models).collect()}
-    want = brute(docs, {i for i, q, *_ in labels if q})
-    off = []
+def held(got, want):
     for i, (n, target, background) in want.items():
         assert got[i]["n_tokens"] == n
-        off.append(np.abs(np.array([got[i]["loss_target"], got[i]["loss_background"], got[i]["difference"]]) - [target, background, target - background]).max())
-    assert np.median(off) < 1e-6 and max(off) < 0.2  # a few bigrams share a slot
+        assert np.abs(np.array([got[i]["loss_target"], got[i]["loss_background"], got[i]["difference"]]) - [target, background, target - background]).max() < 1e-9
+
+
+@pytest.mark.parametrize("chars", [300, 4_000_000])
+def test_as_by_dictionaries(spark, monkeypatch, chars):
+    monkeypatch.setattr(lm, "PART_CHARS", chars)
+    docs, labels = corpus()
+    d = spark.createDataFrame(docs, DOCS).repartition(3)
+    got = {r["doc_id"]: r for r in lm.scored(d, spark.createDataFrame(labels, LABELS)).collect()}
+    held(got, brute(docs, {i for i, q, *_ in labels if q}))
     score = lambda k: np.mean([got[i]["difference"] for i in got if (i % 3 == 0) == k])
     assert score(True) < score(False) - 0.2
 
 
-def test_vocabulary_has_no_partial_ties(spark):
-    docs = spark.createDataFrame([(1, "a a a b b c c d", 0, 0.0)], DOCS)
-    assert lm.vocabulary(docs, 4) == ["a", "b", "c", "d"]
-    assert lm.vocabulary(docs, 2) == ["a"]
+def test_labels_joined_by_sorting_are_the_same(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SENT_LABELS", 0)
+    docs, labels = corpus()
+    got = {r["doc_id"]: r for r in lm.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()}
+    held(got, brute(docs, {i for i, q, *_ in labels if q}))
+
+
+def test_other_documents_are_scored_and_not_counted(spark):
+    docs, labels = corpus()
+    d, of = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    own = {r["doc_id"]: r for r in lm.scored(d, of).collect()}
+    others = [(1000 + i, t, *rest) for i, t, *rest in docs[:20]] + [(2000, "never seen", 0, 0.0)]
+    got = {r["doc_id"]: r for r in lm.scored(d, of, spark.createDataFrame(others, DOCS)).collect()}
+    assert set(got) == {i for i, *_ in others}
+    assert all(abs(got[1000 + i]["difference"] - own[i]["difference"]) < 1e-9 for i in range(20))
+    assert got[2000]["n_tokens"] == 2
 
 
 def test_nulls_empty_repeated_long_and_empty_tables(spark):
     docs, labels = corpus()
     docs += [(None, "w1 w2", None, None), (500, None, None, None), (501, "", None, None), (501, "", None, None), (502, "w1 " * 100000, None, None)]
     labels += [(None, 1, 0, 0), (0, 0, 0, 0), (500, None, None, None)]
-    d = spark.createDataFrame(docs, DOCS)
-    models = lm.trained(d, spark.createDataFrame(labels, LABELS))
-    got = lm.scored(d, models).collect()
+    got = lm.scored(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).collect()
     assert len(got) == len(docs)
     assert all((r["difference"] is None) == (r["n_tokens"] == 0) for r in got)
-    none = spark.createDataFrame([], DOCS)
-    assert lm.scored(none, lm.trained(none, spark.createDataFrame([], LABELS))).collect() == []
+    assert sorted(r["n_tokens"] for r in got if r["doc_id"] in (500, 501)) == [0, 0, 0]
+    none, unlabelled = spark.createDataFrame([], DOCS), spark.createDataFrame([], LABELS)
+    assert lm.scored(none, unlabelled).collect() == []
+    assert len(lm.scored(spark.createDataFrame(docs, DOCS), unlabelled).collect()) == len(docs)
 
 
-def test_every_bigram_has_its_own_count(spark):
-    """More than 65,536 words, and so many bigrams that in 2^20 slots about a quarter would share one."""
+def test_every_word_and_bigram_has_its_own_count(spark):
+    """Over 65,536 words, some equally frequent, and over 2^18 bigrams."""
     rng = random.Random(9)
     docs = [(i, " ".join(f"w{rng.randrange(90_000)}" for _ in range(1000)), 1, 0.0) for i in range(300)]
+    docs.append((300, " ".join(f"x{k}" for k in range(70_000)), 1, 0.0))
     labels = [(i, int(i % 3 == 0), 0, 0) for i in range(300)]
     d = spark.createDataFrame(docs, DOCS).repartition(3)
-    got = {r["doc_id"]: r for r in lm.scored(d, lm.trained(d, spark.createDataFrame(labels, LABELS))).collect()}
-    want = brute(docs, {i for i, q, *_ in labels if q})
-    for i, (n, target, background) in want.items():
-        assert got[i]["n_tokens"] == n
-        assert abs(got[i]["loss_target"] - target) < 1e-9 and abs(got[i]["loss_background"] - background) < 1e-9
+    got = {r["doc_id"]: r for r in lm.scored(d, spark.createDataFrame(labels, LABELS)).collect()}
+    held(got, brute(docs, {i for i, q, *_ in labels if q}))
+
+
+def test_numbers_come_back_from_their_planes():
+    for x in ([], [0], [255, 256, 0], [2**64 - 1, 1], list(range(1000))):
+        x = np.array(x, np.uint64)
+        assert (lm.unsqueezed(lm.squeezed(x), len(x)) == x).all()
