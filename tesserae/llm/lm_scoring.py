@@ -2,7 +2,7 @@
 
 Two bigram models, one of target texts and one of background texts, share one vocabulary, one smoothing and one total of words: the counts of either are scaled to that of the smaller. A document's score is its mean loss per token under the target model less that under the background model; low scores read like the target. Every word and every bigram of the corpus is counted exactly, however many there are.
 
-What is gathered grows with the corpus, so it is kept small. Documents are cut into parts of a bounded number of characters. A part is one row: its distinct words, and each token's place among them. From it follow the part's distinct words and bigrams, named by 64-bit hashes, in sorted order. Each part sends them, packed as differences, with its own counts to ranges of hashes; a range adds them up and sends the corpus's counts back in the same order, without the names. The part then holds the counts of all that stands in it, and scores its documents. No table of the whole vocabulary meets anywhere.
+What is gathered grows with the corpus, so it is kept small. Documents are cut into parts of a bounded number of characters. A part is one row: its distinct words, and each token's place among them. From it follow the part's distinct words and bigrams, named by hashes, in sorted order. Each part sends them, packed as differences, with its own counts to ranges of hashes; a range adds them up and sends the corpus's counts back in the same order, without the names. The part then holds the counts of all that stands in it, and scores its documents. No table of the whole vocabulary meets anywhere.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from tesserae.llm.words import words_of
 
 #: Weight of the unigram model behind a bigram, and the unigram model's add-on.
 PRIOR, ADD = 64.0, 0.5
-#: Characters of a part, names of a range of hashes on average, and labelled documents that are sent to all executors (8 bytes each; more are joined by sorting).
-PART_CHARS, RANGE_NAMES, SENT_LABELS = 4_000_000, 1_000_000, 1_000_000
+#: Bits of a bigram's name; words have 64.
+BIGRAM_BITS = 56
+#: Characters of a part and of those whose words are hashed at once, names of a range of hashes on average, and labelled documents that are sent to all executors (8 bytes each; more are joined by sorting).
+PART_CHARS, HASHED_CHARS, RANGE_NAMES, SENT_LABELS = 4_000_000, 1_000_000, 1_000_000, 1_000_000
 #: The name of the symbol before a text's first word.
 START = np.uint64(0x5EED_0F_7E87)
 #: Kinds of documents: of the background, of the target, and those that are scored only.
@@ -67,10 +69,18 @@ class Part:
 
     @staticmethod
     def of_texts(texts: list[str], kinds: list[int]) -> Part:
-        words = words_of([t.lower() for t in texts])
-        names, tokens = np.unique(words.hashes, return_inverse=True)
+        hashes, sizes, some, chars = [], [], [], 0
+        for k, text in enumerate(texts):
+            some.append(text.lower())
+            chars += len(text)
+            if chars >= HASHED_CHARS or k == len(texts) - 1:
+                words = words_of(some)
+                hashes.append(words.hashes)
+                sizes.append(np.diff(words.first))
+                some, chars = [], 0
+        names, tokens = np.unique(np.concatenate(hashes), return_inverse=True)
         every = np.union1d(names, START)
-        return Part(every, np.searchsorted(every, names)[tokens], np.diff(words.first), np.array(kinds, np.uint8))
+        return Part(every, np.searchsorted(every, names)[tokens], np.concatenate(sizes), np.array(kinds, np.uint8))
 
     def word_counts(self) -> list[np.ndarray]:
         """Of each name; the start symbol counts once a document with words."""
@@ -86,7 +96,7 @@ class Part:
         before[self.first] = self.start
         pair, at = np.unique(before * len(self.names) + self.tokens, return_inverse=True)
         a, b = pair // len(self.names), pair % len(self.names)
-        names = mix(mix(self.names[a] + np.uint64(1)) * np.uint64(3) + self.names[b])
+        names = mix(mix(self.names[a] + np.uint64(1)) * np.uint64(3) + self.names[b]) >> np.uint64(64 - BIGRAM_BITS)
         order = np.argsort(names, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
@@ -137,29 +147,29 @@ def in_parts(rows: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", "kind").mapInArrow(run, PART)
 
 
-def totals(parts: DataFrame, what: tuple[int, ...], bits: int) -> DataFrame:
-    """For each part, kind of name and range of hashes (2 ** bits of them): sums, the corpus's counts of the part's names in their order; and distinct, in one row of a range the number of its names that the models know."""
+def totals(parts: DataFrame, what: int, bits: int) -> DataFrame:
+    """For each part and range of hashes (2 ** bits of them), of names of this kind: s0 and s1, the corpus's counts of the part's names in their order; and distinct, in one row of a range the number of its names that the models know."""
     partitions = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = "what int, range int, part bigint, n int, names binary, n0 binary, n1 binary"
+    sent = "range int, part bigint, n int, names binary, n0 binary, n1 binary"
+    shift = np.uint64((64 if what == WORDS else BIGRAM_BITS) - bits)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in sent.split(", ")]
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        types = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 p, cols = part_of(row), [[] for _ in types]
-                for k in what:
-                    if k == WORDS:
-                        keys, counts = p.names, p.word_counts()
-                    else:
-                        keys, _, _, at = p.bigrams()
-                        counts = tallied(at, p.kind, len(keys))
-                    ranges = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    begin = np.flatnonzero(np.diff(ranges, prepend=-1))
-                    for a, z in zip(begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True):
-                        for col, v in zip(cols, (k, int(ranges[a]), row["part"], z - a, squeezed(differences(keys[a:z])), squeezed(counts[0][a:z]), squeezed(counts[1][a:z])), strict=True):
-                            col.append(v)
+                if what == WORDS:
+                    keys, counts = p.names, p.word_counts()
+                else:
+                    keys, _, _, at = p.bigrams()
+                    counts = tallied(at, p.kind, len(keys))
+                ranges = (keys >> shift).astype(np.int64)
+                begin = np.flatnonzero(np.diff(ranges, prepend=-1))
+                for a, z in zip(begin.tolist(), np.append(begin[1:], len(keys)).tolist(), strict=True):
+                    for col, v in zip(cols, (int(ranges[a]), row["part"], z - a, squeezed(differences(keys[a:z])), squeezed(counts[0][a:z]), squeezed(counts[1][a:z])), strict=True):
+                        col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -171,19 +181,19 @@ def totals(parts: DataFrame, what: tuple[int, ...], bits: int) -> DataFrame:
             ends = np.cumsum([r["n"] for r in held])
             back = [np.split(s[at], ends[:-1]) for s in sums]
             known = int((sums[0] + sums[1] > 0).sum())
-            return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in held], pa.int64()), pa.array([now[0]] * len(held), pa.int32()), pa.array([now[1]] * len(held), pa.int32()), pa.array([r["n"] for r in held], pa.int32()), pa.array([squeezed(s) for s in back[0]], pa.binary()), pa.array([squeezed(s) for s in back[1]], pa.binary()), pa.array([known] + [0] * (len(held) - 1), pa.int64())], ["part", "what", "range", "n", "s0", "s1", "distinct"])
+            return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in held], pa.int64()), pa.array([what] * len(held), pa.int32()), pa.array([now] * len(held), pa.int32()), pa.array([r["n"] for r in held], pa.int32()), pa.array([squeezed(s) for s in back[0]], pa.binary()), pa.array([squeezed(s) for s in back[1]], pa.binary()), pa.array([known] + [0] * (len(held) - 1), pa.int64())], ["part", "what", "range", "n", "s0", "s1", "distinct"])
 
         for batch in batches:
             for row in batch.to_pylist():
-                if (row["what"], row["range"]) != now:
+                if row["range"] != now:
                     if held:
                         yield out()
-                    now, held = (row["what"], row["range"]), []
+                    now, held = row["range"], []
                 held.append(row)
         if held:
             yield out()
 
-    rows = parts.mapInArrow(send, sent).repartition(partitions, "what", "range").sortWithinPartitions("what", "range", "part")
+    rows = parts.mapInArrow(send, sent).repartition(partitions, "range").sortWithinPartitions("range", "part")
     return rows.mapInArrow(add, "part bigint, what int, range int, n int, s0 binary, s1 binary, distinct bigint")
 
 
@@ -203,7 +213,8 @@ def scored(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None)
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a part has about as many bigrams as tokens; some ranges a task, so that tasks are of like size
     bits = min(31, max(8 * partitions, (sum(tokens) + t[2]) // RANGE_NAMES).bit_length())
-    distinct = totals(parts, (WORDS,), bits).agg(F.sum("distinct")).first()[0] or 0
+    words = saved(totals(parts, WORDS, bits), "words")
+    distinct = words.agg(F.sum("distinct")).first()[0] or 0
     scale = [min(tokens) / max(n, 1) for n in tokens] if min(tokens) else [1.0, 1.0]
     size = max(1, distinct)  # the words, and in the start symbol's place one for all unknown ones
     wanted = (BACKGROUND, TARGET) if others is None else (OTHER,)
@@ -228,6 +239,6 @@ def scored(docs: DataFrame, labels: DataFrame, others: DataFrame | None = None)
             out.append(pa.table([pa.array(row["ids"], pa.int64()), pa.array(p.sizes), *[pa.array(x, mask=p.sizes == 0) for x in losses]], columns).filter(pa.array(keep)))
         return pa.concat_tables(out) if out else pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())], columns)
 
-    back = totals(parts, (BIGRAMS, WORDS), bits).select("part", "what", "range", "n", "s0", "s1")
+    back = words.unionByName(totals(parts, BIGRAMS, bits)).select("part", "what", "range", "n", "s0", "s1")
     out = parts.groupBy("part").cogroup(back.groupBy("part")).applyInArrow(score, "doc_id bigint, n_tokens bigint, loss_target double, loss_background double")
     return out.withColumn("difference", F.col("loss_target") - F.col("loss_background"))
