@@ -1,6 +1,6 @@
 """Embedding near-dedup by NN-descent.
 
-A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. Links over the threshold make components. Lists then hold the nearest vectors of the own component and, apart from them, the nearest of other components, so however dense a group is, it never keeps a link to another one out; components are merged until no link between two is found. Inside each component all similarities are then computed block by block, so the number of links of a vector is exact for its component without any pair being written. An audit holds a sample of vectors against all others; while it finds too few of a vector's links in common components, more leaves are added and the graph is refined again, and if that does not help, all vectors are compared block by block.
+A graph of each vector's nearest neighbours begins with random-projection leaves and is refined by joining neighbours of neighbours until few lists change. Links over the threshold make components. Lists then hold the nearest vectors of the own component and, apart from them, the nearest of other components, so however dense a group is, it never keeps a link to another one out; components are merged until no link between two is found. The number of links of a vector is then exact for its component without any pair being written: in a component of more than a block, the members so near its centre that any two of them are linked are only counted; the similarities of all others are computed block by block. An audit holds a sample of vectors against all others; while it finds too few of a vector's links in common components, more leaves are added and the graph is refined again, and if that does not help, all vectors are compared block by block.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import components, saved
 
 #: Neighbours of a list, of the own component and of others each; reversed ones; trees at first; vectors of a leaf and of a block; sampled vectors and the recall that the audit asks for.
-NEIGHBOURS, WIDE, TREES, LEAF, BLOCK, AUDITED, RECALL = 8, 32, 10, 128, 256, 256, 0.99
+NEIGHBOURS, WIDE, TREES, LEAF, BLOCK, AUDITED, RECALL = 8, 32, 10, 128, 512, 256, 0.99
 #: Members that stand for a component in a tree of representatives (others in each tree), and such trees a pass.
 MEMBERS, MEMBER_TREES = 8, 4
 ROUNDS, EXTRA = 4, 3
@@ -319,12 +319,68 @@ def compared(nodes: DataFrame, threshold: float) -> DataFrame:
     return dealt.mapInArrow(run, "u bigint, v bigint")
 
 
+def centres(rows: DataFrame) -> DataFrame:
+    """of (a component) and centre (the sum of its unit vectors). rows: component, vec. Each task adds up what it has, so a large component sends a vector from each task."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def batch_of(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["of", "centre"])
+
+    def add(batches: Iterator[pa.RecordBatch], unit: bool) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            dims = np.diff(batch.column(1).offsets.to_numpy())
+            for dim in np.unique(dims):
+                at = pa.array(np.flatnonzero(dims == dim))
+                comp, vec = batch.column(0).take(at).to_numpy(), batch.column(1).take(at)
+                x = units(vec) if unit else vec.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                order = np.argsort(comp, kind="stable")
+                begin = np.flatnonzero(np.diff(comp[order], prepend=comp[order[0]] - 1))
+                for c, some in zip(comp[order][begin].tolist(), np.add.reduceat(x[order], begin), strict=True):
+                    sums[c] = sums[c] + some if c in sums else some
+            if unit and len(sums) > 1000:
+                yield batch_of(sums)
+                sums = {}
+        if sums:
+            yield batch_of(sums)
+
+    partial = rows.select("component", "vec").mapInArrow(lambda b: add(b, True), "of bigint, centre array<double>")
+    return partial.repartition(parts, "of").mapInArrow(lambda b: add(b, False), "of bigint, centre array<double>")
+
+
+def cores(rows: DataFrame, threshold: float) -> DataFrame:
+    """rows (node, component, copies, vec) with core: whether a vector is within half the threshold's angle of its component's centre, so that any two such members are linked."""
+    near = np.sqrt((1 + threshold) / 2) + 1e-9
+    kind = rows.schema["vec"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = np.diff(batch.column(3).offsets.to_numpy())
+            for dim in np.unique(dims):
+                some = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                c = some.column(4).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                length = np.sqrt((c * c).sum(1))
+                core = (units(some.column(3)) * c).sum(1) >= near * length
+                yield pa.RecordBatch.from_arrays([*some.columns[:4], pa.array(core & (length > 0))], ["node", "component", "copies", "vec", "core"])
+
+    joined = rows.join(centres(rows), F.col("component") == F.col("of")).select("node", "component", "copies", "vec", "centre")
+    return joined.mapInArrow(run, f"node bigint, component bigint, copies bigint, vec {kind}, core boolean")
+
+
 def counted(nodes: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
-    """node and n: links of each node in its component, copies of the others counted. A component is cut into blocks, and every pair of blocks is one product of matrices; only counts leave a task."""
+    """node and n: links of each node in its component, copies of the others counted. The members of a large component's core are linked to one another; for the rest it is cut into blocks, and every pair of blocks but those of the core is one product of matrices. Only counts leave a task."""
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = of.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("component", "c")
-    rows = of.select(F.col("node").alias("k"), "component").join(sizes, F.col("component") == F.col("c")).join(nodes, F.col("k") == F.col("node"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    many = of.groupBy("component").agg((F.count(F.lit(1)) > BLOCK).alias("many")).withColumnRenamed("component", "c")
+    rows = of.select(F.col("node").alias("k"), "component").join(many, F.col("component") == F.col("c")).join(nodes, F.col("k") == F.col("node"))
+    rows = rows.select("node", "component", F.col("copies").cast("bigint").alias("copies"), "vec", "many")
+    large = saved(cores(rows.where("many").drop("many"), threshold), "cores")
+    rows = rows.where("not many").drop("many").withColumn("core", F.lit(False)).unionByName(large)
+    sizes = rows.groupBy("component").agg(*[F.ceil(F.count(F.when(F.col("core") == core, 1)) / BLOCK).cast("int").alias(name) for name, core in (("inner", True), ("outer", False))]).withColumnRenamed("component", "c")
+    rows = rows.join(sizes, F.col("component") == F.col("c"))
+    # blocks of the core come after the others, and meet only those
+    block = F.when(F.col("core"), F.col("outer") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("inner"))).otherwise(F.pmod(F.xxhash64("node", F.lit(5)), F.col("outer"))).cast("int")
+    meets = F.when(F.col("core"), F.col("outer")).otherwise(F.col("outer") + F.col("inner"))
+    rows = rows.withColumn("block", block).withColumn("meets", meets).where("meets > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("meets") - 1)))
     low, high = F.least("block", "other"), F.greatest("block", "other")
     rows = rows.select(F.xxhash64("component", low, high).alias("cell"), (F.col("block") > F.col("other")).alias("side"), (F.col("block") == F.col("other")).alias("own"), "node", "copies", "vec")
 
@@ -361,11 +417,14 @@ def counted(nodes: DataFrame, of: DataFrame, threshold: float) -> DataFrame:
             yield from count(held)
 
     dealt = rows.repartition(parts, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(run, "node bigint, n bigint").groupBy("node").agg(F.sum("n").alias("n"))
+    found = dealt.mapInArrow(run, "node bigint, n bigint")
+    inside = large.where("core").groupBy("component").agg(F.sum("copies").alias("all")).withColumnRenamed("component", "c")
+    inside = large.where("core").join(inside, F.col("component") == F.col("c")).select("node", (F.col("all") - F.col("copies")).alias("n"))
+    return found.unionByName(inside).groupBy("node").agg(F.sum("n").alias("n"))
 
 
 def deduplicated(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable) and kept (vec_id = component_id).
+    """vec_id, n_links (other vectors linked directly), component_id (smallest vec_id reachable), kept (vec_id = component_id) and audited_recall (the recall that the audit found, in every row; 1 where all vectors were compared).
 
     vectors: vec_id and embedding (array of float or double); other columns, label too, are ignored. One row for each row. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of different dimensions; they are their own component. Equal vectors are one node of the graph and count as links of one another. Rows with a null id take no part: no links, no component, not kept. Rows that repeat an id are vectors of their own.
     """
@@ -374,12 +433,12 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     nodes = saved(rows.where("node is not null").groupBy("node").agg(F.first("vec").alias("vec"), F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies")), "vectors")
     of, edges, first = linked(nodes, None, None, 0, TREES, threshold)
     for extra in range(EXTRA):
-        if recall(nodes, of, threshold) >= RECALL:
+        if (reached := recall(nodes, of, threshold)) >= RECALL:
             break
         of, edges, first = linked(nodes, of, edges, first, TREES * 2 ** (extra + 1), threshold)
     else:
-        if recall(nodes, of, threshold) < RECALL:
-            of = merged(of, compared(saved(placed(nodes, of), "placed"), threshold))
+        if (reached := recall(nodes, of, threshold)) < RECALL:
+            of, reached = merged(of, compared(saved(placed(nodes, of), "placed"), threshold)), 1.0
     links = counted(nodes, of, threshold).withColumnRenamed("node", "l")
     named = nodes.select("node", "least", "copies").join(of.select(F.col("node").alias("k"), "component"), F.col("node") == F.col("k"), "left").select("node", "least", "copies", F.coalesce("component", "node").alias("component"))
     named = saved(named.join(links, F.col("node") == F.col("l"), "left").select("node", "least", "component", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
@@ -387,4 +446,4 @@ def deduplicated(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     named = named.join(smallest, F.col("component") == F.col("c")).select(F.col("node").alias("k"), "n_links", "component_id")
     out = rows.select("vec_id", "node").join(named, F.col("node") == F.col("k"), "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))).withColumn("audited_recall", F.lit(float(reached)))
