@@ -24,7 +24,7 @@ PRIOR, ADD = 64.0, 0.5
 #: Bits of a bigram's name; words have 64.
 BIGRAM_BITS = 56
 #: Characters of a part and of those whose words are hashed at once, names of a range of hashes on average, and labelled documents that are sent to all executors (8 bytes each; more are joined by sorting).
-PART_CHARS, HASHED_CHARS, RANGE_NAMES, SENT_LABELS = 4_000_000, 1_000_000, 1_000_000, 1_000_000
+PART_CHARS, HASHED_CHARS, RANGE_NAMES, SENT_LABELS = 4_000_000, 1_000_000, 1_000_000, 500_000
 #: The name of the symbol before a text's first word.
 START = np.uint64(0x5EED_0F_7E87)
 #: Kinds of documents: of the background, of the target, and those that are scored only.
