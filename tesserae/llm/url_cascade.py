@@ -71,7 +71,7 @@ class Cascade:
 
 
 def build(listed: DataFrame, universe: DataFrame, salt: int = 0) -> Cascade:
-    """listed: distinct keys in column key; universe: all keys of the corpus, repeats allowed.
+    """listed: distinct keys in column key; universe: all keys of the corpus, repeats allowed. It is read once a level at most.
 
     Level 0 lets so few through that level 1 is no larger than the list; all filters together take a number of bits near the list's length times the logarithm of universe over list, which a broadcast can carry. The false positives themselves stay distributed.
     """
@@ -95,10 +95,9 @@ def parts(url: Column) -> tuple[Column, Column]:
     return ascii_lower(F.coalesce(F.regexp_extract(url, URL, 1), F.lit(""))), F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
-    """Every key that a rule fitting this URL can have: the host and its parent domains, with the path cut to each length that a rule's path has; longest first, and of equal ones that with more host."""
-    labels = F.split(host, r"\.", -1)
-    hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+def candidates(host: Column, path: Column, labels: Sequence[int], lengths: Sequence[int]) -> Column:
+    """Every key that a rule fitting this URL can have: the last labels of the host, as many as some rule's host has, with the path cut to each length that a rule's path has; longest first, and of equal ones that with more host. The keys of a URL are no more than the rules have lengths, however long it is."""
+    hosts = F.array(*[F.substring_index(host, ".", -n) for n in labels])
     cuts = F.filter(F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length(path))
     every = F.flatten(F.transform(hosts, lambda h: F.transform(cuts, lambda n: F.struct(F.length(h) + n, F.length(h), F.concat(h, F.substr(path, F.lit(1), n))))))
     return F.transform(F.reverse(F.array_sort(F.array_distinct(every))), lambda s: s.getField("col3"))
@@ -107,19 +106,22 @@ def candidates(host: Column, path: Column, lengths: Sequence[int]) -> Column:
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """Judge pages (page_id, url) by rules (host, path, verdict).
 
-    A rule fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting rule wins. Returns page_id, host, path, rule, verdict, one row for each row of pages: a null page_id is carried through, repeated rows stay, other columns are ignored, and a URL that no rule fits (null and malformed ones too) has rule null and the default verdict. Of rules given twice the first counts.
+    A rule fits its host and all subdomains where the URL's path starts with the rule's; the longest fitting rule wins. Returns page_id, host, path, rule, verdict, one row for each row of pages: a null page_id is carried through, repeated rows stay, other columns are ignored, and a URL that no rule fits (null and malformed ones too) has rule null and the default verdict. Of rules given twice the first counts. A URL costs time in proportion to its length.
     """
     spark = pages.sparkSession
     known: dict[str, str] = {}
     for h, p, verdict in rules:
         known.setdefault(h + p, verdict)
     lengths = sorted({len(p) for _, p, _ in rules}) or [0]
+    labels = sorted({h.count(".") + 1 for h, _, _ in rules}) or [1]
     host, path = parts(F.col("url"))
-    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidates(F.col("host"), F.col("path"), lengths))
-    universe = rows.select(F.explode("keys").alias("key"))
+    rows = pages.select("page_id", host.alias("host"), path.alias("path")).withColumn("keys", candidates(F.col("host"), F.col("path"), labels, lengths))
+    universe = saved(rows.select(F.explode("keys").alias("key")).distinct(), "keys")
     verdicts = sorted(set(known.values()))
     lists = {v: spark.createDataFrame([(k,) for k, x in known.items() if x == v], "key string") for v in verdicts}
     cascades = {v: build(lists[v], universe, 1000 * i) for i, v in enumerate(verdicts)}
+    dropped(universe)
+
     def verdict_of(key: Column) -> Column:
         out = F.lit(None).cast("string")
         for v in verdicts:
