@@ -5,7 +5,7 @@ Each document's lines are hashed; every three consecutive ones form a window. A
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WINDOW = 3
@@ -32,15 +32,15 @@ def windows(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     return rows.select("rid", "doc_id", F.posexplode(found).alias("pos", "w")).select("rid", "doc_id", "pos", "w.hash", "w.at")
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """docs with rid, a name of each row: a hash of its number and text. Rows that agree in both share it and have the same fate."""
-    return docs.withColumn("rid", F.xxhash64("doc_id", "text"))
+def named(docs: DataFrame) -> Column:
+    """A row's name: 60 bits of a digest of its number and text; null for a null text. Rows that agree in both share it."""
+    return F.conv(F.substring(F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), docs["text"])), 1, 15), 16, 10).cast("bigint")
 
 
 def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """(rid, gone): positions of the lines to remove, of those documents that have any. docs: rid, doc_id, text.
 
-    The first place of each window comes from an aggregation with partial minima, which a window of any frequency passes; the join that follows has one row a repeated window on one side, so adaptive execution can split a frequent one on the other. Rows repeated in full count as one place.
+    The first place of each window comes from an aggregation with partial minima, which a window of any frequency passes; the join that follows has one row a repeated window on one side, so adaptive execution can split a frequent one on the other. Of rows repeated in full the first alone is meant.
     """
     all_windows = windows(docs, width)
     place = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("doc"), "rid", "pos")
@@ -52,15 +52,21 @@ def covered(docs: DataFrame, width: int = WINDOW) -> DataFrame:
 def deduplicated(docs: DataFrame, width: int = WINDOW) -> DataFrame:
     """All columns of docs with text cleaned, and n_lines (non-blank ones before) and n_removed.
 
-    docs: doc_id and text at least; other columns stay, whatever their names but for n_lines, n_removed and those that begin with ``tess_``. One row for each row. A null text stays null and has no lines; documents with fewer lines than a window lose none. Null ids count as higher than all others. Rows that agree in doc_id and text count as one document.
+    docs: doc_id and text at least; other columns stay, whatever their names but for n_lines, n_removed and those that begin with ``tess_``. One row for each row. A null text stays null and has no lines; documents with fewer lines than a window lose none. Null ids count as higher than all others; rows of one id follow one another by a digest of id and text. Of rows that agree in doc_id and text one is the first, and the others lose what windows cover, like any later place. A text is looked at whole by one task.
     """
-    gone = covered(numbered(docs.select("doc_id", "text")), width).select(F.col("rid").alias("tess_rid"), F.col("gone").alias("tess_gone"))
-    out = docs.withColumn("tess_id", F.xxhash64("doc_id", "text")).join(gone, F.col("tess_id") == F.col("tess_rid"), "left").withColumn("tess_lines", lines_of(F.col("text")))
+    rows = docs.select("doc_id", "text")
+    gone = covered(rows.withColumn("rid", named(rows)), width).select(F.col("rid").alias("tess_rid"), F.col("gone").alias("tess_gone"))
+    # null texts have no windows: they only need to be spread
+    out = docs.withColumn("tess_id", F.coalesce(named(docs), -1 - F.abs(F.xxhash64("doc_id") % 2**40)))
+    out = out.withColumn("tess_n", F.row_number().over(Window.partitionBy("tess_id").orderBy("tess_id")))
+    out = out.join(gone, F.col("tess_id") == F.col("tess_rid"), "left").withColumn("tess_lines", lines_of(F.col("text")))
+    filled = F.filter(F.sequence(F.lit(0), F.size("tess_lines") - 1), lambda i: stripped(F.get(F.col("tess_lines"), i)) != "")
+    out = out.withColumn("tess_gone", F.when((F.col("tess_n") > 1) & F.col("text").isNotNull(), F.when(F.size(filled) >= width, filled)).otherwise(F.col("tess_gone")))
     n = F.size(F.filter(F.col("tess_lines"), lambda x: stripped(x) != ""))
     out = out.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(n)).withColumn("n_removed", F.coalesce(F.size("tess_gone"), F.lit(0)))
     stay = F.array_except(F.sequence(F.lit(0), F.size("tess_lines") - 1), F.col("tess_gone"))
     text = F.array_join(F.transform(stay, lambda i: F.get(F.col("tess_lines"), i)), "\n")
-    return out.withColumn("text", F.when(F.col("tess_gone").isNull(), F.col("text")).otherwise(text)).drop("tess_id", "tess_rid", "tess_gone", "tess_lines")
+    return out.withColumn("text", F.when(F.col("tess_gone").isNull(), F.col("text")).otherwise(text)).drop("tess_id", "tess_n", "tess_rid", "tess_gone", "tess_lines")
 
 
 def without_repeats(docs: DataFrame, width: int = WINDOW) -> DataFrame:

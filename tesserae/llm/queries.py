@@ -63,24 +63,26 @@ QUERIES = {"op1_line_dedup": op1_line_dedup, "op2_ngram_join": op2_ngram_join, "
 
 ORACLE_SQL = {
     "op1_line_dedup": r"""
-WITH l AS (
-  SELECT doc_id, u.i AS i, u.x AS x, trim(u.x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
-  FROM (SELECT doc_id, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM documents)),
-n AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS pos FROM l WHERE t <> ''),
+WITH r AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(concat(doc_id, ':', text)), text) AS r, doc_id, text FROM documents),
+l AS (
+  SELECT r, u.i AS i, u.x AS x, trim(u.x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT r, unnest(list_transform(string_split(text, chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM r)),
+n AS (SELECT r, i, t, row_number() OVER (PARTITION BY r ORDER BY i) AS pos FROM l WHERE t <> ''),
 w AS (
-  SELECT doc_id, pos,
+  SELECT r, pos,
          t || chr(10) || lead(t, 1) OVER d || chr(10) || lead(t, 2) OVER d AS win
-  FROM n WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+  FROM n WINDOW d AS (PARTITION BY r ORDER BY pos)),
 later AS (
-  SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM w WHERE win IS NOT NULL) WHERE k > 1),
-gone AS (SELECT DISTINCT n.doc_id, n.i FROM n JOIN later ON n.doc_id = later.doc_id AND n.pos BETWEEN later.pos AND later.pos + 2)
-SELECT l.doc_id,
-       count(*) FILTER (WHERE t <> '') AS n_lines,
-       count(gone.i) AS n_removed,
-       sha256(coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS text_sha256,
-       length(coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '')) AS n_chars
-FROM l LEFT JOIN gone ON l.doc_id = gone.doc_id AND l.i = gone.i
-GROUP BY l.doc_id
+  SELECT r, pos FROM (SELECT r, pos, row_number() OVER (PARTITION BY win ORDER BY r, pos) AS k FROM w WHERE win IS NOT NULL) WHERE k > 1),
+gone AS (SELECT DISTINCT n.r, n.i FROM n JOIN later ON n.r = later.r AND n.pos BETWEEN later.pos AND later.pos + 2),
+o AS (
+  SELECT l.r, count(*) FILTER (WHERE t <> '') AS n_lines, count(gone.i) AS n_removed,
+         coalesce(string_agg(x, chr(10) ORDER BY l.i) FILTER (WHERE gone.i IS NULL), '') AS text
+  FROM l LEFT JOIN gone ON l.r = gone.r AND l.i = gone.i
+  GROUP BY l.r)
+SELECT r.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, sha256(o.text) AS text_sha256, length(o.text) AS n_chars
+FROM r LEFT JOIN o ON r.r = o.r
 """,
     "op8_url_filter": r"""
 WITH p AS (

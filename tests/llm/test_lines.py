@@ -1,6 +1,12 @@
 from __future__ import annotations
 
+import random
+
+import duckdb
+import pyarrow as pa
+
 from tesserae.llm import lines
+from tesserae.llm.queries import ORACLE_SQL, op1_line_dedup
 
 SCHEMA = "doc_id bigint, text string, pos int, hash string, n_chars int"
 
@@ -34,5 +40,20 @@ def test_nulls_empty_long_repeated_rows_and_empty_table(spark):
     assert by[2]["n_lines"] == by[3]["n_lines"] == 0 and by[3]["text"] == " \n\t"
     assert by[4]["n_removed"] == 0 and by[5]["n_removed"] == 30000 and by[5]["text"] == ""
     assert by[None]["n_removed"] == 3 and by[9]["n_removed"] == 0
-    assert [r["n_removed"] for r in got if r["doc_id"] == 7] == [0, 0]
+    assert sorted(r["n_removed"] for r in got if r["doc_id"] == 7) == [0, 3]
     assert lines.deduplicated(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_as_by_sql_with_repeated_rows_ids_and_nulls(spark, tmp_path):
+    rng = random.Random(4)
+    texts = ["\n".join(rng.choice(["a", " b", "c\t", "", "d", "e"]) for _ in range(rng.randint(0, 12))) for _ in range(120)] + [None, ""]
+    rows = [(rng.choice([None, *range(60)]), rng.choice(texts), "", "s", 0) for _ in range(200)]
+    rows += rng.choices(rows, k=60)
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [tuple(r) for r in op1_line_dedup(spark, str(tmp_path)).collect()]
+    documents = pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "text": pa.array([r[1] for r in rows], pa.string())})
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        want = db.execute(ORACLE_SQL["op1_line_dedup"]).fetchall()
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert len(got) == 260 and sum(r[2] for r in got) > 100
