@@ -1,11 +1,12 @@
 """Document fingerprints by locally consistent parsing.
 
-A text is a sequence of names. At each level runs of one name become one name; deterministic coin tossing then reduces the names to a handful of labels, each fixed by a few neighbours to the left, and a phrase begins at each local maximum of the labels. A phrase's name is a hash of the names in it. So equal substrings are cut into the same phrases apart from those near their ends, wherever they stand. The names of levels 2 to 4, some ten to eighty characters long, are a document's signatures; the fingerprint keeps the least of them in each of 64 bins.
+A text is a sequence of names. At each level runs of one name become one name; deterministic coin tossing then reduces the names to a handful of labels, each fixed by a few neighbours to the left, and a phrase begins at each local maximum of the labels. A phrase's name is a hash of the names in it. So equal substrings are cut into the same phrases apart from those near their ends, wherever they stand. Levels follow one another until the document is one phrase. The names from level 2 on, some ten characters long there and the whole text at the top, are its signatures; the fingerprint keeps the least of them in each of 64 bins.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BINS, LEVELS = 64, (2, 3, 4)
+BINS, FIRST_LEVEL = 64, 2
 #: Characters that are parsed together.
 PART_CHARS = 400_000
 _MUL1, _MUL2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -74,12 +75,18 @@ def sketches(texts: list[str]) -> np.ndarray:
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
     names, first = mix((codes.astype(np.uint64) + np.uint64(1)) * _STEP), np.cumsum(lens) - lens
     least = np.full(len(rows) * BINS, np.uint64(2**64 - 1))
-    for level in range(1, LEVELS[-1] + 1):
+    live, level = np.arange(len(rows)), 0  # documents that are more than one phrase
+    while len(live):
         names, first = parsed(names, first)
-        if level >= LEVELS[0]:
-            doc = np.repeat(np.arange(len(rows)), np.diff(first, append=len(names)))
-            value = mix(names + np.uint64(level))
-            np.minimum.at(least, doc * BINS + (value & np.uint64(BINS - 1)).astype(np.int64), value >> np.uint64(6))
+        level += 1
+        count = np.diff(first, append=len(names))
+        # a document's last name counts on whatever level it comes
+        used = np.repeat((count == 1) | (level >= FIRST_LEVEL), count)
+        doc, value = np.repeat(live, count)[used], mix(names[used] + np.uint64(level))
+        np.minimum.at(least, doc * BINS + (value & np.uint64(BINS - 1)).astype(np.int64), value >> np.uint64(6))
+        more = count > 1
+        names, live, count = names[np.repeat(more, count)], live[more], count[more]
+        first = np.cumsum(count) - count
     kept = (mix(least) % np.uint64(65535)).astype(np.uint16) + np.uint16(1)
     out[rows] = np.where(least < np.uint64(2**58), kept, 0).astype(np.uint16).reshape(len(rows), BINS)
     return out
@@ -101,30 +108,41 @@ def edited(text: str, after: str) -> str:
 def dealt(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) in ranges of doc_id, one to a partition and in order, each followed by the first document of the next range (halo true); after the last comes the first of all.
 
-    The range borders are approximate quantiles, so ranges are of like size whatever the ids; only borders and each range's least id, one number a partition, reach the driver. Null ids stand after all others; equal ids are ordered by a hash of the text.
+    The range borders are approximate quantiles, so ranges are of like size whatever the ids; only borders and each range's least place, two numbers a partition, reach the driver. Null ids stand after all others; rows of one id, or without one, are ordered by a hash of the text, and where they are many also dealt into ranges by it.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("key", F.coalesce("doc_id", F.lit(2**63 - 1)))
-    borders = sorted({min(int(x), 2**63 - 1) for x in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)}) if parts > 1 else []
-
-    def found(border: list[int], key):
-        """How many borders are at most key, by bisection."""
+    # a place in an id: negative with an id, not negative without one
+    half = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    rows = rows.withColumn("place", F.when(F.col("doc_id").isNull(), half).otherwise(-1 - half))
+    quantiles = [min(int(x), 2**63 - 1) for x in rows.approxQuantile("key", [i / parts for i in range(1, parts)], 0.2 / parts)] if parts > 1 else []
+    borders = []
+    for key, n in Counter(quantiles).items():  # an id that fills several ranges is cut by place
+        step = 2**63 // n
+        borders += [(key, -(2**63) + k * step) for k in range(n)] if key < 2**63 - 1 else [(key, -(2**63)), *((key, k * step) for k in range(n))]
+    borders = sorted(set(borders))
+
+    def found(border: list[tuple[int, int]], key, place):
+        """How many borders are at most (key, place), by bisection."""
         if not border:
             return F.lit(0)
         steps = [2**i for i in reversed(range(len(border).bit_length()))]
-        fixed = F.split(F.lit(",".join(map(str, border))), ",").cast("array<bigint>")
-        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(border)) & (F.get(fixed, at + s - 1) <= key), at + s).otherwise(at))
+        keys, places = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*border, strict=True))
+        upto = lambda i: (F.get(keys, i) < key) | ((F.get(keys, i) == key) & (F.get(places, i) <= place))
+        return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when((at + s <= len(border)) & upto(at + s - 1), at + s).otherwise(at))
 
-    least = sorted(r["k"] for r in rows.groupBy(found(borders, F.col("key")).alias("range")).agg(F.min("key").alias("k")).collect())
+    key, place = F.col("key"), F.col("place")
+    least = sorted((r["x"]["key"], r["x"]["place"]) for r in rows.groupBy(found(borders, key, place).alias("range")).agg(F.min(F.struct("key", "place")).alias("x")).collect())
     n = max(1, len(least))
-    rows = rows.withColumn("range", F.greatest(F.lit(0), found(least, F.col("key")) - 1))
-    fixed = F.split(F.lit(",".join(map(str, least)) or "0"), ",").cast("array<bigint>")
-    halo = F.when(F.get(fixed, F.col("range")) == F.col("key"), F.array(F.col("range"), F.lit(-1) - F.pmod(F.col("range") - 1, F.lit(n)))).otherwise(F.array("range"))
+    rows = rows.withColumn("range", F.greatest(F.lit(0), found(least, key, place) - 1))
+    keys, places = (F.split(F.lit(",".join(map(str, x))), ",").cast("array<bigint>") for x in zip(*(least or [(0, 0)]), strict=True))
+    leads = (F.get(keys, F.col("range")) == key) & (F.get(places, F.col("range")) == place)
+    halo = F.when(leads, F.array(F.col("range"), F.lit(-1) - F.pmod(F.col("range") - 1, F.lit(n)))).otherwise(F.array("range"))
     rows = rows.withColumn("to", F.explode(halo))
-    rows = rows.select("doc_id", "text", "key", (F.col("to") < 0).alias("halo"), F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).cast("int").alias("to"))
-    return rows.repartitionById(n, F.col("to")).sortWithinPartitions("halo", "key", F.xxhash64("text")).select("doc_id", "halo", "text")
+    rows = rows.select("doc_id", "text", "key", "place", (F.col("to") < 0).alias("halo"), F.when(F.col("to") < 0, -1 - F.col("to")).otherwise(F.col("to")).cast("int").alias("to"))
+    return rows.repartitionById(n, F.col("to")).sortWithinPartitions("halo", "key", "place").select("doc_id", "halo", "text")
 
 
 def fingerprinted(docs: DataFrame) -> DataFrame:
