@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import small_batches
+from tesserae.llm.common import saved, small_batches
 
 TOKEN = re.compile(r"\w+")
 TOKEN_JAVA = r"[\p{L}\p{M}\p{N}_]+"
 #: Bounds of the sample that the model is fitted on: labelled documents of each class, words kept.
 SAMPLE_PER_CLASS, WORDS_KEPT = 10_000, 5_000
-#: Of these the chain's own parameters are fitted on so many, and on no document with more marked words than that.
+#: The chain's own parameters are fitted on so many sequences of these documents; a document with more marked words than that is cut into several.
 CHAIN_SAMPLE, CHAIN_MARKS = 4_000, 256
 #: A word is marked from this log odds on; classes begin at these.
 CLASSES = (2.0, 3.0, 4.0, 5.0, 6.0)
@@ -127,6 +127,17 @@ def padded(hits: list[tuple[list[int], list[int]]], lengths: list[int]):
     return counts, gaps, kinds, order
 
 
+def sequences(at: list[int], kinds: list[int], length: int, most: int) -> list[tuple[list[int], list[int], int]]:
+    """A document's marked positions and classes, cut after every so many marks; positions count from where each sequence begins."""
+    out, start = [], 0
+    for k in range(0, max(1, len(at)), most):
+        some = at[k : k + most]
+        stop = length if k + most >= len(at) else some[-1] + 1
+        out.append(([i - start for i in some], kinds[k : k + most], stop - start))
+        start = stop
+    return out
+
+
 def minimised(f, x: np.ndarray, rounds: int = 60) -> np.ndarray:
     """BFGS with gradients by central differences, for a dozen parameters."""
 
@@ -186,6 +197,11 @@ class Model:
                 out[group[k]] = p[row, : counts[row]]
         return out
 
+    def features(self, texts: list[str]) -> np.ndarray:
+        rows = [self.marks(t) for t in texts]
+        p = self.marginals([r[:2] for r in rows], [r[2] for r in rows])
+        return features(np.array([m.sum() for m in p]), np.array([m.max(initial=0.0) for m in p]), np.array([r[2] for r in rows], float))
+
     def scores(self, marginals: list[np.ndarray], lengths: list[int]) -> np.ndarray:
         x = features(np.array([m.sum() for m in marginals]), np.array([m.max(initial=0.0) for m in marginals]), np.array(lengths, float))
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
@@ -205,7 +221,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Learn from labelled documents outside the held-out fifth.
 
-    The sample: up to SAMPLE_PER_CLASS documents of each class, those lowest by a hash of their number. Their ids are few enough to broadcast; their texts stay on the executors. To the driver come the words that mark toxic documents (WORDS_KEPT at most) and, of each sampled document, the places of these words. Labels of 0 and 1 count, contradicting or null ones don't.
+    The sample: up to SAMPLE_PER_CLASS documents of each class, those lowest by a hash of their number. Their ids are few enough to broadcast; their texts stay on the executors. To the driver come the words that mark toxic documents (WORDS_KEPT at most), the places of these words in CHAIN_SAMPLE sequences of CHAIN_MARKS marks at most (those lowest by a hash of document and place), and four features of each sampled document, however long it is. Labels of 0 and 1 count, contradicting or null ones don't.
     """
     spark = docs.sparkSession
     usable = labels.where("doc_id is not null and toxic in (0, 1)").where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most")).where("toxic = most")
@@ -216,7 +232,8 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     if not all(n):
         return Model({}, Chain(np.zeros(4 + len(CLASSES))), np.array([10.0 * (n[1] > n[0]) - 10.0 * (n[1] <= n[0]), 0, 0, 0]))
     sample = spark.createDataFrame([(r["doc_id"], r["toxic"]) for r in picked], "of bigint, toxic int")
-    texts = docs.select("doc_id", F.col("text").alias("text")).where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("toxic", "text")
+    texts = docs.select("doc_id", F.col("text").alias("text")).where("text is not null").join(F.broadcast(sample), F.col("doc_id") == F.col("of")).select("doc_id", "toxic", "text")
+    texts = saved(texts, "sample")
     words = texts.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN_JAVA), F.lit(0)))).alias("word"))
     odds = F.log((F.col("a") + 0.5) / (n[1] + 1)) - F.log((F.col("b") + 0.5) / (n[0] + 1))
     table = words.groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= LEAST_DOCS).withColumn("odds", odds).where(F.col("odds") >= CLASSES[0])
@@ -227,13 +244,19 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(words_of, Chain(np.zeros(4 + len(CLASSES))), np.zeros(4))
         for batch in batches:
-            rows = [m.marks(t.as_py()) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.list_(pa.int32())), pa.array([r[2] for r in rows], pa.int32())], ["toxic", "at", "kind", "n"])
-
-    got = sorted(map(tuple, texts.mapInArrow(marked, "toxic int, at array<int>, kind array<int>, n int").collect()), key=repr)
-    toxic = np.array([r[0] == 1 for r in got])
+            cols: list[list] = [[], [], [], [], [], []]
+            for doc, toxic, text in zip(*(batch.column(i) for i in range(3)), strict=True):
+                for k, row in enumerate(sequences(*m.marks(text.as_py()), CHAIN_MARKS)):
+                    for col, v in zip(cols, (doc.as_py(), k, toxic.as_py(), *row), strict=True):
+                        col.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int32()), strict=True)], ["doc_id", "k", "toxic", "at", "kind", "n"])
+
+    every = texts.mapInArrow(marked, "doc_id bigint, k int, toxic int, at array<int>, kind array<int>, n int")
+    some = every.orderBy(F.xxhash64("doc_id", "k"), "doc_id", "k", "at", "n").limit(CHAIN_SAMPLE)
+    got = sorted(map(tuple, some.select("toxic", "at", "kind", "n").collect()), key=repr)
+    toxic = np.array([r[0] == 1 for r in got], bool)
     hits, lengths = [(list(r[1]), list(r[2])) for r in got], [r[3] for r in got]
-    fit = [i for i in np.random.default_rng(0).permutation(len(got)).tolist() if len(hits[i][0]) <= CHAIN_MARKS][:CHAIN_SAMPLE]
+    fit = list(range(len(got)))
     groups = []
     for size in sorted({len(hits[i][0]).bit_length() for i in fit}):
         some = [i for i in fit if len(hits[i][0]).bit_length() == size]
@@ -248,9 +271,16 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
     start = np.array([0.0, *np.linspace(1, 4, len(CLASSES)), -4.0, 0.0, -2.0])
     model.chain = Chain(minimised(loss, start) if any(g[0].any() for g in groups) else start)
-    p = model.marginals(hits, lengths)
-    x = features(np.array([m.sum() for m in p]), np.array([m.max(initial=0.0) for m in p]), np.array(lengths, float))
-    model.weights = logistic(x, toxic.astype(float))
+    sent = spark.sparkContext.broadcast(model)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = sent.value
+        for batch in batches:
+            x = m.features([t.as_py() for t in batch.column(1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in x.T[1:]]], ["toxic", "total", "most", "dense"])
+
+    got = np.array(sorted(map(tuple, texts.select("toxic", "text").mapInArrow(seen, "toxic int, total double, most double, dense double").collect())))
+    model.weights = logistic(np.column_stack([np.ones(len(got)), got[:, 1:]]), got[:, 0]) if len(got) else np.zeros(4)
     return model
 
 

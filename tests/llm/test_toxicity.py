@@ -80,3 +80,72 @@ def test_nulls_empty_repeated_and_empty_tables(spark):
     none = tx.fitted(spark.createDataFrame(docs, DOCS), spark.createDataFrame([], LABELS))
     assert all(r["predicted"] == 0 for r in tx.scored(spark.createDataFrame(docs, DOCS), none).collect())
     assert tx.scored(spark.createDataFrame([], DOCS), model).collect() == []
+
+
+def dense(model, text):
+    """A document's score by forward and backward steps over every token, without closed forms."""
+    tokens = tx.TOKEN.findall(tx.in_lower(text or ""))
+    n = len(tx.CLASSES)
+    bias, w, t = model.chain.params[0], model.chain.params[1 : 1 + n], model.chain.params[1 + n :]
+    step = np.exp(np.array([[0.0, t[0]], [t[1], t[2]]]))
+    emit = [np.array([1.0, math.exp(bias + (w[model.words[x]] if x in model.words else 0.0))]) for x in tokens]
+    ahead, now = [], np.array([1.0, 0.0])
+    for e in emit:
+        now = (now @ step) * e
+        now = now / now.sum()
+        ahead.append(now)
+    p, back = [], np.ones(2)
+    for i in reversed(range(len(tokens))):
+        both = ahead[i] * back
+        if tokens[i] in model.words:
+            p.append(both[1] / both.sum())
+        back = step @ (emit[i] * back)
+        back = back / back.sum()
+    x = tx.features(np.array([sum(p)]), np.array([max(p, default=0.0)]), np.array([float(len(tokens))]))
+    return float((1 / (1 + np.exp(-x @ model.weights)))[0])
+
+
+def test_whole_result_as_by_brute_force(spark):
+    """Word choice by counting, the fit by its optimality, and every score by a dense chain."""
+    docs, labels = corpus()
+    docs += [(900, None, "x", 1), (901, "muckle " * 700 + "plain words", "x", 1)]
+    labels += [(901, 1, 1, 0)]
+    model = tx.fitted(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS))
+    truth, text = {i: t for i, _, t, _ in labels}, {i: t for i, t, *_ in docs}
+    learnt = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(truth[i] == k for i in learnt) for k in (0, 1)]
+    seen = {k: {} for k in (0, 1)}
+    for i in learnt:
+        for word in set(tx.TOKEN.findall(text[i].lower())):
+            seen[truth[i]][word] = seen[truth[i]].get(word, 0) + 1
+    odds = {x: math.log((a + 0.5) / (n[1] + 1)) - math.log((seen[0].get(x, 0) + 0.5) / (n[0] + 1)) for x, a in seen[1].items() if a >= tx.LEAST_DOCS}
+    assert model.words == {x: sum(o >= c for c in tx.CLASSES) - 1 for x, o in odds.items() if o >= tx.CLASSES[0]}
+    # the chain: no small change makes the labels likelier
+    rows = [(truth[i] == 1, *seq) for i in learnt for seq in tx.sequences(*model.marks(text[i]), tx.CHAIN_MARKS)]
+    assert any(len(r[1]) == tx.CHAIN_MARKS for r in rows) == (901 in learnt)
+    counts, gaps, kinds, order = tx.padded([(r[1], r[2]) for r in rows], [r[3] for r in rows])
+    gold = np.array([r[0] for r in rows])[order]
+
+    def loss(x):
+        c = tx.Chain(x)
+        return float((c.partition(counts, gaps, kinds) - c.score(counts, gaps, kinds, gold)).sum()) / len(rows) + 1e-3 * float(x @ x)
+
+    at, rng = model.chain.params, np.random.default_rng(0)
+    assert all(loss(at + 0.05 * rng.standard_normal(len(at))) > loss(at) for _ in range(30))
+    # the weights: the slope of the penalised likelihood is zero
+    x = np.concatenate([model.features([text[i]]) for i in learnt])
+    y = np.array([float(truth[i]) for i in learnt])
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ model.weights))) - model.weights).max() < 1e-6
+    got = {r["doc_id"]: r["score"] for r in tx.scored(spark.createDataFrame(docs, DOCS), model).collect()}
+    assert all(abs(got[i] - dense(model, text[i])) < 1e-6 for i in got)
+
+
+def test_sequences_keep_every_mark_and_token():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(0, 60)
+        at = sorted(rng.sample(range(n), rng.randint(0, n)))
+        cut = tx.sequences(at, [i % 5 for i in at], n, 7)
+        assert sum(c[2] for c in cut) == n and sum(len(c[0]) for c in cut) == len(at)
+        starts = [sum(c[2] for c in cut[:k]) for k in range(len(cut))]
+        assert [a + s for c, s in zip(cut, starts) for a in c[0]] == at
