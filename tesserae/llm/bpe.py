@@ -9,6 +9,7 @@ import gc
 import hashlib
 import heapq
 import json
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,6 +22,12 @@ from tesserae.llm.common import small_batches
 
 #: Characters of texts that are looked at together, and pieces that a worker keeps between parts.
 PART_CHARS, KEPT_CHUNKS = 4_000_000, 200_000
+#: The normalizer and the pre-tokenizer whose work on plain text is done here directly. For others the library's are used, on whole texts.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+#: What a model must not have: its pieces would not be those of a plain byte-level BPE.
+PLAIN_MODEL = {"dropout": None, "unk_token": None, "continuing_subword_prefix": None, "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 ODD_SPACE = re.compile("[\x1c-\x1f]")
 SPACE = re.compile("[\t-\r \x85\xa0  -     　]+")
 #: Chunks of ASCII and of composed Latin letters, for which the library's normalizer only lowers the case; of these, letters and the pre-tokens.
@@ -46,9 +53,20 @@ class Merger:
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
 
-        model = json.loads(spec)["model"]
+        parsed = json.loads(spec)
+        model, split = parsed["model"], parsed["pre_tokenizer"]
+        last = split["pretokenizers"][-1] if split and split["type"] == "Sequence" else split
+        odd = [k for k, v in PLAIN_MODEL.items() if model.get(k, v) != v]
+        odd += [t["content"] for t in parsed["added_tokens"] if t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        if model["type"] != "BPE" or not last or last["type"] != "ByteLevel" or odd or parsed["decoder"] or parsed["post_processor"]:
+            raise ValueError(f"not a plain byte-level BPE: {odd or 'model, pre-tokenizer, decoder or post-processor'}")
+        added = [t["content"] for t in parsed["added_tokens"]]
+        #: How all added tokens begin; a chunk without that has none.
+        self.mark: str = os.path.commonprefix(added)
+        #: Whether pre-tokens can be found here and never hold white space.
+        self.direct = parsed["normalizer"] == NORMALIZER and split == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and bool(self.mark or not added)
         self.vocab: dict[str, int] = model["vocab"]
-        self.suffix: str = model["end_of_word_suffix"] or ""
+        self.suffix: str = model.get("end_of_word_suffix") or ""
         self.names = {i: t for t, i in self.vocab.items()}
         library = Tokenizer.from_str(spec)
         self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
@@ -153,9 +171,13 @@ class Merger:
         alive = sym >= 0
         return sym[alive].tolist(), np.cumsum(np.bincount(of[alive], minlength=len(pieces))).tolist()
 
+    def plain(self, chunk: str) -> bool:
+        """Whether the chunk is plain text without added tokens, whose pre-tokens can be found here."""
+        return self.direct and PLAIN.fullmatch(chunk) is not None and not (self.mark and self.mark in chunk)
+
     def pieces(self, chunk: str) -> list[str | int]:
         """The pre-tokens of a text without white space; added tokens as ids."""
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
+        if self.plain(chunk):
             return PIECE.findall(chunk.lower())
         out: list[str | int] = []
         for part in self.added_at.split(chunk) if self.added_at else [chunk]:
@@ -171,11 +193,11 @@ class Merger:
             self.kept = {}
         if len(self.known) > KEPT_CHUNKS:
             self.known = {i: (1, str(i), t) for t, i in self.added.items()}
-        kept, known, plain, split = self.kept, self.known, PLAIN.fullmatch, PIECE.findall
+        kept, known, plain, split = self.kept, self.known, self.plain, PIECE.findall
         new = [c for c in chunks if c not in kept]
         whole, parts = [], []  # chunks that are one pre-token, and the others with theirs
         for c in new:
-            if plain(c) and "<|" not in c:
+            if plain(c):
                 low = c.lower()
                 if low.isalpha():
                     whole.append((c, low))
@@ -204,7 +226,10 @@ class Merger:
 
     def encode(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """For each text its number of tokens, its ids and its decoded text."""
-        words = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        if self.direct:
+            words = [SPACE.split(t) if ODD_SPACE.search(t) else t.split() for t in texts]
+        else:  # pre-tokens may hold white space: a text is one chunk, and chunks seldom repeat
+            self.kept, words = {}, [[t] for t in texts]
         self.learn({w for ws in words for w in ws if w})
         kept = self.kept
         for ws in words:
@@ -236,7 +261,7 @@ def decode(spec: str, ids: list[int]) -> str:
 def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text: bool = False) -> DataFrame:
     """Tokens of whole texts: doc_id, n_tokens, ids_sha256, decoded_sha256, and on request token_ids (array of int) and decoded (text).
 
-    docs: doc_id and text; other columns are ignored. vocab_path: a file of the tokenizers library with a BPE model whose pre-tokens never hold white space and which has neither decoder nor post-processor; it is read on the driver and sent along. A null or blank text has no tokens and decodes to the empty text. One row for each row, repeated ones and null ids too.
+    docs: doc_id and text; other columns are ignored. vocab_path: a file of the tokenizers library with a byte-level BPE model and neither decoder nor post-processor (others are refused); it is read on the driver and sent along. A null or blank text has no tokens and decodes to the empty text. One row for each row, repeated ones and null ids too.
     """
     small_batches(docs.sparkSession)
     with open(vocab_path, encoding="utf-8") as f:

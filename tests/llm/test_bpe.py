@@ -69,3 +69,32 @@ def test_a_merge_may_lead_back_to_an_earlier_rank():
         word = "".join(rng.choice("aabcd") for _ in range(rng.randint(1, 12)))
         flat, ends = merger.merged([word.encode()])
         assert flat == library.encode(word).ids and ends == [len(flat)], word
+
+
+@pytest.mark.parametrize("change", ["normalizer", "split", "added"])
+def test_files_with_other_rules(change):
+    """A normalizer, split or added tokens other than those handled here go through the library; white space may then be part of a pre-token."""
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    if change == "normalizer":
+        spec["normalizer"] = {"type": "NFC"}
+    elif change == "split":
+        spec["pre_tokenizer"]["pretokenizers"][0]["pattern"] = {"Regex": " ?[a-z]+|[^a-z ]+"}
+    else:
+        spec["added_tokens"] += [{"id": 49408, "content": "[stop]", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": True}]
+    library, merger = tokenizers.Tokenizer.from_str(json.dumps(spec)), bpe.Merger(json.dumps(spec))
+    assert not merger.direct
+    some = texts()[:400] + ["a bc  de[stop]f", "xy 12 ab"]
+    for text, (n, ids, _) in zip(some, merger.encode(some), strict=True):
+        want = library.encode(text, add_special_tokens=False).ids
+        assert (n, ids) == (len(want), " ".join(map(str, want))), repr(text)
+
+
+def test_other_models_are_refused():
+    with open(vocabulary(), encoding="utf-8") as f:
+        spec = json.load(f)
+    for where, key, value in (("model", "unk_token", "<|endoftext|>"), (None, "pre_tokenizer", {"type": "Whitespace"}), ("added", "normalized", True)):
+        other = json.loads(json.dumps(spec))
+        (other["added_tokens"][0] if where == "added" else other[where] if where else other)[key] = value
+        with pytest.raises(ValueError):
+            bpe.Merger(json.dumps(other))
