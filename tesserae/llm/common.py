@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +36,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir is unset: a folder that driver and executors share is needed")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
@@ -76,3 +80,70 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
     return now.groupBy("v").agg(F.min("m").alias("component")).unionByName(now.select("m").distinct().select(F.col("m").alias("v"), F.col("m").alias("component"))).groupBy("v").agg(F.min("component").alias("component")).withColumnRenamed("v", "node")
+
+
+def in_blocks(cells: DataFrame, size: int) -> DataFrame:
+    """cells (cell, node, ...) with block, a cell's nodes being dealt into blocks of about so many, and blocks, how many the cell has."""
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
+    rows = cells.join(sizes, F.col("cell") == F.col("of")).drop("of")
+    return rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def first_pairs(cells: DataFrame, size: int) -> DataFrame:
+    """(pair, node, side, known): of each cell (cell, node, known) every block of nodes to be compared in itself (pair is then one of side false alone), and all others with the first. That connects nearly all of a group of near copies, at three rows a node and none a pair."""
+    rows = in_blocks(cells, size)
+    lead = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
+    rows = rows.withColumn("to", F.explode(lead))
+    star = (F.col("block") > 0) & (F.col("to") == 0)
+    low, high = F.when(star, F.lit(0)).otherwise(F.col("block")), F.when(star, F.col("block")).otherwise(F.col("to"))
+    return rows.select(F.xxhash64("cell", low, high).alias("pair"), "node", star.alias("side"), "known")
+
+
+def other_pairs(cells: DataFrame, size: int) -> DataFrame:
+    """As first_pairs(), the pairs of blocks that it leaves out, where their nodes are not of one known group by now. cells must be the same table; a cell that is one group but for a few nodes costs the blocks of these times all blocks."""
+    rows = in_blocks(cells, size).where("blocks > 2 and block > 0")
+    boxes = rows.groupBy("cell", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
+    mixed, whole = boxes.where("lo <> hi").select("cell", F.col("block").alias("a")), boxes.where("lo = hi").select("cell", "block", "lo")
+    other = boxes.select(F.col("cell").alias("c"), F.col("block").alias("b"), (F.col("lo") != F.col("hi")).alias("m"))
+    pairs = mixed.join(other, (F.col("cell") == F.col("c")) & ((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~F.col("m"))))
+    pairs = pairs.select("cell", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    # blocks of one group each need comparing only in cells where such groups differ
+    several = whole.groupBy("cell").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select(F.col("cell").alias("c"))
+    whole = whole.join(several, F.col("cell") == F.col("c"), "left_semi")
+    twin = whole.select(F.col("cell").alias("c"), F.col("block").alias("b"), F.col("lo").alias("hi"))
+    differ = whole.join(twin, (F.col("cell") == F.col("c")) & (F.col("block") < F.col("b")) & (F.col("lo") != F.col("hi"))).select("cell", F.col("block").alias("a"), "b")
+    pairs = pairs.unionByName(differ)
+    sides = pairs.select(F.col("cell").alias("c"), F.xxhash64("cell", "a", "b").alias("pair"), F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(False).alias("side")), F.struct(F.col("b").alias("at"), F.lit(True).alias("side")))).alias("s"))
+    sides = sides.select("c", "pair", "s.at", "s.side")
+    return rows.join(sides, (F.col("cell") == F.col("c")) & (F.col("block") == F.col("at"))).select("pair", "node", "side", "known")
+
+
+def known_now(cells: DataFrame, links: DataFrame) -> DataFrame:
+    """cells (cell, node) with known, each node's component by links (a, b), itself without any."""
+    now = components(links).withColumnRenamed("node", "of")
+    return cells.select("cell", "node").join(now, F.col("node") == F.col("of"), "left").select("cell", "node", F.coalesce("component", "node").alias("known"))
+
+
+def undecided(cells: DataFrame) -> DataFrame:
+    """Those cells (cell, node, known) whose nodes are not one group."""
+    mixed = cells.groupBy("cell").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select(F.col("cell").alias("of"))
+    return cells.join(mixed, F.col("cell") == F.col("of"), "left_semi")
+
+
+def runs_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by their first column, cut so that no value of it is in two tables."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = batch.column(0).to_numpy()
+        if held and held[0].column(0)[0].as_py() == key[-1]:  # one value from the first held row to here
+            held.append(batch)
+            continue
+        last = int((key != key[-1]).nonzero()[0][-1]) + 1 if key[0] != key[-1] else 0
+        done = [*held, batch.slice(0, last)] if last else held
+        if sum(b.num_rows for b in done):
+            yield pa.Table.from_batches(done).combine_chunks()
+        held = [batch.slice(last)]
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -2,7 +2,7 @@
 
 A document is the set of its distinct word shingles. Shingles are hashed into groups, and a document is the point of its groups' counts; two sets share at most the sum of their points' coordinate minima, so a subtree of an R-tree can be passed over when that sum with its box's upper corner is too low. Pairs that survive are verified exactly.
 
-To spread this over a cluster without loss, documents are first routed by the contents of fine groups: sets within the similarity differ in at most r shingles, so of r + 1 groups at least one holds the same shingles in both. Documents that agree in a group share a cell; in each cell an R-tree finds the pairs whose bound reaches the similarity, and such pairs make clusters. Chance agreements, a common line alone in its group, fall to the bound. Each cluster, which by then holds little but real copies, is cut into leaves of bounded size, and pairs of leaves are joined through R-trees and verified. Only links that join two components leave a task, and leaves that are one component already are not compared again, so a group of thousands of near copies costs about its length, not its square.
+To spread this over a cluster without loss, documents are first routed by the contents of fine groups: sets within the similarity differ in at most r shingles, so of r + 1 groups at least one holds the same shingles in both. Documents that agree in a group share a cell; in each cell an R-tree finds the pairs whose bound reaches the similarity, and such pairs make clusters. Chance agreements, a common line alone in its group, fall to the bound; a cell that many unrelated documents share is routed again by other groups, until its parts are small. A cell's documents are compared with its first block of them before any others, and what is one group by then is not compared again. Each cluster, which by then holds little but real copies, is cut into leaves of bounded size, and pairs of leaves are joined through R-trees and verified. Only links that join two components leave a task, and leaves that are one component already are not compared again, so a group of thousands of near copies costs about its length, not its square.
 """
 
 from __future__ import annotations
@@ -13,15 +13,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, saved
+from tesserae.llm.common import components, first_pairs, in_blocks, known_now, other_pairs, saved, undecided
 from tesserae.llm.fingerprints import mix
 from tesserae.llm.words import parts_of, shingles_of, words_of
 
 #: Words in a shingle; similarity in hundredths; shingles that a coordinate counts on average, at most; children of a tree node; documents of a leaf; documents of a cell that one task compares.
 SHINGLE, HUNDREDTHS, DENSITY, FANOUT, LEAF, BLOCK = 4, 85, 8, 16, 128, 512
+#: Blocks up to which a cell that is not one group is compared block by block; a larger one is routed again, this often at most.
+MANY_BLOCKS, REROUTES = 16, 3
+#: Nodes of a route that a task holds; a longer route is one cell under its own name.
+HELD = 100_000
 BAND = 1.5
 
 
@@ -127,11 +131,11 @@ def survivors(a: Tree, b: Tree, hundredths: int) -> Iterator[tuple[int, np.ndarr
             yield int(i), b.order[at]
 
 
-def point_of(s: np.ndarray, shift: int = 64) -> np.ndarray:
-    """The counts of a set's groups: a power of two of them, so many that a coordinate counts DENSITY shingles on average and none over 255. The hashes' upper bits, of shift in all, name the group, so halving the groups adds neighbours up."""
+def point_of(s: np.ndarray) -> np.ndarray:
+    """The counts of a set's groups: a power of two of them, so many that a coordinate counts DENSITY shingles on average and none over 255. The hashes' upper bits name the group, so halving the groups adds neighbours up."""
     bits = max(4, (len(s) // DENSITY).bit_length())
     while True:
-        counts = np.bincount((s >> np.uint64(shift - bits)).astype(np.int64), minlength=1 << bits)
+        counts = np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
         if len(s) <= 255 or counts.max() <= 255:
             return counts.astype(np.uint8)
         bits += 1
@@ -164,7 +168,7 @@ class Groups:
 
 def joined(left: list[int], right: list[int], sets: list[np.ndarray], known: list, hundredths: int) -> list[tuple[int, int]]:
     """Links between rows left and right (or among left where right is empty) that join two groups."""
-    every = points([point_of(s, 40) for s in sets])
+    every = points([point_of(s) for s in sets])
     groups, out = Groups(known), []
     other = right or left
     a, b = Tree(every[left]), Tree(every[other])
@@ -207,7 +211,6 @@ def described(docs: DataFrame, width: int) -> DataFrame:
 
 def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
     """(cell, node): nodes that share a route. A cell is named by its members, so those of several routes that hold the same nodes are one. A task sends each distinct set once, so a group of equal copies sends a row for each task, not for each copy."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -223,6 +226,13 @@ def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
                 if keys:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(nodes))], ["route", "node"])
 
+    return met(docs.select("text").mapInArrow(send, "route bigint, node bigint"))
+
+
+def met(sent: DataFrame) -> DataFrame:
+    """(cell, node) of (route, node): see meetings()."""
+    parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def cells(route: np.ndarray, node: np.ndarray, seen: set) -> Iterator[pa.RecordBatch]:
         new = np.r_[True, (route[1:] != route[:-1]) | (node[1:] != node[:-1])]
         route, node = route[new], node[new]
@@ -240,45 +250,91 @@ def meetings(docs: DataFrame, width: int, hundredths: int) -> DataFrame:
             seen.clear()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        route, node, seen = np.zeros(0, np.int64), np.zeros(0, np.int64), set()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        long, seen = None, set()  # long: a route of which more than HELD nodes have come
+
+        def under_own_name(node: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), mix(np.array([long], np.int64).view(np.uint64)).view(np.int64)[0])), pa.array(node)], ["cell", "node"])
+
         for batch in batches:
-            route, node = np.concatenate([route, batch.column(0).to_numpy()]), np.concatenate([node, batch.column(1).to_numpy()])
-            if len(route):
-                last = int(np.searchsorted(route, route[-1], side="left"))
+            if not batch.num_rows:
+                continue
+            route, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if long is not None:
+                n = int(np.searchsorted(route, long, side="right"))
+                if n:
+                    yield under_own_name(np.unique(node[:n]))
+                route, node = route[n:], node[n:]
+                if not len(route):
+                    continue
+                long = None
+            last = int(np.searchsorted(route, route[-1], side="left"))
+            if last or held and held[-1][0][-1] != route[0]:
                 if last:
-                    yield from cells(route[:last], node[:last], seen)
-                    route, node = route[last:], node[last:]
-        if len(route):
-            yield from cells(route, node, seen)
+                    held.append((route[:last], node[:last]))
+                if held:
+                    yield from cells(np.concatenate([r for r, _ in held]), np.concatenate([n for _, n in held]), seen)
+                held, route, node = [], route[last:], node[last:]
+            held.append((route, node))
+            if sum(len(r) for r, _ in held) > HELD:
+                long = int(route[-1])
+                yield under_own_name(np.unique(np.concatenate([n for _, n in held])))
+                held = []
+        if held:
+            yield from cells(np.concatenate([r for r, _ in held]), np.concatenate([n for _, n in held]), seen)
 
-    sent = docs.select("text").mapInArrow(send, "route bigint, node bigint")
     return sent.repartition(parts, "route").sortWithinPartitions("route", "node").mapInArrow(meet, "cell bigint, node bigint").distinct()
 
 
-def clustered(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, point.
+def rerouted(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, hundredths: int, seed: int) -> DataFrame:
+    """(cell, node): nodes that share one of cells (cell, node) and a route by other groups as well. Sets within the similarity share a route whatever the groups, so no pair is lost; unrelated ones that met by chance part."""
+    wanted = cells.select(F.col("node").alias("n")).distinct().join(nodes.select("k", "of"), F.col("n") == F.col("k")).select("of", "n")
+    turn = mix(np.array([seed], np.uint64))[0]
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = batch.column(1).to_pylist()
+            for at, texts in parts_of(batch, 0):
+                for k, s in enumerate(sets_in(texts, width)):
+                    if len(s) and name_of(s) == names[at + k]:
+                        keys = routes(np.sort(mix(s ^ turn)), hundredths).view(np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.full(len(keys), names[at + k], np.int64))], ["by", "n"])
+
+    sent = docs.join(wanted, F.col("doc_id") == F.col("of")).select("text", "n").mapInArrow(send, "by bigint, n bigint")
+    return met(cells.join(sent, F.col("node") == F.col("n")).select(F.xxhash64("cell", "by").alias("route"), "node"))
+
+
+def clustered(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, hundredths: int) -> DataFrame:
+    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, of, point.
 
     First each node's most frequented cell is looked through: that connects most of a large group. Of the other cells only those whose nodes are not one group by then have anything to add.
     """
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cell", "of")
     best = cells.join(sizes, F.col("cell") == F.col("of")).groupBy("node").agg(F.max(F.struct("n", "cell")).alias("best")).select(F.col("best.cell").alias("of")).distinct()
     chosen = cells.join(best, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
-    first = saved(near_pairs(chosen, nodes, hundredths), "near")
-    now = components(first).withColumnRenamed("node", "of")
-    marked = saved(cells.join(now, F.col("node") == F.col("of"), "left").select("cell", "node", F.coalesce("component", "node").alias("known")), "marked")
-    mixed = marked.groupBy("cell").agg(F.min("known").alias("lo"), F.max("known").alias("hi")).where("lo <> hi").select(F.col("cell").alias("of"))
-    rest = marked.join(mixed, F.col("cell") == F.col("of"), "left_semi")
-    return first.unionByName(near_pairs(rest, nodes, hundredths))
-
-
-def near_pairs(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
-    """In each cell pairs whose bound reaches the similarity, of those that join the same two groups one. cells: cell, node, known (group so far). A cell of over BLOCK nodes is split, and pairs of blocks are compared apart."""
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = cells.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("cell", "of")
-    rows = cells.join(nodes.select("k", "point"), F.col("node") == F.col("k")).join(sizes, F.col("cell") == F.col("of"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    low, high = F.least("block", "other"), F.greatest("block", "other")
-    rows = rows.select(F.xxhash64("cell", low, high).alias("cell"), "node", (F.col("block") > F.col("other")).alias("side"), "point", "known")
+    found = saved(near_pairs(first_pairs(chosen, BLOCK), nodes, hundredths), "near")
+    for turn in range(REROUTES + 1):
+        rest = saved(undecided(known_now(cells, found)), "undecided")
+        found = saved(found.unionByName(near_pairs(first_pairs(rest, BLOCK), nodes, hundredths)), "near")
+        large = in_blocks(rest, BLOCK).where("blocks > 2")
+        if large.isEmpty():
+            break
+        rest = saved(undecided(known_now(large, found)), "undecided")
+        limit = MANY_BLOCKS if turn < REROUTES else 2**31 - 1
+        sized = in_blocks(rest, BLOCK)
+        few = sized.where(F.col("blocks") <= limit).select("cell", "node", "known")
+        found = saved(found.unionByName(near_pairs(other_pairs(few, BLOCK), nodes, hundredths)), "near")
+        many = sized.where(F.col("blocks") > limit)
+        if many.isEmpty():
+            break
+        cells = saved(rerouted(docs, many.select("cell", "node"), nodes, width, hundredths, turn + 1), "cells")
+    return found
+
+
+def near_pairs(pairs: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
+    """Of each pair of blocks (pair, node, side, known) pairs of nodes whose bound reaches the similarity, of those that join the same two known groups one."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(nodes.select("k", "point"), F.col("node") == F.col("k")).select(F.col("pair").alias("cell"), "node", "side", "point", "known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows, sent = None, [], set()
@@ -305,19 +361,8 @@ def near_pairs(cells: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame
     return rows.repartition(parts, "cell").sortWithinPartitions("cell", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def packed(s: np.ndarray) -> bytes:
-    """A sorted set by the upper five bytes of its hashes: enough to tell the shingles of two documents apart."""
-    return (s >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
-
-
-def unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return np.unique(out.view("<u8").ravel())
-
-
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """node, cluster, leaves, leaf and set of the wanted (of: doc_id, node, cluster, leaves, leaf): one document each."""
+    """k and set of the wanted nodes (of: doc_id, node): one document each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -325,22 +370,23 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                 sets = sets_in(texts, width)
                 # a document may repeat its id with other texts: only the wanted one's set counts
                 same = pa.array([name_of(s) == n for s, n in zip(sets, batch.column(1).slice(at, len(texts)).to_pylist(), strict=True)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, len(texts)) for i in range(1, 5)], pa.array([packed(s) for s in sets], pa.binary())], ["node", "cluster", "leaves", "leaf", "set"]).filter(same)
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(at, len(texts)), pa.array([s.tobytes() for s in sets], pa.binary())], ["k", "set"]).filter(same)
 
-    found = docs.join(wanted, F.col("doc_id") == F.col("of")).select("text", "node", "cluster", "leaves", "leaf")
-    return found.mapInArrow(run, "node bigint, cluster bigint, leaves int, leaf int, set binary")
+    found = docs.join(wanted, F.col("doc_id") == F.col("of")).select("text", "node").mapInArrow(run, "k bigint, set binary")
+    return found.groupBy("k").agg(F.first("set").alias("set"))
 
 
-def compared(cells: DataFrame, hundredths: int) -> DataFrame:
-    """Links (a, b) among the nodes of each cell. cells: cell, node, side (0, or 1 for those to be joined with 0 only), known (component so far), set."""
-    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+def compared(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
+    """Links (a, b) of each pair of leaves (pair, node, side, known: component so far). sets: k, set."""
+    parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = pairs.join(sets, F.col("node") == F.col("k")).select(F.col("pair").alias("cell"), "node", "side", "known", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, rows = None, []
 
         def done():
             if len(rows) > 1:
-                sets = [unpacked(r[3]) for r in rows]
+                sets = [np.frombuffer(r[3], np.uint64) for r in rows]
                 left = [i for i, r in enumerate(rows) if not r[1]]
                 right = [i for i, r in enumerate(rows) if r[1]]
                 links = joined(left, right, sets, [r[2] for r in rows], hundredths)
@@ -368,35 +414,16 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
     docs = docs.where("doc_id is not null")
     one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("of"), F.first("point").alias("point")).withColumnRenamed("node", "k")
     cells = saved(meetings(docs, width, hundredths), "cells")
-    clusters = components(clustered(cells, one, hundredths))
+    clusters = components(clustered(docs, cells, one, width, hundredths))
     clusters = saved(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("leaves")).withColumnRenamed("cluster", "c")
-    leaves = clusters.join(sizes, F.col("cluster") == F.col("c")).withColumn("leaf", F.pmod(F.xxhash64("node"), F.col("leaves")).cast("int"))
-    wanted = one.join(leaves, F.col("k") == F.col("node")).select("of", "node", "cluster", "leaves", "leaf")
-    sets = saved(sets_of(docs, wanted, width), "sets")
-
-    def cell(a, b):
-        return F.xxhash64("cluster", a, b).alias("cell")
-
-    # first round: each leaf in itself, and all leaves of a cluster with its first
-    to = F.when((F.col("leaf") == 0) & (F.col("leaves") > 1), F.sequence(F.lit(0), F.col("leaves") - 1)).when(F.col("leaf") == 0, F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.col("leaf")))
-    dealt = sets.withColumn("to", F.explode(to))
-    low = F.when((F.col("leaf") > 0) & (F.col("to") == 0), F.lit(0)).otherwise(F.col("leaf"))
-    high = F.when((F.col("leaf") > 0) & (F.col("to") == 0), F.col("leaf")).otherwise(F.col("to"))
-    first = dealt.select(cell(low, high), "node", (low != F.col("leaf")).cast("int").alias("side"), F.col("node").alias("known"), "set")
-    links = saved(compared(first, hundredths), "links")
-    # second round: pairs of other leaves that are not one component by now
-    if sets.where("leaves > 2").limit(1).count():
-        now = components(links).withColumnRenamed("node", "of")
-        marked = sets.where("leaves > 2 and leaf > 0").join(now, F.col("node") == F.col("of"), "left").select("node", "cluster", "leaf", F.coalesce("component", "node").alias("known"), "set")
-        marked = saved(marked, "marked")
-        boxes = marked.groupBy("cluster", "leaf").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
-        one_side, other = boxes.select(*[F.col(c).alias(f"{c}_a") for c in boxes.columns]), boxes.select(*[F.col(c).alias(f"{c}_b") for c in boxes.columns])
-        pairs = one_side.join(other, (F.col("cluster_a") == F.col("cluster_b")) & (F.col("leaf_a") < F.col("leaf_b"))).where("lo_a <> hi_a or lo_b <> hi_b or lo_a <> lo_b")
-        sides = pairs.select(F.col("cluster_a").alias("c"), "leaf_a", "leaf_b", F.explode(F.array(F.struct(F.col("leaf_a").alias("l"), F.lit(0).alias("side")), F.struct(F.col("leaf_b").alias("l"), F.lit(1).alias("side")))).alias("s"))
-        sides = sides.select("c", "leaf_a", "leaf_b", "s.l", "s.side")
-        again = marked.join(sides, (F.col("cluster") == F.col("c")) & (F.col("leaf") == F.col("l"))).select(cell(F.col("leaf_a"), F.col("leaf_b")), "node", "side", "known", "set")
-        links = saved(links.unionByName(compared(again, hundredths)), "links")
+    clusters = clusters.select(F.col("cluster").alias("cell"), "node")
+    sets = saved(sets_of(docs, one.join(clusters, F.col("k") == F.col("node")).select("of", "node"), width), "sets")
+    links = saved(compared(first_pairs(clusters.withColumn("known", F.col("node")), LEAF), sets, hundredths), "links")
+    # pairs of other leaves that are not one component by now
+    large = in_blocks(clusters, LEAF).where("blocks > 2")
+    if not large.isEmpty():
+        rest = saved(known_now(large, links), "known")
+        links = saved(links.unionByName(compared(other_pairs(rest, LEAF), sets, hundredths)), "links")
     found = components(links).withColumnRenamed("node", "k")
     named = one.drop("point").join(found.withColumnRenamed("k", "n"), F.col("k") == F.col("n"), "left").select("k", "of", F.coalesce("component", "k").alias("component"))
     named = saved(named, "named")
@@ -408,6 +435,10 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
 
 
 def representatives(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS) -> DataFrame:
-    """docs without the documents that a lower doc_id is linked to, directly or through others. Rows with a null id stay; of an id that repeats all rows go if one does."""
+    """docs without the documents that a lower doc_id is linked to, directly or through others. Rows with a null id, and texts without words, stay; of an id that repeats with different texts all rows go if one does, and of rows that agree in id and text one stays."""
     gone = linked(docs, width, hundredths).where("component_id <> doc_id").select(F.col("doc_id").alias("tess_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("tess_gone"), "left_anti")
+    left = docs.join(gone, F.col("doc_id") == F.col("tess_gone"), "left_anti").withColumn("tess_text", F.xxhash64("text"))
+    # rows without an id are dealt by their text, and are not counted
+    order = Window.partitionBy(F.coalesce("doc_id", "tess_text"), "tess_text").orderBy("tess_text")
+    blank = F.coalesce(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")) == "", F.lit(True))
+    return left.withColumn("tess_n", F.row_number().over(order)).where(F.col("doc_id").isNull() | blank | (F.col("tess_n") == 1)).drop("tess_n", "tess_text")

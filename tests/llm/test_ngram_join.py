@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+from pyspark.sql import functions as F
+
 from tesserae.llm import ngram_join
 
 SCHEMA = "doc_id bigint, text string, node string, component int, leaf string"
@@ -69,3 +72,38 @@ def test_nulls_blank_repeated_long_and_empty_table(spark):
     n = brute([(2, long)])[2][0]
     assert got == sorted([(4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 1, 7), (9, 1, 7), (9, 1, 7), (None, 1, None), (2, n, 2), (3, n + 1, 2)], key=repr)
     assert ngram_join.linked(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_cells_split_into_many_blocks_and_routed_again(spark, monkeypatch):
+    """Blocks of four, routes of over 40 nodes: a near-copy group, and short documents of few words that meet by chance."""
+    for name, value in {"BLOCK": 4, "LEAF": 4, "MANY_BLOCKS": 3, "REROUTES": 2, "HELD": 40}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    base, rows = words(120), []
+    for i in range(150):
+        w = list(base)
+        for _ in range(i % 7):
+            w[rng.randrange(len(w))] = f"v{rng.randrange(9)}"
+        rows.append((i, " ".join(w), None, None, None))
+    rows += [(200 + i, " ".join(rng.choice("abc") for _ in range(rng.randint(5, 9))), None, None, None) for i in range(400)]
+    check(spark, rows)
+
+
+def test_unrelated_short_documents_in_one_cell(spark, monkeypatch):
+    """One cell of documents that have nothing in common is routed apart before all of its blocks are compared."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    monkeypatch.setattr(ngram_join, "MANY_BLOCKS", 2)
+    rows = [(i, f"a{i} b{i} c{i} d{i} e{i} f{i}" if i % 2 else f"a{i - 1} b{i - 1} c{i - 1} d{i - 1} e{i - 1} f{i - 1}", None, None, None) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).select("doc_id", "text")
+    described = ngram_join.described(docs, 4)
+    nodes = described.groupBy("node").agg(F.min("doc_id").alias("of"), F.first("point").alias("point")).withColumnRenamed("node", "k")
+    cells = nodes.select(F.lit(1).cast("bigint").alias("cell"), F.col("k").alias("node"))
+    apart = ngram_join.rerouted(docs, cells, nodes, 4, 85, 1)
+    assert apart.groupBy("cell").count().agg(F.max("count")).first()[0] in (None, 2, 3)
+    check(spark, rows)
+
+
+def test_two_sets_that_share_forty_bits_are_told_apart():
+    """Sets are compared by whole hashes."""
+    a = np.arange(1, 101, dtype=np.uint64) << np.uint64(24)
+    found = ngram_join.joined([0], [1], [a, a + np.uint64(1)], [1, 2], 85)
+    assert found == [] and ngram_join.joined([0], [1], [a, a.copy()], [1, 2], 85) == [(0, 1)]
