@@ -1,10 +1,11 @@
 """Substring dedup by MinHash banding of overlapping paragraphs.
 
-A paragraph is a run of whole sentences of at least 20 words, one beginning at each sentence, so a passage that repeats is cut alike wherever it is pasted in. Paragraphs that collide in a band of their MinHash signatures over five-word shingles are candidates; equal ones need no check, of the others the exact Jaccard similarity is computed. Links join paragraphs into components; of each component the first place stays, and what the others cover is merged and reported for removal.
+Texts are cut by their content: a word is a cut where its hash is the least of some sixteen consecutive words. A paragraph runs from a cut to the first cut that is at least 20 words on, so a passage that repeats is cut alike wherever it is pasted in, with or without punctuation. Paragraphs that collide in a band of their MinHash signatures over five-word shingles are candidates; equal ones need no check, of the others the exact Jaccard similarity is computed. Links join paragraphs into components; of each component the first place stays, and what the others cover is merged and reported for removal.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,37 +13,50 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, saved
+from tesserae.llm.common import components, first_pairs, in_blocks, known_now, other_pairs, saved, undecided
 from tesserae.llm.fingerprints import mix
 from tesserae.llm.words import parts_of, shingles_of, words_of
 
-LEAST_WORDS, SHINGLE, SIMILARITY = 20, 5, 0.8
-#: Distinct texts of a band's bucket that one task compares; larger buckets are compared block by block.
-BLOCK = 1024
-_STOP = np.zeros(256, bool)
-_STOP[list(b".!?")] = True
+#: Words of a paragraph at least, of a shingle, and of the runs each of which has a cut; a passage of LEAST_WORDS + 3 * CUT_WORDS words that two texts share always holds a whole paragraph of both, and most shorter ones do.
+LEAST_WORDS, SHINGLE, CUT_WORDS, SIMILARITY = 20, 5, 16, 0.8
+#: Distinct texts of a band's bucket that one task compares; larger buckets are compared block by block, or if of more blocks than that and not one group, dealt by shingles first.
+BLOCK, MANY_BLOCKS = 1024, 16
 
 
-def tuned(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 64) -> tuple[int, int]:
-    """Bands and rows: of all with the fewest keys that find pairs of this similarity with this probability, the most rows."""
-    for bands in range(1, most + 1):
+def tuned(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 3) -> tuple[int, int]:
+    """Bands and rows that find pairs of this similarity with this probability: the most rows, and so the fewest chance collisions, that so many bands allow; more bands if it takes them."""
+    for bands in range(most, 1000):
         for rows in range(8, 0, -1):
             if 1 - (1 - similarity**rows) ** bands >= recall:
-                return bands, rows
+                return next(b for b in range(1, bands + 1) if 1 - (1 - similarity**rows) ** b >= recall), rows
     raise ValueError("no banding reaches this recall")
 
 
+def cuts(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Places of words whose hash is the least of CUT_WORDS consecutive ones of their text (the last of equal ones); and where each text begins and ends."""
+    n, k = len(hashes), CUT_WORDS
+    bounds = np.unique(first)
+    if n < k:
+        return bounds
+    values = mix(hashes + np.uint64(7)) & ~np.uint64(0xFFFF)
+    # of equal hashes the last counts: the place from behind, within a run, breaks the tie
+    least = np.lib.stride_tricks.sliding_window_view(values, k)[:, ::-1].argmin(1)
+    at = np.arange(n - k + 1)
+    text = np.searchsorted(first, at, side="right")
+    whole = text == np.searchsorted(first, at + k - 1, side="right")
+    return np.unique(np.concatenate([bounds, (at + k - 1 - least)[whole]]))
+
+
 def paragraphs(texts: list[str]):
     """Of the texts' paragraphs: document index, first word, word after the last (counted in the document), hash; and the shingle hashes with each paragraph's span in them."""
-    words = words_of(texts, lines=True)
+    words = words_of(texts)
     begin, lens, n = words.first[:-1], np.diff(words.first), len(words.hashes)
     none = np.zeros(0, np.int64)
     if n < SHINGLE:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none, none
     shingles = shingles_of(words.hashes, SHINGLE)
-    ends = np.flatnonzero(_STOP[words.last] | np.r_[words.lines[1:] > words.lines[:-1], True]) + 1
-    ends = ends[ends > 0]
-    starts = np.unique(np.concatenate([[0], ends[:-1]]))
+    ends = cuts(words.hashes, words.first)
+    starts = ends[:-1]
     doc = np.searchsorted(begin + lens, starts, side="right")
     at = np.searchsorted(ends, starts + LEAST_WORDS)
     ok = at < len(ends)
@@ -55,9 +69,19 @@ def paragraphs(texts: list[str]):
     return doc, starts - begin[doc], stops - begin[doc], text_hash, shingles, starts, last
 
 
-#: flags: 2 for a paragraph known to repeat, 4 for a row of the first band.
-KEYS = "band bigint, hash bigint, doc_id bigint, start int, stop int, flags int"
-FOUND = KEYS.replace("flags int", "rival boolean")
+#: at: where a paragraph starts, its words and its flags in one number. Flags: 2 for a place known to repeat, 4 for a row of the first band, 8 for a text that stands in several documents.
+KEYS = "band bigint, hash bigint, doc_id bigint, at bigint"
+FOUND = "band bigint, hash bigint, doc_id bigint, start int, stop int, rival boolean"
+LONE, FIRST, SEVERAL = 2, 4, 8
+
+
+def placed(start: np.ndarray, stop: np.ndarray, flags: int) -> np.ndarray:
+    return start.astype(np.int64) << 32 | (stop - start).astype(np.int64) << 8 | flags
+
+
+def place_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = at >> 32
+    return start, start + (at >> 8 & 0xFFFFFF)
 
 
 def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
@@ -75,29 +99,28 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 doc, start, stop, text_hash, shingles, a, z = paragraphs(texts)
                 if not len(doc):
                     continue
+                order = np.argsort(text_hash, kind="stable")
+                same = np.flatnonzero(np.r_[True, text_hash[order][1:] != text_hash[order][:-1]])
+                apart = np.minimum.reduceat(doc[order], same) != np.maximum.reduceat(doc[order], same)
+                several = np.zeros(len(doc), bool)
+                several[order] = np.repeat(apart, np.diff(same, append=len(doc)))
+                stands = ~several
+                stands[order[same]] = True
+                flag = np.where(several, SEVERAL, 0)
                 spans = np.stack([a, z], 1).ravel()
                 padded = np.append(shingles, np.uint64(2**64 - 1))
+                text_hash = text_hash.view(np.int64)
                 for b in range(bands):
                     key = np.full(len(doc), b, np.uint64)
                     for r in range(rows):
                         seed = mix(np.array([b * rows + r + 1], np.uint64))[0]
                         key = mix(key ^ np.minimum.reduceat(mix(padded ^ seed), spans)[::2]) + np.uint64(b)
-                    rows_out = [key.view(np.int64), text_hash.view(np.int64), ids[at + doc], start.astype(np.int32), stop.astype(np.int32), np.full(len(doc), 4 * (b == 0), np.int32)]
+                    out = [key.view(np.int64)[stands], text_hash[stands], ids[at + doc][stands], (placed(start, stop, FIRST * (b == 0)) | flag)[stands]]
                     if b == 0:
-                        order = np.argsort(text_hash, kind="stable")
-                        same = np.flatnonzero(np.r_[True, text_hash[order][1:] != text_hash[order][:-1]])
-                        apart = np.minimum.reduceat(doc[order], same) != np.maximum.reduceat(doc[order], same)
-                        several = np.zeros(len(doc), bool)
-                        several[order] = np.repeat(apart, np.diff(same, append=len(doc)))
-                        stands = ~several
-                        stands[order[same]] = True
-                        lone = [x[several] for x in rows_out]
-                        lone[0] = mix(key[several] ^ mix(doc[several].astype(np.uint64) + text_hash[several])).view(np.int64)
-                        lone[5] = np.full(len(lone[0]), 2, np.int32)
-                        rows_out = [np.concatenate([x[stands], y]) for x, y in zip(rows_out, lone, strict=True)]
-                    else:
-                        rows_out = [x[stands] for x in rows_out]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows_out], names)
+                        own = mix(key[several] ^ mix(doc[several].astype(np.uint64) + text_hash[several].view(np.uint64))).view(np.int64)
+                        lone = [own, text_hash[several], ids[at + doc][several], placed(start, stop, LONE)[several]]
+                        out = [np.concatenate(x) for x in zip(out, lone, strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names)
 
     return docs.select("doc_id", "text").mapInArrow(run, KEYS)
 
@@ -105,29 +128,32 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def shared(keys: DataFrame) -> DataFrame:
     """What the bands show: places of paragraphs that repeat word for word (rival false; from the first band, where equal ones meet, and those known before), and of each band with different texts one place of each (rival true).
 
-    Different texts whose first places lie in one document are no rivals: what repeats either is told by that document anyway, and overlapping paragraphs are alike of themselves.
+    Texts that all stand in one document only, and there overlap one another, are no rivals: neighbours are alike of themselves. A text that also stands elsewhere is a rival of all others.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def emit(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        band, text, doc, flags = (table.column(i).to_numpy() for i in (0, 1, 2, 5))
-        begin = np.r_[True, (band[1:] != band[:-1]) | (text[1:] != text[:-1])]
-        at = np.flatnonzero(begin)
-        size = np.diff(at, append=len(band))
-        place = ((flags & 4) > 0) & np.repeat(size > 1, size) | ((flags & 2) > 0)
+        band, text, doc, at = (table.column(i).to_numpy() for i in range(4))
+        start, stop = place_of(at)
+        begin = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (text[1:] != text[:-1])])
+        size = np.diff(begin, append=len(band))
+        place = ((at & FIRST) > 0) & np.repeat(size > 1, size) | ((at & LONE) > 0)
+
+        def out(rows: np.ndarray, rival: bool) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array(x[rows]) for x in (band, text, doc)], pa.array(start[rows].astype(np.int32)), pa.array(stop[rows].astype(np.int32)), pa.array(np.full(len(band[rows]), rival))], ["band", "hash", "doc_id", "start", "stop", "rival"])
+
         if place.any():
-            yield from out(table.filter(pa.array(place)), False)
+            yield out(place, False)
+        bucket = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
+        apart = np.minimum.reduceat(doc, bucket) != np.maximum.reduceat(doc, bucket)
+        apart |= np.bitwise_or.reduceat(at & SEVERAL, bucket) > 0
+        apart |= np.maximum.reduceat(start, bucket) >= np.minimum.reduceat(stop, bucket)
         # the first place of each text, band by band
-        band, doc = band[at], doc[at]
-        first = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        count = np.diff(first, append=len(band))
-        rivals = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        if rivals.any():
-            yield from out(table.take(pa.array(at[np.repeat(rivals, count)])), True)
-
-    def out(table: pa.Table, rival: bool) -> Iterator[pa.RecordBatch]:
-        for batch in table.to_batches():
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(np.full(batch.num_rows, rival))], ["band", "hash", "doc_id", "start", "stop", "rival"])
+        of = np.searchsorted(bucket, begin, side="right") - 1
+        texts = np.bincount(of, minlength=len(bucket))
+        rivals = begin[(apart & (texts > 1))[of]]
+        if len(rivals):
+            yield out(rivals, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
@@ -145,26 +171,58 @@ def shared(keys: DataFrame) -> DataFrame:
         if held is not None:
             yield from emit(held)
 
-    return keys.repartition(parts, "band").sortWithinPartitions("band", "hash", "doc_id", "start").mapInArrow(run, FOUND)
+    return keys.repartition(parts, "band").sortWithinPartitions("band", "hash", "doc_id", "at").mapInArrow(run, FOUND)
 
 
 def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different paragraph texts that share a band and have this Jaccard similarity or more.
+    """Links (a, b) between different paragraph texts that share a band and have this Jaccard similarity or more, enough of them to connect all such.
 
-    texts: hash and set (shingle hashes, sorted); rivals: band and hash, distinct. Within a bucket every pair of texts not yet joined is compared, through an index of its shingles; only links that join two groups leave the task. A bucket of over BLOCK texts is split, and pairs of blocks are compared apart.
+    texts: hash and set (shingle hashes, sorted); rivals: band and hash, distinct. A bucket's blocks are compared with the first one, then those that are not one group by now with one another. A larger bucket of many groups is dealt anew by shingles: texts within the similarity share one of the few that come first in an order common to all.
     """
-    spark = texts.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sizes = rivals.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("band").alias("of"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    rows = rivals.join(sizes, F.col("band") == F.col("of")).withColumn("block", F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select(F.xxhash64("band", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), (F.least("block", "other") == F.col("block")).alias("side"), "hash", (F.col("block") == F.col("other")).alias("own"))
-    rows = rows.join(texts.withColumnRenamed("hash", "of"), F.col("hash") == F.col("of")).select("cell", "hash", "side", "own", "set")
-
-    def links(hashes: list[int], sides: list[bool], own: bool, sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    cells = rivals.select(F.col("band").alias("cell"), F.col("hash").alias("node"))
+    alone = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("of"))
+    cells = cells.join(alone, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
+    found = saved(compared(texts, first_pairs(cells, BLOCK), similarity), "links")
+    large = in_blocks(cells, BLOCK).where("blocks > 2")
+    if large.isEmpty():
+        return found
+    rest = in_blocks(saved(undecided(known_now(large, found)), "undecided"), BLOCK)
+    few = rest.where(F.col("blocks") <= MANY_BLOCKS).select("cell", "node", "known")
+    found = found.unionByName(compared(texts, other_pairs(few, BLOCK), similarity))
+    many = rest.where(F.col("blocks") > MANY_BLOCKS)
+    if many.isEmpty():
+        return found
+    dealt = saved(by_shingles(texts, many.select("cell", "node", "known"), similarity), "dealt")
+    found = saved(found.unionByName(compared(texts, first_pairs(dealt, BLOCK), similarity)), "links")
+    rest = saved(undecided(known_now(dealt, found)), "undecided")
+    return found.unionByName(compared(texts, other_pairs(rest, BLOCK), similarity))
+
+
+def by_shingles(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
+    """cells (cell, node, known), cut by each of a text's first shingles in the order of their hashes: of n so many that a set without any of them shares too few."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, raw in enumerate(batch.column(3)):
+                s = np.frombuffer(raw.as_py(), np.uint64)
+                first = s[: len(s) - math.ceil(similarity * len(s) - 1e-9) + 1]
+                keys = mix(first ^ mix(batch.column(0).slice(i, 1).to_numpy().view(np.uint64))).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.full(len(keys), batch.column(c)[i].as_py(), np.int64)) for c in (1, 2)]], ["cell", "node", "known"])
+
+    rows = cells.join(texts, F.col("node") == F.col("hash")).select("cell", "node", "known", "set")
+    return rows.mapInArrow(run, "cell bigint, node bigint, known bigint")
+
+
+def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) in each pair of blocks (pair, node, side, known). Within a pair every two texts not yet joined are compared, through an index of its shingles; only links that join two groups leave the task."""
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = pairs.join(texts, F.col("node") == F.col("hash")).select(F.col("pair").alias("cell"), "hash", "side", "known", "set")
+
+    def links(hashes: list[int], sides: list[bool], known: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
         n = len(hashes)
         sizes = np.array([len(s) for s in sets])
-        group = list(range(n))
+        own, begun = not any(sides), {}
+        group = [begun.setdefault(c, i) for i, c in enumerate(known)]
 
         def find(i: int) -> int:
             while group[i] != i:
@@ -194,21 +252,22 @@ def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFram
         return a, b
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, hashes, sides, own, sets = None, [], [], False, []
+        cell, hashes, sides, known, sets = None, [], [], [], []
 
         def done():
             if len(hashes) > 1:
-                a, b = links(hashes, sides, own, sets)
+                a, b = links(hashes, sides, known, sets)
                 if a:
                     yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            for c, h, s, o, x in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
+            for c, h, s, k, x in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
                 if c != cell:
                     yield from done()
-                    cell, hashes, sides, own, sets = c, [], [], o, []
+                    cell, hashes, sides, known, sets = c, [], [], [], []
                 hashes.append(h)
                 sides.append(s)
+                known.append(k)
                 sets.append(np.frombuffer(x, np.uint64))
         yield from done()
 
@@ -242,7 +301,7 @@ def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.
     found = saved(shared(keyed(docs, bands, rows)), "bands")
     rivals = found.where("rival")
     one = rivals.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("p")).select("hash", "p.*")
-    links = verified(shingle_sets(docs, one), rivals.select("band", "hash"), similarity)
+    links = verified(saved(shingle_sets(docs, one), "sets"), rivals.select("band", "hash"), similarity)
     of = components(links).withColumnRenamed("node", "of")
     places = found.where("not rival").select("hash", "doc_id", "start", "stop")
     linked = one.join(of, F.col("hash") == F.col("of"), "left_semi")

@@ -71,6 +71,73 @@ def test_nulls_empty_long_repeated_and_empty_table(spark):
 
 
 def test_tuning():
-    assert substrings.tuned(0.8, 0.95) == (2, 1)
+    assert substrings.tuned(0.8, 0.95) == (3, 2)
     bands, rows = substrings.tuned(0.8, 0.999)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.999
+
+
+def test_texts_without_punctuation(spark):
+    """Any run of as many words as two cuts and a paragraph take is found, wherever it stands."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8)))
+    n = substrings.LEAST_WORDS + 3 * substrings.CUT_WORDS
+    rows, pasted = [], {}
+    for i in range(80):
+        words = [word() for _ in range(200)]
+        if i >= 40:
+            a, b = rng.randrange(200 - n), rng.randrange(200 - n)
+            words[b : b + n] = rows[i - 40][1].split()[a : a + n]
+            pasted[i] = i - 40
+        rows.append((i, " ".join(words), None, None))
+    got = substrings.repeated(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r["doc_id"]: r["of_doc_id"] for r in got} == pasted
+
+
+def changed(text: str, n: int) -> str:
+    words = text.split()
+    for at in rng.sample(range(len(words)), n):
+        words[at] = "changed"
+    return " ".join(words)
+
+
+def held(spark, rows):
+    """Documents and their originals, as exact similarities of all paragraphs say."""
+    got = {(r["doc_id"], r["of_doc_id"]) for r in substrings.repeated(spark.createDataFrame(rows, SCHEMA), recall=0.99999).collect()}
+    doc, start, stop, _, shingles, a, z = substrings.paragraphs([r[1] for r in rows])
+    sets = [set(shingles[x:y].tolist()) for x, y in zip(a, z, strict=True)]
+    group = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                old, new = group[i], group[j]
+                group = [new if g == old else g for g in group]
+    want = set()
+    for g in set(group):
+        places = sorted((rows[doc[k]][0], int(start[k]), int(stop[k])) for k in range(len(sets)) if group[k] == g)
+        want |= {(d, places[0][0]) for d, s, _ in places if d != places[0][0] or s >= places[0][2]}
+    assert got == want
+    return got
+
+
+def test_rivals_that_share_a_first_document(spark):
+    """X and Y stand in one document, W is like Y alone, and X stands elsewhere again: its later place is found through all of them."""
+    rows = []
+    for i in range(25):
+        y = prose(4)
+        x, w = changed(y, 1), changed(y, 2)
+        rows += [(10 * i + 1, w, None, None), (10 * i + 3, f"{prose(3)} {y} {prose(3)} {x}", None, None), (10 * i + 5, f"{prose(2)} {x}", None, None)]
+    assert len(held(spark, rows)) >= 25
+
+
+def test_near_copies_within_a_document(spark):
+    rows = [(i, f"{(p := prose(6))} {prose(5)} {changed(p, 1)}", None, None) for i in range(25)]
+    assert len({(i, i) for i in range(25)} & held(spark, rows)) >= 15
+
+
+def test_buckets_of_many_blocks(spark, monkeypatch):
+    """Blocks of four: a group of near copies, and texts that share a phrase and little else."""
+    monkeypatch.setattr(substrings, "BLOCK", 4)
+    monkeypatch.setattr(substrings, "MANY_BLOCKS", 3)
+    base, phrase = prose(4), "one phrase that every text has and that brings them together in many of the bands"
+    rows = [(i, changed(base, i % 4), None, None) for i in range(60)]
+    rows += [(100 + i, f"{phrase} {' '.join(prose(1).split()[:9])} {phrase}", None, None) for i in range(60)]
+    held(spark, rows)
