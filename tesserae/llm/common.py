@@ -118,9 +118,16 @@ def other_pairs(cells: DataFrame, size: int) -> DataFrame:
     return rows.join(sides, (F.col("cell") == F.col("c")) & (F.col("block") == F.col("at"))).select("pair", "node", "side", "known")
 
 
-def known_now(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """cells (cell, node) with known, each node's component by links (a, b), itself without any."""
-    now = components(links).withColumnRenamed("node", "of")
+def grouped(groups: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component), saved, of those found before and links (a, b)."""
+    if groups is not None:
+        links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return saved(components(links), "groups")
+
+
+def known_now(cells: DataFrame, groups: DataFrame) -> DataFrame:
+    """cells (cell, node) with known, each node's component in groups, itself without any."""
+    now = groups.withColumnRenamed("node", "of")
     return cells.select("cell", "node").join(now, F.col("node") == F.col("of"), "left").select("cell", "node", F.coalesce("component", "node").alias("known"))
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, first_pairs, in_blocks, known_now, other_pairs, saved, undecided
+from tesserae.llm.common import first_pairs, grouped, in_blocks, known_now, other_pairs, saved, undecided
 from tesserae.llm.fingerprints import mix
 from tesserae.llm.words import parts_of, shingles_of, words_of
 
@@ -305,30 +305,30 @@ def rerouted(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, hu
 
 
 def clustered(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, hundredths: int) -> DataFrame:
-    """Pairs (a, b) of nodes that share a cell and whose bound reaches the similarity, enough of them to connect all such. cells: cell, node; nodes: k, of, point.
+    """Components (node, component) of nodes that share a cell and whose bound reaches the similarity. cells: cell, node; nodes: k, of, point.
 
     First each node's most frequented cell is looked through: that connects most of a large group. Of the other cells only those whose nodes are not one group by then have anything to add.
     """
     sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("cell", "of")
     best = cells.join(sizes, F.col("cell") == F.col("of")).groupBy("node").agg(F.max(F.struct("n", "cell")).alias("best")).select(F.col("best.cell").alias("of")).distinct()
     chosen = cells.join(best, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
-    found = saved(near_pairs(first_pairs(chosen, BLOCK), nodes, hundredths), "near")
+    groups = grouped(None, near_pairs(first_pairs(chosen, BLOCK), nodes, hundredths))
     for turn in range(REROUTES + 1):
-        rest = saved(undecided(known_now(cells, found)), "undecided")
-        found = saved(found.unionByName(near_pairs(first_pairs(rest, BLOCK), nodes, hundredths)), "near")
+        rest = saved(undecided(known_now(cells, groups)), "undecided")
+        groups = grouped(groups, near_pairs(first_pairs(rest, BLOCK), nodes, hundredths))
         large = in_blocks(rest, BLOCK).where("blocks > 2")
         if large.isEmpty():
             break
-        rest = saved(undecided(known_now(large, found)), "undecided")
+        rest = saved(undecided(known_now(large, groups)), "undecided")
         limit = MANY_BLOCKS if turn < REROUTES else 2**31 - 1
         sized = in_blocks(rest, BLOCK)
-        few = sized.where(F.col("blocks") <= limit).select("cell", "node", "known")
-        found = saved(found.unionByName(near_pairs(other_pairs(few, BLOCK), nodes, hundredths)), "near")
-        many = sized.where(F.col("blocks") > limit)
+        few, many = (sized.where(w).select("cell", "node", "known") for w in (F.col("blocks") <= limit, F.col("blocks") > limit))
+        if not few.isEmpty():
+            groups = grouped(groups, near_pairs(other_pairs(few, BLOCK), nodes, hundredths))
         if many.isEmpty():
             break
         cells = saved(rerouted(docs, many.select("cell", "node"), nodes, width, hundredths, turn + 1), "cells")
-    return found
+    return groups
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
@@ -414,17 +414,17 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
     docs = docs.where("doc_id is not null")
     one = rows.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("of"), F.first("point").alias("point")).withColumnRenamed("node", "k")
     cells = saved(meetings(docs, width, hundredths), "cells")
-    clusters = components(clustered(docs, cells, one, width, hundredths))
-    clusters = saved(clusters.withColumnRenamed("component", "cluster"), "clusters")
-    clusters = clusters.select(F.col("cluster").alias("cell"), "node")
+    clusters = clustered(docs, cells, one, width, hundredths)
+    clusters = clusters.select(F.col("component").alias("cell"), "node")
     sets = saved(sets_of(docs, one.join(clusters, F.col("k") == F.col("node")).select("of", "node"), width), "sets")
-    links = saved(compared(first_pairs(clusters.withColumn("known", F.col("node")), LEAF), sets, hundredths), "links")
+    groups = grouped(None, compared(first_pairs(clusters.withColumn("known", F.col("node")), LEAF), sets, hundredths))
     # pairs of other leaves that are not one component by now
     large = in_blocks(clusters, LEAF).where("blocks > 2")
     if not large.isEmpty():
-        rest = saved(known_now(large, links), "known")
-        links = saved(links.unionByName(compared(other_pairs(rest, LEAF), sets, hundredths)), "links")
-    found = components(links).withColumnRenamed("node", "k")
+        rest = saved(undecided(known_now(large, groups)), "undecided")
+        if not rest.isEmpty():
+            groups = grouped(groups, compared(other_pairs(rest, LEAF), sets, hundredths))
+    found = groups.withColumnRenamed("node", "k")
     named = one.drop("point").join(found.withColumnRenamed("k", "n"), F.col("k") == F.col("n"), "left").select("k", "of", F.coalesce("component", "k").alias("component"))
     named = saved(named, "named")
     least = named.groupBy("component").agg(F.min("of").alias("component_id")).withColumnRenamed("component", "c")
