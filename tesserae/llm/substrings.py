@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import components, first_pairs, in_blocks, known_now, other_pairs, saved, undecided
+from tesserae.llm.common import first_pairs, grouped, in_blocks, known_now, other_pairs, runs_of, saved, undecided
 from tesserae.llm.fingerprints import mix
 from tesserae.llm.words import parts_of, shingles_of, words_of
 
@@ -21,6 +21,8 @@ from tesserae.llm.words import parts_of, shingles_of, words_of
 LEAST_WORDS, SHINGLE, CUT_WORDS, SIMILARITY = 20, 5, 16, 0.8
 #: Distinct texts of a band's bucket that one task compares; larger buckets are compared block by block, or if of more blocks than that and not one group, dealt by shingles first.
 BLOCK, MANY_BLOCKS = 1024, 16
+#: Texts of a pair of blocks that counts as small, and texts of small ones that are looked through at a time.
+SMALL, TOGETHER = 16, 20_000
 
 
 def tuned(similarity: float = SIMILARITY, recall: float = 0.95, most: int = 3) -> tuple[int, int]:
@@ -69,10 +71,10 @@ def paragraphs(texts: list[str]):
     return doc, starts - begin[doc], stops - begin[doc], text_hash, shingles, starts, last
 
 
-#: at: where a paragraph starts, its words and its flags in one number. Flags: 2 for a place known to repeat, 4 for a row of the first band, 8 for a text that stands in several documents.
+#: at: where a paragraph starts, its words and its flags in one number. Flags: 2 for a place known to repeat, 4 for a row of the first band.
 KEYS = "band bigint, hash bigint, doc_id bigint, at bigint"
 FOUND = "band bigint, hash bigint, doc_id bigint, start int, stop int, rival boolean"
-LONE, FIRST, SEVERAL = 2, 4, 8
+LONE, FIRST = 2, 4
 
 
 def placed(start: np.ndarray, stop: np.ndarray, flags: int) -> np.ndarray:
@@ -106,7 +108,6 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 several[order] = np.repeat(apart, np.diff(same, append=len(doc)))
                 stands = ~several
                 stands[order[same]] = True
-                flag = np.where(several, SEVERAL, 0)
                 spans = np.stack([a, z], 1).ravel()
                 padded = np.append(shingles, np.uint64(2**64 - 1))
                 text_hash = text_hash.view(np.int64)
@@ -115,7 +116,7 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                     for r in range(rows):
                         seed = mix(np.array([b * rows + r + 1], np.uint64))[0]
                         key = mix(key ^ np.minimum.reduceat(mix(padded ^ seed), spans)[::2]) + np.uint64(b)
-                    out = [key.view(np.int64)[stands], text_hash[stands], ids[at + doc][stands], (placed(start, stop, FIRST * (b == 0)) | flag)[stands]]
+                    out = [key.view(np.int64)[stands], text_hash[stands], ids[at + doc][stands], placed(start, stop, FIRST * (b == 0))[stands]]
                     if b == 0:
                         own = mix(key[several] ^ mix(doc[several].astype(np.uint64) + text_hash[several].view(np.uint64))).view(np.int64)
                         lone = [own, text_hash[several], ids[at + doc][several], placed(start, stop, LONE)[several]]
@@ -128,7 +129,7 @@ def keyed(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 def shared(keys: DataFrame) -> DataFrame:
     """What the bands show: places of paragraphs that repeat word for word (rival false; from the first band, where equal ones meet, and those known before), and of each band with different texts one place of each (rival true).
 
-    Texts that all stand in one document only, and there overlap one another, are no rivals: neighbours are alike of themselves. A text that also stands elsewhere is a rival of all others.
+    Texts whose first places all overlap in one document are no rivals: neighbours are alike of themselves.
     """
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -144,12 +145,12 @@ def shared(keys: DataFrame) -> DataFrame:
 
         if place.any():
             yield out(place, False)
-        bucket = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
-        apart = np.minimum.reduceat(doc, bucket) != np.maximum.reduceat(doc, bucket)
-        apart |= np.bitwise_or.reduceat(at & SEVERAL, bucket) > 0
-        apart |= np.maximum.reduceat(start, bucket) >= np.minimum.reduceat(stop, bucket)
         # the first place of each text, band by band
+        bucket = np.flatnonzero(np.r_[True, band[1:] != band[:-1]])
         of = np.searchsorted(bucket, begin, side="right") - 1
+        texts_at = np.searchsorted(begin, bucket)
+        apart = np.minimum.reduceat(doc[begin], texts_at) != np.maximum.reduceat(doc[begin], texts_at)
+        apart |= np.maximum.reduceat(start[begin], texts_at) >= np.minimum.reduceat(stop[begin], texts_at)
         texts = np.bincount(of, minlength=len(bucket))
         rivals = begin[(apart & (texts > 1))[of]]
         if len(rivals):
@@ -175,27 +176,27 @@ def shared(keys: DataFrame) -> DataFrame:
 
 
 def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) between different paragraph texts that share a band and have this Jaccard similarity or more, enough of them to connect all such.
+    """Components (node, component) of different paragraph texts that share a band and have this Jaccard similarity or more, and whose first places do not overlap in one document.
 
-    texts: hash and set (shingle hashes, sorted); rivals: band and hash, distinct. A bucket's blocks are compared with the first one, then those that are not one group by now with one another. A larger bucket of many groups is dealt anew by shingles: texts within the similarity share one of the few that come first in an order common to all.
+    texts: hash, set (shingle hashes, sorted) and the first place (doc_id, start, stop); rivals: band and hash, distinct. A bucket's blocks are compared with the first one, then those that are not one group by now with one another. A larger bucket of many groups is dealt anew by shingles: texts within the similarity share one of the few that come first in an order common to all.
     """
     cells = rivals.select(F.col("band").alias("cell"), F.col("hash").alias("node"))
     alone = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("of"))
     cells = cells.join(alone, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
-    found = saved(compared(texts, first_pairs(cells, BLOCK), similarity), "links")
+    groups = grouped(None, compared(texts, first_pairs(cells, BLOCK), similarity))
     large = in_blocks(cells, BLOCK).where("blocks > 2")
     if large.isEmpty():
-        return found
-    rest = in_blocks(saved(undecided(known_now(large, found)), "undecided"), BLOCK)
-    few = rest.where(F.col("blocks") <= MANY_BLOCKS).select("cell", "node", "known")
-    found = found.unionByName(compared(texts, other_pairs(few, BLOCK), similarity))
-    many = rest.where(F.col("blocks") > MANY_BLOCKS)
+        return groups
+    rest = in_blocks(saved(undecided(known_now(large, groups)), "undecided"), BLOCK)
+    few, many = (rest.where(w).select("cell", "node", "known") for w in (F.col("blocks") <= MANY_BLOCKS, F.col("blocks") > MANY_BLOCKS))
+    if not few.isEmpty():
+        groups = grouped(groups, compared(texts, other_pairs(few, BLOCK), similarity))
     if many.isEmpty():
-        return found
-    dealt = saved(by_shingles(texts, many.select("cell", "node", "known"), similarity), "dealt")
-    found = saved(found.unionByName(compared(texts, first_pairs(dealt, BLOCK), similarity)), "links")
-    rest = saved(undecided(known_now(dealt, found)), "undecided")
-    return found.unionByName(compared(texts, other_pairs(rest, BLOCK), similarity))
+        return groups
+    dealt = saved(by_shingles(texts, many, similarity), "dealt")
+    groups = grouped(groups, compared(texts, first_pairs(dealt, BLOCK), similarity))
+    rest = saved(undecided(known_now(dealt, groups)), "undecided")
+    return groups if rest.isEmpty() else grouped(groups, compared(texts, other_pairs(rest, BLOCK), similarity))
 
 
 def by_shingles(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFrame:
@@ -213,63 +214,93 @@ def by_shingles(texts: DataFrame, cells: DataFrame, similarity: float) -> DataFr
     return rows.mapInArrow(run, "cell bigint, node bigint, known bigint")
 
 
+def pairs_in(cell: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i < j of one cell whose sets share elements, and how many; cells are small."""
+    sizes = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), sizes)
+    key = np.concatenate(sets) ^ mix(cell.view(np.uint64))[of]
+    order = np.argsort(key, kind="stable")
+    key, of = key[order], of[order]
+    codes, d = [], 1
+    while d < len(key) and (same := key[:-d] == key[d:]).any():
+        codes.append(of[:-d][same] * len(sets) + of[d:][same])
+        d += 1
+    pair, common = np.unique(np.concatenate(codes), return_counts=True) if codes else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    return pair // len(sets), pair % len(sets), common
+
+
+def pairs_of(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row of a large cell how many elements its set shares with every later one's, by an index of the elements."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    flat, of = np.concatenate(sets), np.repeat(np.arange(n), sizes)
+    order = np.lexsort((of, flat))
+    flat, of = flat[order], of[order]
+    first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    run = np.repeat(np.arange(len(first)), np.diff(first, append=len(flat)))
+    back, bounds, at = np.argsort(of, kind="stable"), np.append(first, len(flat)), 0
+    for i in range(n):
+        common = np.zeros(n, np.int64)
+        for k in back[at : at + sizes[i]]:
+            common[of[k + 1 : bounds[run[k] + 1]]] += 1
+        at += sizes[i]
+        yield i, common
+
+
 def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) in each pair of blocks (pair, node, side, known). Within a pair every two texts not yet joined are compared, through an index of its shingles; only links that join two groups leave the task."""
+    """Links (a, b) in each pair of blocks (pair, node, side, known), of a large pair only such as join two groups. Small pairs are looked through many at a time."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = pairs.join(texts, F.col("node") == F.col("hash")).select(F.col("pair").alias("cell"), "hash", "side", "known", "set")
-
-    def links(hashes: list[int], sides: list[bool], known: list[int], sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
-        n = len(hashes)
-        sizes = np.array([len(s) for s in sets])
-        own, begun = not any(sides), {}
-        group = [begun.setdefault(c, i) for i, c in enumerate(known)]
-
-        def find(i: int) -> int:
-            while group[i] != i:
-                group[i] = group[group[i]]
-                i = group[i]
-            return i
-
-        flat, of = np.concatenate(sets), np.repeat(np.arange(n), sizes)
-        order = np.lexsort((of, flat))
-        flat, of = flat[order], of[order]
-        first = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
-        run = np.repeat(np.arange(len(first)), np.diff(first, append=len(flat)))
-        back = np.argsort(of, kind="stable")
-        bounds = np.append(first, len(flat))
-        at, a, b = 0, [], []
-        for i in range(n):
-            mine = back[at : at + sizes[i]]
-            at += sizes[i]
-            common = np.zeros(n, np.int64)
-            for k in mine:
-                common[of[k + 1 : bounds[run[k] + 1]]] += 1
-            for j in np.flatnonzero(common >= similarity / (1 + similarity) * (sizes + sizes[i]) - 1e-9):
-                if (own or sides[i] != sides[j]) and common[j] >= similarity * (sizes[i] + sizes[j] - common[j]) - 1e-9 and (x := find(i)) != (y := find(j)):
-                    group[x] = y
-                    a.append(hashes[i])
-                    b.append(hashes[j])
-        return a, b
+    rows = pairs.join(texts, F.col("node") == F.col("hash")).select(F.col("pair").alias("cell"), "hash", "side", "known", "doc_id", "start", "stop", "set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, hashes, sides, known, sets = None, [], [], [], []
-
-        def done():
-            if len(hashes) > 1:
-                a, b = links(hashes, sides, known, sets)
-                if a:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            for c, h, s, k, x in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if c != cell:
-                    yield from done()
-                    cell, hashes, sides, known, sets = c, [], [], [], []
-                hashes.append(h)
-                sides.append(s)
-                known.append(k)
-                sets.append(np.frombuffer(x, np.uint64))
-        yield from done()
+        held: list[pa.Table] = []
+
+        def alike(cols: list[np.ndarray], sizes: np.ndarray, i, j, common, own):
+            side, doc, start, stop = cols
+            ok = (own | (side[i] != side[j])) & (common >= similarity * (sizes[i] + sizes[j] - common) - 1e-9)
+            return ok & ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
+
+        def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            cell, node, side, known, doc, start, stop = (table.column(c).to_numpy() for c in range(7))
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(7)]
+            sizes = np.array([len(s) for s in sets])
+            begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            count = np.diff(begin, append=len(cell))
+            own = ~np.logical_or.reduceat(side, begin)
+            a, b = [], []
+            small = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
+            if len(small):
+                i, j, common = pairs_in(cell[small], [sets[k] for k in small])
+                i, j = small[i], small[j]
+                ok = alike([side, doc, start, stop], sizes, i, j, common, np.repeat(own, count)[i])
+                a, b = node[i[ok]].tolist(), node[j[ok]].tolist()
+            for k in np.flatnonzero(count > SMALL):
+                rows = slice(begin[k], begin[k] + count[k])
+                cols, some, first = [x[rows] for x in (side, doc, start, stop)], sizes[rows], {}
+                group = [first.setdefault(g, i) for i, g in enumerate(known[rows].tolist())]
+
+                def find(i: int) -> int:
+                    while group[i] != i:
+                        group[i] = group[group[i]]
+                        i = group[i]
+                    return i
+
+                for i, common in pairs_of(sets[rows]):
+                    near = np.flatnonzero(common >= similarity / (1 + similarity) * (some + some[i]) - 1e-9)
+                    for j in near[alike(cols, some, i, near, common[near], own[k])].tolist():
+                        if (x := find(i)) != (y := find(j)):
+                            group[x] = y
+                            a.append(int(node[rows][i]))
+                            b.append(int(node[rows][j]))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for table in runs_of(batches):
+            held.append(table)
+            if sum(t.num_rows for t in held) >= TOGETHER:
+                yield from links(pa.concat_tables(held).combine_chunks())
+                held = []
+        if held:
+            yield from links(pa.concat_tables(held).combine_chunks())
 
     return rows.repartition(parts, "cell").sortWithinPartitions("cell", "hash").mapInArrow(run, "a bigint, b bigint")
 
@@ -294,15 +325,15 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated(docs: DataFrame, similarity: float = SIMILARITY, recall: float = 0.95) -> DataFrame:
     """Passages that repeat: doc_id, start and stop (words between white space, counted from 0), of_doc_id (where the first of them stands) and n_words.
 
-    docs: doc_id and text; other columns are ignored. A document's passages that overlap and repeat passages of one document are merged. Null texts, and texts with under 20 words, have no paragraphs; rows with a null id are left out, since a passage is told by its document; rows repeated in full are one document. First means lowest doc_id, then lowest position. A place is removed only if the first one is in another document or ends before it.
+    docs: doc_id and text; other columns are ignored. A document's passages that overlap and repeat passages of one document are merged. Null texts, and texts with under 20 words, have no paragraphs; rows with a null id are left out, since a passage is told by its document; rows repeated in full are one document. First means lowest doc_id, then lowest position. A place is removed only if the first one is in another document or ends before it. Paragraphs whose first places overlap in one document do not link.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     bands, rows = tuned(similarity, recall)
     found = saved(shared(keyed(docs, bands, rows)), "bands")
     rivals = found.where("rival")
     one = rivals.groupBy("hash").agg(F.min(F.struct("doc_id", "start", "stop")).alias("p")).select("hash", "p.*")
-    links = verified(saved(shingle_sets(docs, one), "sets"), rivals.select("band", "hash"), similarity)
-    of = components(links).withColumnRenamed("node", "of")
+    sets = shingle_sets(docs, one).withColumnRenamed("hash", "of").join(one, F.col("of") == F.col("hash")).select("hash", "set", "doc_id", "start", "stop")
+    of = verified(saved(sets, "sets"), rivals.select("band", "hash"), similarity).withColumnRenamed("node", "of")
     places = found.where("not rival").select("hash", "doc_id", "start", "stop")
     linked = one.join(of, F.col("hash") == F.col("of"), "left_semi")
     places = places.unionByName(linked)

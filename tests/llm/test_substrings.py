@@ -105,8 +105,15 @@ def held(spark, rows):
     doc, start, stop, _, shingles, a, z = substrings.paragraphs([r[1] for r in rows])
     sets = [set(shingles[x:y].tolist()) for x, y in zip(a, z, strict=True)]
     group = list(range(len(sets)))
+    places = [(rows[doc[k]][0], int(start[k]), int(stop[k])) for k in range(len(sets))]
+    first = {}
+    for k in range(len(sets)):
+        first[frozenset(sets[k])] = min(first.get(frozenset(sets[k]), places[k]), places[k])
     for i in range(len(sets)):
         for j in range(i):
+            (d, x, y), (e, u, v) = first[frozenset(sets[i])], first[frozenset(sets[j])]
+            if sets[i] != sets[j] and d == e and x < v and u < y:
+                continue
             if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
@@ -141,3 +148,15 @@ def test_buckets_of_many_blocks(spark, monkeypatch):
     rows = [(i, changed(base, i % 4), None, None) for i in range(60)]
     rows += [(100 + i, f"{phrase} {' '.join(prose(1).split()[:9])} {phrase}", None, None) for i in range(60)]
     held(spark, rows)
+
+
+def test_small_and_large_pairs_count_alike():
+    import numpy as np
+
+    gen = np.random.default_rng(0)
+    sets = [np.unique(gen.integers(0, 40, gen.integers(1, 20)).astype(np.uint64)) for _ in range(60)]
+    cell = np.repeat(np.arange(6), 10)
+    want = {(i, j): n for i in range(60) for j in range(i + 1, 60) if cell[i] == cell[j] and (n := len(np.intersect1d(sets[i], sets[j])))}
+    assert {(int(i), int(j)): int(n) for i, j, n in zip(*substrings.pairs_in(cell, sets))} == want
+    large = {(10 * c + i, 10 * c + j): int(n) for c in range(6) for i, common in substrings.pairs_of(sets[10 * c : 10 * c + 10]) for j, n in enumerate(common) if j > i and n}
+    assert large == want
