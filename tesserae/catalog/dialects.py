@@ -92,9 +92,35 @@ def names_of(select: list[Token], dialect: str) -> list[str]:
     return out
 
 
+#: Hints of a table, and what a row lock may ask for.
+TABLE_HINTS = "NOLOCK READUNCOMMITTED READCOMMITTED READCOMMITTEDLOCK REPEATABLEREAD SERIALIZABLE HOLDLOCK READPAST ROWLOCK PAGLOCK TABLOCK TABLOCKX UPDLOCK XLOCK NOWAIT NOEXPAND FORCESEEK FORCESCAN INDEX SNAPSHOT KEEPIDENTITY KEEPDEFAULTS".split()
+LOCKS = ("UPDATE", "SHARE", "NO", "KEY")
+
+
+def without_locks(ts: list[Token], dialect: str) -> list[Token]:
+    """Tokens without what only asks for locks or access paths: WITH (hint, ...) after a table (ms), and FOR UPDATE and the like with OF, NOWAIT and SKIP LOCKED (pg). A result does not depend on either."""
+    out, i = [], 0
+    while i < len(ts):
+        up = [t.upper if t.kind == "word" else t.text for t in ts[i : i + 3]]
+        if dialect == "ms" and up[:2] == ["WITH", "("] and len(up) == 3 and up[2] in TABLE_HINTS:
+            i = closing(ts, i + 1) + 1
+        elif dialect == "pg" and up[:1] == ["FOR"] and len(up) > 1 and up[1] in LOCKS:
+            i += 1
+            while i < len(ts) and ts[i].kind == "word" and ts[i].upper in (*LOCKS, "OF", "NOWAIT", "SKIP", "LOCKED"):
+                i += 1
+                if ts[i - 1].upper == "OF":
+                    i += 1
+                    while i + 1 < len(ts) and ts[i].text in (",", "."):
+                        i += 2
+        else:
+            out.append(ts[i])
+            i += 1
+    return out
+
+
 def to_spark(sql: str, dialect: str = "pg") -> str:
     """A SELECT of a dialect (pg, ms, ch) as Spark SQL. QUALIFY, DISTINCT ON, TOP n, LIMIT n BY and FETCH ... WITH TIES become filters on windows."""
-    ts = tokens(sql.strip().rstrip(";"))
+    ts = without_locks(tokens(sql.strip().rstrip(";")), dialect)
     if not ts or ts[0].upper != "SELECT" or {"UNION", "EXCEPT", "INTERSECT"} & set(clauses(ts)):
         return joined(ts, dialect)
     c = clauses(ts)

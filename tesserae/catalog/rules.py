@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 _PART = re.compile(r"\s*(db=|type=|,|'(?:[^']|'')*'|\"(?:[^\"]|\"\")*\"|[A-Za-z_]\w*|#.*|\S)")
 #: What a rule does, weakest first; of the rules that fit the strongest counts.
-ADD, SKIP, ADD_SUBTREE, SKIP_SUBTREE = range(4)
+SHOW, HIDE, SHOW_BELOW, HIDE_BELOW = range(4)
 
 
 @dataclass(frozen=True)
@@ -29,8 +29,8 @@ class Rule:
     @property
     def effect(self) -> int:
         if self.show:
-            return ADD_SUBTREE if self.content else ADD
-        return SKIP_SUBTREE if self.content else SKIP
+            return SHOW_BELOW if self.content else SHOW
+        return HIDE_BELOW if self.content else HIDE
 
 
 def unquoted(part: str) -> str:
@@ -102,7 +102,7 @@ def matches(db: str) -> Column:
 def shown(objects: DataFrame, show_all: bool, rules: list[Rule], db: str = "") -> DataFrame:
     """objects with shown: whether the rules let each through.
 
-    objects: id, parent (id or null), name, qname, kind. The strongest rule that fits an object decides; where only SHOW ALL or nothing does, an ancestor shown with CONTENT lets it in, and an ancestor hidden with CONTENT hides all below. Rules are few and broadcast; containers nest at most three deep, so ancestors are three joins.
+    objects: id, parent (id or null), name, qname, kind. The strongest rule that fits an object decides; where only SHOW ALL or nothing does, an ancestor shown with CONTENT lets it in, and an ancestor hidden with CONTENT hides all below. Rules are few and broadcast; containers nest at most three deep, so ancestors are three joins; deeper ones are an error.
     """
     spark = objects.sparkSession
     fits = objects.crossJoin(F.broadcast(rules_frame(spark, rules))).where(matches(db)).groupBy("id").agg(F.max("effect").alias("effect"))
@@ -110,9 +110,10 @@ def shown(objects: DataFrame, show_all: bool, rules: list[Rule], db: str = "") -
     up = rows.select(F.col("id").alias("p_id"), F.col("parent").alias("p_parent"), F.col("effect").alias("p_effect"))
     now = rows.withColumn("above", F.col("parent")).withColumn("open", F.lit(False)).withColumn("shut", F.lit(False))
     for _ in range(3):
-        now = now.join(up, F.col("above") == F.col("p_id"), "left").withColumn("open", F.col("open") | F.coalesce(F.col("p_effect") == ADD_SUBTREE, F.lit(False))).withColumn("shut", F.col("shut") | F.coalesce(F.col("p_effect") == SKIP_SUBTREE, F.lit(False))).withColumn("above", F.col("p_parent")).drop("p_id", "p_parent", "p_effect")
-    own = F.when(F.col("effect").isNull(), F.lit(show_all) | F.col("open")).otherwise(F.col("effect").isin(ADD, ADD_SUBTREE))
-    return now.withColumn("shown", own & ~F.col("shut")).drop("effect", "above", "open", "shut")
+        now = now.join(up, F.col("above") == F.col("p_id"), "left").withColumn("open", F.col("open") | F.coalesce(F.col("p_effect") == SHOW_BELOW, F.lit(False))).withColumn("shut", F.col("shut") | F.coalesce(F.col("p_effect") == HIDE_BELOW, F.lit(False))).withColumn("above", F.col("p_parent")).drop("p_id", "p_parent", "p_effect")
+    deep = F.when(F.col("above").isNotNull(), F.raise_error(F.lit("objects nest deeper than three containers")).cast("boolean")).otherwise(F.lit(True))
+    own = F.when(F.col("effect").isNull(), F.lit(show_all) | F.col("open")).otherwise(F.col("effect").isin(SHOW, SHOW_BELOW))
+    return now.withColumn("shown", own & ~F.col("shut") & deep).drop("effect", "above", "open", "shut")
 
 
 _DEF = r"([A-Za-z_]\w*(?:[ \t]+[A-Za-z_]\w*){0,2})[ \t]+([A-Za-z_]\w*(?:\s*\.\s*[A-Za-z_]\w*)*)\s*(\([^;>]*?\))?"

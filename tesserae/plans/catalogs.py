@@ -153,10 +153,10 @@ def _edges(t):
     return c.union(n).union(s)
 
 
-@_r.query(f"WITH RECURSIVE e AS ({_FK}), w(seed, node, depth) AS (SELECT DISTINCT src, src, 0 FROM e WHERE src LIKE 'c1%' UNION SELECT seed, dst, depth + 1 FROM w JOIN e ON node = src) SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL")
+@_r.query(f"WITH RECURSIVE e AS ({_FK}), w(seed, node, depth) AS (SELECT DISTINCT src, src, 0 FROM e UNION SELECT seed, dst, depth + 1 FROM w JOIN e ON node = src) SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL")
 def graph_closure(t):
     e = _edges(t)
-    return graphs.reachable(e, e.where("src LIKE 'c1%'").select(F.col("src").alias("node")).distinct())
+    return graphs.reachable(e, e.select(F.col("src").alias("node")).distinct())
 
 
 @_r.query(f"WITH RECURSIVE e AS ({_FK}), w(seed, node, depth) AS (SELECT 'r1', 'r1', 0 UNION SELECT seed, src, depth + 1 FROM w JOIN e ON node = dst) SELECT seed, node, min(depth) AS depth FROM w GROUP BY ALL")

@@ -83,6 +83,32 @@ def dml_merge_output(t):
     return _merge(t).where("action IS NOT NULL").groupBy("action").agg(F.count(F.lit(1)).alias("n"))
 
 
+_NULLED = "SELECT nullif(p_partkey % 500, 7) AS k, p_partkey AS v FROM part WHERE p_partkey % 3 = 0"
+_ONCE = "SELECT CASE WHEN p_partkey = 400 THEN NULL ELSE p_partkey END AS k, -p_partkey AS v FROM part WHERE p_partkey <= 450 AND p_partkey % 2 = 0"
+
+
+@_r.query(f"WITH t AS ({_NULLED}), s AS ({_ONCE}) SELECT t.k, coalesce(s.v, t.v) AS v FROM t LEFT JOIN s ON t.k = s.k UNION ALL SELECT s.k, s.v FROM s WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.k = s.k)")
+def dml_merge_null_keys(t):
+    """Null keys on both sides match nothing and stay; repeated keys of the target are all changed."""
+    target = t.part.where("p_partkey % 3 = 0").select(F.nullif(F.col("p_partkey") % 500, F.lit(7)).alias("k"), F.col("p_partkey").alias("v"))
+    source = t.part.where("p_partkey <= 450 AND p_partkey % 2 = 0").select(F.nullif("p_partkey", F.lit(400)).alias("k"), (-F.col("p_partkey")).alias("v"))
+    return dml.merge(target, source, "k", matched=[(F.lit(True), "update", {"v": F.col("s_v")})], not_matched=[(F.lit(True), {"k": F.col("s_k"), "v": F.col("s_v")})]).drop("action")
+
+
+@_r.query(f"WITH t AS (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 3 = 0), s AS (SELECT nullif(p_partkey % 300, 5) AS k, min(p_size) AS v FROM part WHERE p_partkey % 300 <> 5 GROUP BY 1 UNION ALL SELECT NULL, p_size FROM part WHERE p_partkey % 300 = 5) SELECT * FROM t UNION ALL SELECT * FROM s WHERE s.k IS NULL OR NOT EXISTS (SELECT 1 FROM t WHERE t.k = s.k)")
+def dml_insert_repeated_keys(t):
+    """DO NOTHING with keys that stand several times in the rows: one is inserted; null keys all are."""
+    rows = t.part.select(F.nullif(F.col("p_partkey") % 300, F.lit(5)).alias("k"), F.col("p_size").alias("v"))
+    return dml.upsert(t.part.where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v")), rows, ["k"], "nothing")
+
+
+@_r.query("WITH o AS (SELECT nullif(c_custkey, 9) AS k, nullif(c_nationkey, 3) AS a, nullif(c_nationkey, 4) AS b FROM customer WHERE c_custkey % 7 <> 0), n AS (SELECT nullif(c_custkey, 9) AS k, nullif(c_nationkey, 4) AS a, nullif(c_nationkey, 3) AS b FROM customer WHERE c_custkey % 5 <> 0) SELECT CASE WHEN o.hit THEN o.k ELSE n.k END AS k, CASE WHEN o.hit IS NULL THEN 'I' WHEN n.hit IS NULL THEN 'D' ELSE 'U' END AS operation FROM (SELECT *, true AS hit FROM o) o FULL JOIN (SELECT *, true AS hit FROM n) n ON o.k IS NOT DISTINCT FROM n.k WHERE o.hit IS NULL OR n.hit IS NULL OR o.a IS DISTINCT FROM n.a OR o.b IS DISTINCT FROM n.b")
+def dml_changes_with_nulls(t):
+    """A null that moves to the next column is a change; a null key that stays is none."""
+    version = lambda keep, a, b: t.customer.where(keep).select(F.nullif("c_custkey", F.lit(9)).alias("k"), F.nullif("c_nationkey", F.lit(a)).alias("a"), F.nullif("c_nationkey", F.lit(b)).alias("b"))
+    return dml.changes_between(version("c_custkey % 7 <> 0", 3, 4), version("c_custkey % 5 <> 0", 4, 3), ["k"])
+
+
 @_r.query("SELECT p_partkey, p_size AS old_size, p_size * 2 AS new_size FROM part WHERE p_brand = 'Brand#11'")
 def dml_returning_old_new(t):
     return t.part.where("p_brand = 'Brand#11'").select("p_partkey", F.col("p_size").alias("old_size"), (F.col("p_size") * 2).alias("new_size"))

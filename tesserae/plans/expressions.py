@@ -44,17 +44,15 @@ _r.both("expr_collate", "SELECT n_nationkey, lower(n_name) = lower('BRAZIL') AS
 _r.both("expr_at_time_zone", "SELECT event_id, ts + INTERVAL 2 HOUR AS there FROM events", "SELECT event_id, convert_timezone('UTC', '+02:00', ts) AS there FROM events")
 
 
-@_r.query("SELECT a.event_id, count(*) AS n FROM (SELECT * FROM events WHERE event_id < 200) a JOIN (SELECT * FROM events WHERE event_id < 200) b ON a.ts < b.ts + INTERVAL 2 HOUR AND b.ts < a.ts + INTERVAL 2 HOUR GROUP BY a.event_id")
+@_r.query("SELECT event_id, ts < TIMESTAMP '2024-01-15 06:00:00' AND TIMESTAMP '2024-01-10' < ts + INTERVAL 2 HOUR AS here, ts < TIMESTAMP '2024-01-20' AND TIMESTAMP '2024-01-18' < ts + INTERVAL 2 HOUR AS turned, ts < TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-05' < ts + INTERVAL 2 HOUR OR ts = TIMESTAMP '2024-01-05' AS instant FROM events")
 def expr_overlaps(t):
-    """(ts, ts + 2 h) OVERLAPS (ts, ts + 2 h), met in cells of two hours so that nobody is paired with everybody."""
+    """(ts, ts + 2 h) OVERLAPS a period, one with its ends turned, and an instant."""
     from tesserae.operators.joins import overlapping
 
-    ev = t.events.where("event_id < 200").select("event_id", F.col("ts").alias("s"), (F.col("ts") + F.expr("INTERVAL 2 HOUR")).alias("e"))
-    cell = lambda c: F.floor(F.unix_seconds(F.col(c).cast("timestamp")) / 7200)
-    a = ev.withColumn("cell", F.explode(F.sequence(cell("s"), cell("e")))).alias("a")
-    b = ev.withColumn("cell", F.explode(F.sequence(cell("s"), cell("e")))).alias("b")
-    hit = a.join(b, F.col("a.cell") == F.col("b.cell")).where(overlapping(F.col("a.s"), F.col("a.e"), F.col("b.s"), F.col("b.e")))
-    return hit.select(F.col("a.event_id").alias("event_id"), F.col("b.event_id").alias("o")).distinct().groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    at = lambda text: F.lit(text).cast("timestamp_ntz")
+    span = (F.col("ts").cast("timestamp_ntz"), F.col("ts").cast("timestamp_ntz") + F.expr("INTERVAL 2 HOUR"))
+    periods = {"here": ("2024-01-10 00:00:00", "2024-01-15 06:00:00"), "turned": ("2024-01-20 00:00:00", "2024-01-18 00:00:00"), "instant": ("2024-01-05 00:00:00",) * 2}
+    return t.events.select("event_id", *[overlapping(*span, at(a), at(b)).alias(name) for name, (a, b) in periods.items()])
 
 
 _r.both("expr_subscript_slice", "SELECT vec_id, embedding[1] AS first_one, embedding[64] AS last_one, len(embedding[3:10]) AS n FROM embeddings", "SELECT vec_id, element_at(embedding, 1) AS first_one, embedding[63] AS last_one, size(slice(embedding, 3, 8)) AS n FROM embeddings")

@@ -22,6 +22,8 @@ _dialect("sql_top", "ms", "SELECT TOP (5) [c_custkey], ISNULL(c_name, N'none') A
 _dialect("sql_top_with_ties", "ms", "SELECT TOP 7 WITH TIES p_partkey, LEN(p_name) AS n FROM part ORDER BY p_size DESC", "SELECT p_partkey, length(p_name) AS n FROM part QUALIFY rank() OVER (ORDER BY p_size DESC) <= 7")
 _dialect("sql_fetch_with_ties", "pg", "SELECT p_partkey, p_size FROM part ORDER BY p_size FETCH FIRST 9 ROWS WITH TIES", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size) <= 9")
 _dialect("sql_limit_by", "ch", "SELECT c_nationkey, c_custkey FROM customer ORDER BY c_acctbal, c_custkey LIMIT 1, 2 BY c_nationkey", "SELECT c_nationkey, c_custkey FROM customer QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) BETWEEN 2 AND 3")
+_dialect("sql_table_hints", "ms", "SELECT o.o_orderkey, c.c_name FROM orders o WITH (NOLOCK, INDEX(1)) JOIN customer AS c WITH (HOLDLOCK) ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 200000", "SELECT o.o_orderkey, c.c_name FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey WHERE o.o_totalprice > 200000")
+_dialect("sql_for_update", "pg", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0 FOR NO KEY UPDATE OF customer SKIP LOCKED", "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal < 0")
 _dialect("sql_functions_pg", "pg", "SELECT n_nationkey, strpos(n_name, 'A') AS a, array_to_string(string_to_array(n_name, 'A'), '-') AS b, $$it's$$ AS c FROM nation", "SELECT n_nationkey, strpos(n_name, 'A') AS a, array_to_string(string_split(n_name, 'A'), '-') AS b, 'it''s' AS c FROM nation")
 _dialect("sql_functions_ch", "ch", "SELECT argMax(o_orderkey, o_totalprice) AS top, countIf(o_totalprice > 100000) AS n, toYear(max(o_orderdate)) AS y FROM orders", "SELECT arg_max(o_orderkey, o_totalprice) AS top, count(*) FILTER (WHERE o_totalprice > 100000) AS n, year(max(o_orderdate)) AS y FROM orders")
 
@@ -172,7 +174,7 @@ def stream_trigger(t):
     f = f"{shared_dir(t.spark)}/audit-{uuid.uuid4().hex}"
 
     def trigger(rows, batch: int) -> None:
-        rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).write.mode("append").parquet(f"{f}/out")
+        rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last")).write.mode("overwrite").parquet(f"{f}/out/batch={batch}")
 
     ev.source(t.spark, t.sf_dir).writeStream.option("checkpointLocation", f"{f}/state").trigger(availableNow=True).foreachBatch(trigger).start().awaitTermination()
     return t.spark.read.parquet(f"{f}/out").groupBy("event_type").agg(F.sum("n").alias("n"), F.max("last").alias("last"))

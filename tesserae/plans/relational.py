@@ -101,10 +101,10 @@ def join_global_hint(t):
     return t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select("o_orderkey", "n_name")
 
 
-@_r.query("SELECT doc_id, u.i::BIGINT AS pos, u.w AS word FROM (SELECT doc_id, unnest(list_transform(string_split(substr(text, 1, 60), ' '), lambda w, i: {'i': i, 'w': w})) AS u FROM documents)")
+@_r.query("SELECT doc_id, u.i::BIGINT AS pos, u.w AS word FROM (SELECT doc_id, unnest(list_transform(string_split(text, ' '), lambda w, i: {'i': i, 'w': w})) AS u FROM documents)")
 def join_array(t):
     """ARRAY JOIN with the position."""
-    return t.documents.select("doc_id", F.posexplode(F.split(F.substring("text", 1, 60), " ")).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
+    return t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "word")).select("doc_id", (F.col("pos") + 1).cast("bigint").alias("pos"), "word")
 
 
 @_r.query("SELECT p_partkey, unnest(CASE WHEN p_size > 25 THEN [p_size, p_size + 1] ELSE [NULL] END) AS x FROM part")
@@ -338,10 +338,12 @@ def sort_limit_by(t):
     return topk.limit_by(t.orders, 3, ["o_custkey"], F.col("o_totalprice").desc(), F.col("o_orderkey"), offset=1).select("o_custkey", "o_orderkey")
 
 
-@_r.query("SELECT g.k::BIGINT AS k, x.v, last_value(x.v IGNORE NULLS) OVER (ORDER BY g.k) AS filled FROM range(0, 3000, 5) g(k) LEFT JOIN (SELECT p_partkey AS k, p_size AS v FROM part WHERE p_partkey % 35 = 0 AND p_partkey < 3000) x ON x.k = g.k")
+@_r.query("SELECT g.k::BIGINT AS k, x.v, last_value(x.v IGNORE NULLS) OVER (ORDER BY g.k) AS filled FROM range(0, (SELECT max(o_custkey) + 1 FROM orders)) g(k) LEFT JOIN (SELECT o_custkey AS k, count(*) AS v FROM orders GROUP BY 1) x ON x.k = g.k")
 def sort_with_fill(t):
-    rows = t.part.where("p_partkey % 35 = 0 AND p_partkey < 3000").select(F.col("p_partkey").alias("k"), F.col("p_size").alias("v"), F.col("p_size").alias("filled"))
-    return topk.with_fill(rows, "k", 0, 3000, 5, ["filled"])
+    """Customers without orders fill the gaps; the upper bound comes from the data."""
+    rows = t.orders.groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("v")).withColumn("filled", F.col("v"))
+    most = t.orders.agg(F.max("o_custkey")).first()[0]
+    return topk.with_fill(rows, "k", 0, -1 if most is None else most + 1, 1, ["filled"])
 
 
 # Set operations

@@ -21,9 +21,9 @@ def fn_string_dialects(t):
     return t.pages.select("page_id", d.split_part(F.col("url"), "/", 3).alias("host"), d.replace_first(F.col("url"), "[0-9]+", "#").alias("one"), d.quote_literal(F.col("url")).alias("quoted"), d.stuff(F.col("url"), 1, 3, "XY").alias("stuffed"), d.charindex("://", F.col("url")).alias("at"))
 
 
-@_r.query("SELECT doc_id, nfc_normalize(substr(text, 1, 80)) AS n FROM documents")
+@_r.query("SELECT doc_id, nfc_normalize(text) AS n FROM documents")
 def fn_string_normalize(t):
-    return t.documents.select("doc_id", d.normalize_utf8("NFC")(F.substring("text", 1, 80)).alias("n"))
+    return t.documents.select("doc_id", d.normalize_utf8("NFC")(F.col("text")).alias("n"))
 
 
 _r.both("fn_string_format", "SELECT c_custkey, format('{} has {}', c_name, c_nationkey) AS a, printf('%05d', c_custkey) AS b, initcap FROM (SELECT *, upper(left(c_mktsegment, 1)) || lower(substr(c_mktsegment, 2)) AS initcap FROM customer)", "SELECT c_custkey, format_string('%s has %s', c_name, c_nationkey) AS a, format_string('%05d', c_custkey) AS b, initcap(c_mktsegment) AS initcap FROM customer")
@@ -56,12 +56,11 @@ _r.both("fn_array", "SELECT n_nationkey, list_contains([1, n_regionkey], n_natio
 _r.both("fn_array_sets", "SELECT n_nationkey, array_to_string(list_sort(list_intersect([1, 2, 3], [n_regionkey, 3])), ',') AS a, array_to_string(list_sort(list_filter([1, 2, 3], lambda x: x <> n_regionkey)), ',') AS b, list_has_any([1, 2], [n_regionkey]) AS c, array_to_string(list_concat([n_regionkey], [9]), ',') AS d FROM nation", "SELECT n_nationkey, array_join(array_sort(array_intersect(array(1, 2, 3), array(n_regionkey, 3))), ',') AS a, array_join(array_except(array(1, 2, 3), array(n_regionkey)), ',') AS b, arrays_overlap(array(1, 2), array(n_regionkey)) AS c, array_join(concat(array(n_regionkey), array(9)), ',') AS d FROM nation")
 
 
-@_r.query("SELECT vec_id, round(list_sum(embedding[1:5]::DOUBLE[]), 6) AS last_sum, len(embedding) AS n, round(list_dot_product(embedding[1:5]::DOUBLE[], embedding[6:10]::DOUBLE[]), 6) AS dot FROM embeddings")
+@_r.query("SELECT vec_id, round(list_sum(embedding::DOUBLE[]), 6) AS last_sum, len(embedding) AS n, round(list_dot_product(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS dot FROM embeddings")
 def fn_array_numeric(t):
-    five = F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double"))
-    other = F.transform(F.slice("embedding", 6, 5), lambda x: x.cast("double"))
-    dot = F.aggregate(F.zip_with(five, other, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    return t.embeddings.select("vec_id", F.round(F.element_at(d.array_cumsum(five), -1), 6).alias("last_sum"), F.size(d.array_enumerate(F.col("embedding"))).alias("n"), F.round(dot, 6).alias("dot"))
+    whole = F.col("embedding").cast("array<double>")
+    dot = F.aggregate(F.zip_with(whole, F.reverse(whole), lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
+    return t.embeddings.select("vec_id", F.round(F.element_at(d.array_cumsum(whole), -1), 6).alias("last_sum"), F.size(d.array_enumerate(F.col("embedding"))).alias("n"), F.round(dot, 6).alias("dot"))
 
 
 _r.both("fn_map", "SELECT n_nationkey, map([1, 2], [n_name, 'x'])[1] AS a, cardinality(map([1, 2], [n_name, 'x']))::INTEGER AS b, array_to_string(list_sort(map_keys(map([3, n_regionkey + 4], [1, 2]))), ',') AS c FROM nation", "SELECT n_nationkey, map(1, n_name, 2, 'x')[1] AS a, cardinality(map(1, n_name, 2, 'x')) AS b, array_join(array_sort(map_keys(map(3, 1, n_regionkey + 4, 2))), ',') AS c FROM nation")

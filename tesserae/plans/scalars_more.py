@@ -37,10 +37,10 @@ def fn_array_more(t):
     return t.nation.select("n_nationkey", join(d.array_positions(F.array(r, F.lit(1), r, F.lit(2)), 1)).alias("pos"), join(d.array_replace(F.array(r, F.lit(1), F.lit(9)), 1, 7)).alias("rep"), join(d.array_resize(F.array(r), 3, 5)).alias("resized"), join(F.array_prepend(F.array(r), F.lit(8))).alias("pre"), F.size(F.array_distinct(F.array(r, F.lit(1), F.lit(1)))).alias("uniq"), join(F.slice(F.array(F.lit(1), F.lit(2), r), 2, 2)).alias("popped"))
 
 
-@_r.query("SELECT vec_id, round(list_distance(embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]), 6) AS l2, round(list_cosine_distance(embedding[1:8]::DOUBLE[], embedding[9:16]::DOUBLE[]), 6) AS cos FROM embeddings")
+@_r.query("SELECT vec_id, round(list_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS l2, round(list_cosine_distance(embedding::DOUBLE[], list_reverse(embedding)::DOUBLE[]), 6) AS cos FROM embeddings")
 def fn_array_distance(t):
-    a = F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double"))
-    b = F.transform(F.slice("embedding", 9, 8), lambda x: x.cast("double"))
+    a = F.col("embedding").cast("array<double>")
+    b = F.reverse(a)
     return t.embeddings.select("vec_id", F.round(d.l2_distance(a, b), 6).alias("l2"), F.round(d.cosine_distance(a, b), 6).alias("cos"))
 
 
@@ -80,4 +80,4 @@ _r.query("SELECT * REPLACE (upper(c_name) AS c_name) FROM customer", "expr_star_
 _r.query("SELECT s_suppkey, round(s_acctbal, 0) AS s_acctbal FROM supplier", "expr_columns_apply")(lambda t: t.supplier.select("s_suppkey", *[F.round(c, 0).alias(c) for c, k in t.supplier.dtypes if k == "double"]))
 _r.both("expr_is_of", "SELECT o_orderkey, typeof(o_totalprice) IN ('DOUBLE', 'FLOAT') AS num, typeof(o_orderstatus) IN ('INTEGER') AS i FROM orders", "SELECT o_orderkey, typeof(o_totalprice) IN ('double', 'float') AS num, typeof(o_orderstatus) IN ('int') AS i FROM orders")
 _r.both("expr_default_names", 'SELECT count(*) AS "count", max(r_name) AS "max" FROM region', "SELECT count(*) AS count, max(r_name) AS max FROM region")
-_r.both("agg_array_combinator", "SELECT label, round(sum(s), 4) AS s FROM (SELECT label, list_sum(embedding[1:4]::DOUBLE[]) AS s FROM embeddings) GROUP BY label", "SELECT label, round(sum(aggregate(transform(slice(embedding, 1, 4), x -> double(x)), 0D, (a, x) -> a + x)), 4) AS s FROM embeddings GROUP BY label")
+_r.both("agg_array_combinator", "SELECT label, round(sum(s), 4) AS s FROM (SELECT label, list_sum(embedding::DOUBLE[]) AS s FROM embeddings) GROUP BY label", "SELECT label, round(sum(aggregate(transform(embedding, x -> double(x)), 0D, (a, x) -> a + x)), 4) AS s FROM embeddings GROUP BY label")

@@ -117,6 +117,15 @@ def src_openxml(t):
     return readers.open_xml(t.nation.select("n_nationkey", doc.alias("doc")), "doc", "d/r", {"b": "b", "c": "c"})
 
 
+@_r.query("SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS name, c_mktsegment AS seg, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey::VARCHAR END AS nation FROM customer UNION ALL SELECT c_custkey, 'second', NULL, NULL FROM customer")
+def src_openxml_missing(t):
+    """Elements that lack a child or an attribute: its column is null, and the others stay where they belong."""
+    name = F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("<name>"), "c_name", F.lit("</name>"))).otherwise("")
+    nation = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit(" nation='"), F.col("c_nationkey"), F.lit("'"))).otherwise("")
+    doc = F.concat(F.lit("<d><rows><r"), nation, F.lit(">"), name, F.lit("<in><seg>"), "c_mktsegment", F.lit("</seg></in></r><r><name>second</name></r></rows></d>"))
+    return readers.open_xml(t.customer.select("c_custkey", doc.alias("doc")), "doc", "d/rows/r", {"name": "name", "seg": "in/seg", "nation": "@nation"})
+
+
 @_r.query("SELECT range AS number FROM range(5, 1005)")
 def src_numbers(t):
     return readers.numbers(t.spark, 1000, 5)
@@ -135,6 +144,15 @@ def src_range_dictionary(t):
     return readers.range_dictionary(rows, table, "k", "d", "lo", "hi", "half").select("o_orderkey", "half")
 
 
+@_r.query("WITH r AS (SELECT n_regionkey AS k, DATE '1995-01-01' + (100 * n_nationkey)::INTEGER AS lo, DATE '1995-01-01' + (100 * n_nationkey + 700)::INTEGER AS hi, n_name AS v FROM nation), q AS (SELECT o_custkey % 5 AS k, o_orderdate::DATE AS d FROM orders) SELECT q.k, q.d, (SELECT arg_max(r.v, r.lo) FROM r WHERE r.k = q.k AND q.d BETWEEN r.lo AND r.hi) AS v FROM q")
+def src_range_dictionary_repeats(t):
+    """Overlapping ranges, rows that repeat, and rows that no range holds."""
+    day = F.lit("1995-01-01").cast("date")
+    table = t.nation.select(F.col("n_regionkey").alias("k"), F.date_add(day, 100 * F.col("n_nationkey")).alias("lo"), F.date_add(day, 100 * F.col("n_nationkey") + 700).alias("hi"), F.col("n_name").alias("v"))
+    rows = t.orders.select((F.col("o_custkey") % 5).alias("k"), F.to_date("o_orderdate").alias("d"))
+    return readers.range_dictionary(rows, table, "k", "d", "lo", "hi", "v")
+
+
 @_r.query("SELECT o_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY o_custkey")
 def src_table_layout(t):
     """Two tables bucketed alike join without moving either."""

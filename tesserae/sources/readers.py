@@ -96,11 +96,29 @@ def open_json(rows: DataFrame, column: str, schema: str, path: str = "rows") ->
 
 
 def open_xml(rows: DataFrame, column: str, row: str, columns: dict[str, str]) -> DataFrame:
-    """OPENXML: the elements at an XPath as rows, each column from an XPath relative to them."""
+    """OPENXML: the elements at a path (root/.../element) as rows, each column from a path relative to them: child elements, last an attribute as ``@name``. What an element lacks is null."""
+    tree: dict = {}
+    for path in columns.values():
+        at = tree
+        for step in path.split("/"):
+            at = at.setdefault("_" + step[1:] if step.startswith("@") else step, {})
+    ddl = lambda x: "struct<" + ", ".join(f"`{k}`: {ddl(v) if v else 'string'}" for k, v in x.items()) + ">"
+    steps = row.strip("/").split("/")[1:]
+    kind = f"array<{ddl(tree)}>"
+    for k, step in enumerate(reversed(steps)):
+        kind = f"`{step}` {kind}" if k == len(steps) - 1 else f"struct<`{step}`: {kind}>"
+    found = F.from_xml(F.col(column), kind)
+    for step in steps:
+        found = found[step]
     others = [c for c in rows.columns if c != column]
-    found = {name: F.xpath(F.col(column), F.lit(f"{row}/{path}/text()")) for name, path in columns.items()}
-    zipped = F.arrays_zip(*[e.alias(n) for n, e in found.items()])
-    return rows.select(*others, F.explode(zipped).alias("_r")).select(*others, *[F.col("_r")[n].alias(n) for n in columns])
+
+    def value(path: str):
+        out = F.col("_r")
+        for step in path.split("/"):
+            out = out["_" + step[1:] if step.startswith("@") else step]
+        return out
+
+    return rows.select(*others, F.explode(found).alias("_r")).select(*others, *[value(p).alias(n) for n, p in columns.items()])
 
 
 def numbers(spark: SparkSession, n: int, start: int = 0) -> DataFrame:
@@ -118,10 +136,12 @@ def dictionary(rows: DataFrame, table: DataFrame, key: str, attributes: dict[str
 
 
 def range_dictionary(rows: DataFrame, table: DataFrame, key: str, at: str, low: str, high: str, value: str) -> DataFrame:
-    """A dictionary with RANGE: the value whose range holds the date; of several that of the latest start."""
+    """A dictionary with RANGE: the value whose range holds the date; of several that of the latest start. One row for each row."""
     t = table.select(F.col(key).alias("_k"), F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(value).alias("_v"))
-    hit = rows.join(t, (F.col(key) == F.col("_k")) & (F.col(at) >= F.col("_lo")) & (F.col(at) <= F.col("_hi")), "left")
-    return hit.groupBy(*rows.columns).agg(F.max_by("_v", "_lo").alias(value))
+    asked = rows.select(F.col(key).alias("_key"), F.col(at).alias("_at")).distinct()
+    hit = asked.join(t, (F.col("_key") == F.col("_k")) & (F.col("_at") >= F.col("_lo")) & (F.col("_at") <= F.col("_hi")))
+    found = hit.groupBy("_key", "_at").agg(F.max_by("_v", "_lo").alias(value))
+    return rows.join(found, (F.col(key) == F.col("_key")) & (F.col(at) == F.col("_at")), "left").select(*rows.columns, value)
 
 
 def declared(spark: SparkSession, name: str, columns: Sequence[tuple[str, str]], location: str, fmt: str = "csv", **options: str) -> DataFrame:

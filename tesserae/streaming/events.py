@@ -6,9 +6,10 @@ import uuid
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tesserae.session import shared_dir
 
@@ -27,17 +28,22 @@ def source(spark: SparkSession, sf_dir: str, name: str = "events") -> DataFrame:
 
 
 def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """All that the stream gives until its input is read, as a table in the shared folder. In complete mode the last batch is the result."""
+    """All that the stream gives until its input is read, as a table in the shared folder. In complete mode the last batch is the result. A batch that comes again after a failure replaces what it wrote."""
     spark = stream.sparkSession
     folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     out = f"{folder}/out"
 
-    def put(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/_k={k}")
 
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return batches_of(spark, out, stream.schema) if mode != "complete" else spark.read.schema(stream.schema).parquet(out)
+
+
+def batches_of(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """What batches have written below a folder, each under its number."""
+    return spark.read.schema(StructType([*schema.fields, StructField("_k", LongType())])).parquet(folder).drop("_k")
 
 
 def tumbling(events: DataFrame, width: str = "1 day") -> DataFrame:
@@ -74,9 +80,57 @@ def running_totals(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(step, out, "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
-def refreshed(events: DataFrame, view: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A materialised view that is computed anew with each batch (complete mode)."""
-    return view(events)
+def materialized(stream: DataFrame, partial: Callable[[DataFrame], DataFrame], merged: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A materialised view: of each batch its partial result is kept, under the batch's number, and reading merges them. What has come before is not read again."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/view-{uuid.uuid4().hex}"
+    kept = partial(spark.createDataFrame([], stream.schema))
+
+    def put(batch: DataFrame, k: int) -> None:
+        partial(batch).write.mode("overwrite").parquet(f"{folder}/out/_k={k}")
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return merged(batches_of(spark, f"{folder}/out", kept.schema))
+
+
+def refreshable(stream: DataFrame, view: Callable[[DataFrame], DataFrame], after: int = 1) -> DataFrame:
+    """A refreshable view: with every so many batches the view is computed anew over all rows so far and put in the old one's place, under a number of its own; readers see the last whole one."""
+    spark = stream.sparkSession
+    folder = f"{shared_dir(spark)}/refresh-{uuid.uuid4().hex}"
+    versions: list[int] = []
+
+    def put(batch: DataFrame, k: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/_k={k}")
+        if (k + 1) % after == 0:
+            view(batches_of(spark, f"{folder}/rows", stream.schema)).write.mode("overwrite").parquet(f"{folder}/view/{k}")
+            versions.append(k)
+
+    stream.writeStream.option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    schema = view(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(schema).parquet(f"{folder}/view/{versions[-1]}") if versions else spark.createDataFrame([], schema)
+
+
+def notify(messages: DataFrame, channel: str) -> None:
+    """NOTIFY: rows become messages of a channel, a folder that all can reach."""
+    messages.write.mode("append").json(channel)
+
+
+def receive(spark: SparkSession, channel: str, schema: str) -> DataFrame:
+    """RECEIVE: a channel's messages as a stream; each consumer has each message once, by its checkpoint."""
+    return spark.readStream.schema(schema).json(channel)
+
+
+def row_trigger(stream: DataFrame, when: Column, into: list[Column]) -> DataFrame:
+    """A row-level AFTER INSERT trigger: each new row for which the condition holds gives one row of the other table's columns, from expressions over the row."""
+    return run(stream.where(when).select(*into))
+
+
+def lapsed(rows: DataFrame, age: Column, delete_after: str, group_after: str, keys: list[str], **sums: str) -> DataFrame:
+    """TTL with DELETE and GROUP BY: rows older than delete_after (an interval) go, those older than group_after are added up by keys; the others stay. age: how old a row is, as an interval."""
+    old = F.expr(f"INTERVAL {group_after}")
+    live = rows.where(age <= F.expr(f"INTERVAL {delete_after}"))
+    added = live.where(age > old).groupBy(*keys).agg(*[F.expr(f"{f}({c})").alias(c) for c, f in sums.items()])
+    return live.where(age <= old).select(*keys, *sums).unionByName(added)
 
 
 def expired(events: DataFrame, before: str) -> DataFrame:
