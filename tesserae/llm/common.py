@@ -90,22 +90,20 @@ def in_blocks(cells: DataFrame, size: int) -> DataFrame:
 
 
 def first_pairs(cells: DataFrame, size: int) -> DataFrame:
-    """(pair, node, side, known): of each cell (cell, node, known) every block of nodes to be compared in itself (pair is then one of side false alone), and all others with the first. That connects nearly all of a group of near copies, at three rows a node and none a pair."""
+    """(pair, node, side, known): of each cell (cell, node, known) the first block of nodes to be compared in itself (pair is then one of side false alone), and all others with it. That connects nearly all of a group of near copies, at two rows a node and none a pair."""
     rows = in_blocks(cells, size)
-    lead = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.lit(0), F.col("block")))
-    rows = rows.withColumn("to", F.explode(lead))
-    star = (F.col("block") > 0) & (F.col("to") == 0)
-    low, high = F.when(star, F.lit(0)).otherwise(F.col("block")), F.when(star, F.col("block")).otherwise(F.col("to"))
-    return rows.select(F.xxhash64("cell", low, high).alias("pair"), "node", star.alias("side"), "known")
+    with_all = F.when(F.col("block") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    rows = rows.withColumn("to", F.explode(with_all))
+    return rows.select(F.xxhash64("cell", F.lit(0), "to").alias("pair"), "node", (F.col("block") > 0).alias("side"), "known")
 
 
 def other_pairs(cells: DataFrame, size: int) -> DataFrame:
-    """As first_pairs(), the pairs of blocks that it leaves out, where their nodes are not of one known group by now. cells must be the same table; a cell that is one group but for a few nodes costs the blocks of these times all blocks."""
-    rows = in_blocks(cells, size).where("blocks > 2 and block > 0")
+    """As first_pairs(), the blocks and pairs of blocks that it leaves out, where their nodes are not of one known group by now. cells must be the same table; a cell that is one group but for a few nodes costs the blocks of these times all blocks."""
+    rows = in_blocks(cells, size).where("block > 0")
     boxes = rows.groupBy("cell", "block").agg(F.min("known").alias("lo"), F.max("known").alias("hi"))
     mixed, whole = boxes.where("lo <> hi").select("cell", F.col("block").alias("a")), boxes.where("lo = hi").select("cell", "block", "lo")
     other = boxes.select(F.col("cell").alias("c"), F.col("block").alias("b"), (F.col("lo") != F.col("hi")).alias("m"))
-    pairs = mixed.join(other, (F.col("cell") == F.col("c")) & ((F.col("a") < F.col("b")) | ((F.col("a") > F.col("b")) & ~F.col("m"))))
+    pairs = mixed.join(other, (F.col("cell") == F.col("c")) & ((F.col("a") <= F.col("b")) | ~F.col("m")))
     pairs = pairs.select("cell", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     # blocks of one group each need comparing only in cells where such groups differ
     several = whole.groupBy("cell").agg(F.min("lo").alias("x"), F.max("lo").alias("y")).where("x <> y").select(F.col("cell").alias("c"))
@@ -113,7 +111,8 @@ def other_pairs(cells: DataFrame, size: int) -> DataFrame:
     twin = whole.select(F.col("cell").alias("c"), F.col("block").alias("b"), F.col("lo").alias("hi"))
     differ = whole.join(twin, (F.col("cell") == F.col("c")) & (F.col("block") < F.col("b")) & (F.col("lo") != F.col("hi"))).select("cell", F.col("block").alias("a"), "b")
     pairs = pairs.unionByName(differ)
-    sides = pairs.select(F.col("cell").alias("c"), F.xxhash64("cell", "a", "b").alias("pair"), F.explode(F.array(F.struct(F.col("a").alias("at"), F.lit(False).alias("side")), F.struct(F.col("b").alias("at"), F.lit(True).alias("side")))).alias("s"))
+    left, right = (F.struct(F.col(c).alias("at"), F.lit(side).alias("side")) for c, side in (("a", False), ("b", True)))
+    sides = pairs.select(F.col("cell").alias("c"), F.xxhash64("cell", "a", "b").alias("pair"), F.explode(F.when(F.col("a") == F.col("b"), F.array(left)).otherwise(F.array(left, right))).alias("s"))
     sides = sides.select("c", "pair", "s.at", "s.side")
     return rows.join(sides, (F.col("cell") == F.col("c")) & (F.col("block") == F.col("at"))).select("pair", "node", "side", "known")
 

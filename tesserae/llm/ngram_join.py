@@ -316,7 +316,7 @@ def clustered(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, h
     for turn in range(REROUTES + 1):
         rest = saved(undecided(known_now(cells, groups)), "undecided")
         groups = grouped(groups, near_pairs(first_pairs(rest, BLOCK), nodes, hundredths))
-        large = in_blocks(rest, BLOCK).where("blocks > 2")
+        large = in_blocks(rest, BLOCK).where("blocks > 1")
         if large.isEmpty():
             break
         rest = saved(undecided(known_now(large, groups)), "undecided")
@@ -418,8 +418,8 @@ def linked(docs: DataFrame, width: int = SHINGLE, hundredths: int = HUNDREDTHS)
     clusters = clusters.select(F.col("component").alias("cell"), "node")
     sets = saved(sets_of(docs, one.join(clusters, F.col("k") == F.col("node")).select("of", "node"), width), "sets")
     groups = grouped(None, compared(first_pairs(clusters.withColumn("known", F.col("node")), LEAF), sets, hundredths))
-    # pairs of other leaves that are not one component by now
-    large = in_blocks(clusters, LEAF).where("blocks > 2")
+    # other leaves, and pairs of them, that are not one component by now
+    large = in_blocks(clusters, LEAF).where("blocks > 1")
     if not large.isEmpty():
         rest = saved(undecided(known_now(large, groups)), "undecided")
         if not rest.isEmpty():

@@ -184,7 +184,7 @@ def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFram
     alone = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("cell").alias("of"))
     cells = cells.join(alone, F.col("cell") == F.col("of"), "left_semi").withColumn("known", F.col("node"))
     groups = grouped(None, compared(texts, first_pairs(cells, BLOCK), similarity))
-    large = in_blocks(cells, BLOCK).where("blocks > 2")
+    large = in_blocks(cells, BLOCK).where("blocks > 1")
     if large.isEmpty():
         return groups
     rest = in_blocks(saved(undecided(known_now(large, groups)), "undecided"), BLOCK)
