@@ -267,6 +267,8 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
     with open(vocab_path, encoding="utf-8") as f:
         spec = f.read()
     sent = docs.sparkSession.sparkContext.broadcast(spec)  # a file of fixed size
+    # ids and texts take room of their own
+    part_chars = PART_CHARS // 8 if with_ids or with_text else PART_CHARS
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids + ", decoded string" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,6 +279,7 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
         finally:
             bpe.forget()
             gc.enable()
+            pa.default_memory_pool().release_unused()
 
     def encoded_batches(bpe: Merger, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -284,7 +287,7 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
             start = 0
             while start < batch.num_rows:
                 part, chars = [], 0
-                while start + len(part) < batch.num_rows and (not part or chars < PART_CHARS):
+                while start + len(part) < batch.num_rows and (not part or chars < part_chars):
                     text = texts[start + len(part)].as_py() or ""
                     part.append(text)
                     chars += len(text)
@@ -294,13 +297,15 @@ def encoded(docs: DataFrame, vocab_path: str, with_ids: bool = False, with_text:
                     cols[1].append(hashlib.sha256(i.encode()).hexdigest())
                     cols[2].append(hashlib.sha256(d.encode()).hexdigest())
                     if with_ids:
-                        cols[3].append([int(x) for x in i.split()])
+                        cols[3].append(i)
                     if with_text:
                         cols[4].append(d)
                 out = [ids.slice(start, len(part)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if with_ids:
-                    out, names = [*out, pa.array(cols[3], pa.list_(pa.int32()))], [*names, "token_ids"]
+                    flat = np.fromstring(" ".join(filter(None, cols[3])), np.int32, sep=" ")
+                    ends = np.cumsum([0, *cols[0]], dtype=np.int32)
+                    out, names = [*out, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*names, "token_ids"]
                 if with_text:
                     out, names = [*out, pa.array(cols[4], pa.string())], [*names, "decoded"]
                 yield pa.RecordBatch.from_arrays(out, names)
