@@ -21,7 +21,7 @@ from tesserae.llm.fingerprints import mix
 from tesserae.llm.words import parts_of, shingles_of, words_of
 
 #: Words in a shingle; similarity in hundredths; shingles that a coordinate counts on average, at most; children of a tree node; documents of a leaf; documents of a cell that one task compares.
-SHINGLE, HUNDREDTHS, DENSITY, FANOUT, LEAF, BLOCK = 4, 85, 8, 16, 128, 512
+SHINGLE, HUNDREDTHS, DENSITY, FANOUT, LEAF, BLOCK = 4, 85, 8, 16, 256, 512
 #: Blocks up to which a cell that is not one group is compared block by block; a larger one is routed again, this often at most.
 MANY_BLOCKS, REROUTES = 16, 3
 #: Nodes of a route that a task holds; a longer route is one cell under its own name.
