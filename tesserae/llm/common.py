@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -58,6 +59,12 @@ def dropped(df: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def swept(spark: SparkSession) -> None:
+    """Collect the driver's garbage after many small jobs: their broadcasts and shuffles are cleaned everywhere only when their handles are collected, and the heap gives memory back."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b) of bigint ids: (node, component), component being the smallest id reachable. Nodes without a link are not returned.
 
@@ -121,7 +128,9 @@ def grouped(groups: DataFrame | None, links: DataFrame) -> DataFrame:
     """Components (node, component), saved, of those found before and links (a, b)."""
     if groups is not None:
         links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    return saved(components(links), "groups")
+    out = saved(components(links), "groups")
+    swept(links.sparkSession)
+    return out
 
 
 def known_now(cells: DataFrame, groups: DataFrame) -> DataFrame:

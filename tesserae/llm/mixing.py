@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WORD, saved
+from tesserae.llm.common import WORD, saved, swept
 
 CAP = 2.0
 #: Documents of over a 64th of their source's target are rounded first, then those of over a 4096th, then the rest.
@@ -147,6 +147,7 @@ def shared_out(docs: DataFrame, weights: Sequence[float], budget: float, part: i
         done.append(now)
         for r in now.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("t")).collect():
             left[r["source"]] -= r["t"]
+        swept(docs.sparkSession)
         if k:
             todo = attached(todo, state).where("size <= `limit`").select("doc_id", "source", "size", "rid", "c")
     every = rows.where("size = 0").select("doc_id", "source", "size", "rid", "c", F.lit(1.0).alias("w"), F.col("c").alias("copies"))
