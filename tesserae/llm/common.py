@@ -65,28 +65,30 @@ def swept(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def are_stars(links: DataFrame) -> bool:
+    """Whether links (v, m), m below v, are stars: every v has one m, and none is the m of another."""
+    ends = links.select(F.col("v").alias("k"), F.lit(1).alias("low"), F.lit(0).alias("high")).unionByName(links.select(F.col("m").alias("k"), F.lit(0).alias("low"), F.lit(1).alias("high")))
+    one = ends.groupBy("k").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+    return not one.agg(F.max((F.col("low") > 1) | ((F.col("low") == 1) & (F.col("high") == 1)))).first()[0]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of links (a, b) of bigint ids: (node, component), component being the smallest id reachable. Nodes without a link are not returned.
 
-    Alternates large and small stars; each round is two aggregations with partial sums and two joins that adaptive execution may split, so a hub with a third of all links stays spread out. The rounds grow with the logarithm of the nodes.
+    Alternates large and small stars until all links are stars; each round is two aggregations with partial sums and two joins that adaptive execution may split, so a hub with a third of all links stays spread out. The rounds grow with the logarithm of the nodes.
     """
     now = saved(edges.select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("m")).where("v <> m").distinct(), "edges")
-    seen = None
-    while True:
+    while not are_stars(now):
         both = now.unionByName(now.select(F.col("m").alias("v"), F.col("v").alias("m")))
         low = both.groupBy("v").agg(F.min("m").alias("low")).select(F.col("v").alias("u"), F.least("v", "low").alias("low"))
+        # of each link one row at most goes on; equal ones are told apart after the second join only
         large = both.join(low, both["v"] == low["u"]).where("m > v").select(F.col("m").alias("v"), F.col("low").alias("m"))
-        large = large.where("v <> m").distinct()
         low = large.groupBy("v").agg(F.min("m").alias("low")).withColumnRenamed("v", "u")
         small = large.join(low, large["v"] == low["u"]).select(F.when(F.col("m") == F.col("low"), F.col("v")).otherwise(F.col("m")).alias("v"), F.col("low").alias("m"))
         after = saved(small.where("v <> m").distinct(), "edges")
-        state = after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "m").cast("decimal(20,0)"))).first()
         dropped(now)
         now = after
-        if state == seen:
-            break
-        seen = state
-    return now.groupBy("v").agg(F.min("m").alias("component")).unionByName(now.select("m").distinct().select(F.col("m").alias("v"), F.col("m").alias("component"))).groupBy("v").agg(F.min("component").alias("component")).withColumnRenamed("v", "node")
+    return now.select(F.col("v").alias("node"), F.col("m").alias("component")).unionByName(now.select("m").distinct().select(F.col("m").alias("node"), F.col("m").alias("component")))
 
 
 def in_blocks(cells: DataFrame, size: int) -> DataFrame:
@@ -125,10 +127,17 @@ def other_pairs(cells: DataFrame, size: int) -> DataFrame:
 
 
 def grouped(groups: DataFrame | None, links: DataFrame) -> DataFrame:
-    """Components (node, component), saved, of those found before and links (a, b)."""
-    if groups is not None:
-        links = links.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    out = saved(components(links), "groups")
+    """Components (node, component), saved, of those found before and links (a, b). With groups given, a and b are components of theirs, or nodes that they lack, so only what is new is looked through."""
+    found = components(links)
+    if groups is None:
+        out = saved(found, "groups")
+    elif found.isEmpty():
+        out = groups
+    else:
+        of = found.select(F.col("node").alias("was"), F.col("component").alias("now"))
+        old = groups.join(of, F.col("component") == F.col("was"), "left").select("node", F.coalesce("now", "component").alias("component"))
+        new = found.join(groups.select(F.col("node").alias("k")), F.col("node") == F.col("k"), "left_anti")
+        out = saved(old.unionByName(new), "groups")
     swept(links.sparkSession)
     return out
 

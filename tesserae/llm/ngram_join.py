@@ -332,7 +332,7 @@ def clustered(docs: DataFrame, cells: DataFrame, nodes: DataFrame, width: int, h
 
 
 def near_pairs(pairs: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame:
-    """Of each pair of blocks (pair, node, side, known) pairs of nodes whose bound reaches the similarity, of those that join the same two known groups one."""
+    """Of each pair of blocks (pair, node, side, known) the known groups (a, b) that nodes join whose bound reaches the similarity."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.join(nodes.select("k", "point"), F.col("node") == F.col("k")).select(F.col("pair").alias("cell"), "node", "side", "point", "known")
 
@@ -342,7 +342,7 @@ def near_pairs(pairs: DataFrame, nodes: DataFrame, hundredths: int) -> DataFrame
         def done():
             if len(rows) > 1:
                 left, right = [i for i, r in enumerate(rows) if not r[1]], [i for i, r in enumerate(rows) if r[1]]
-                found = {(rows[i][0], rows[j][0]) for i, j in near_groups(left, right, [np.frombuffer(r[2], np.uint8) for r in rows], [r[3] for r in rows], hundredths)} - sent if left else set()
+                found = {(rows[i][3], rows[j][3]) for i, j in near_groups(left, right, [np.frombuffer(r[2], np.uint8) for r in rows], [r[3] for r in rows], hundredths)} - sent if left else set()
                 sent.update(found)
                 if found:
                     a, b = zip(*found, strict=True)
@@ -377,7 +377,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def compared(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
-    """Links (a, b) of each pair of leaves (pair, node, side, known: component so far). sets: k, set."""
+    """Components so far (a, b) that links join in each pair of leaves (pair, node, side, known: component so far). sets: k, set."""
     parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = pairs.join(sets, F.col("node") == F.col("k")).select(F.col("pair").alias("cell"), "node", "side", "known", "set")
 
@@ -391,7 +391,7 @@ def compared(pairs: DataFrame, sets: DataFrame, hundredths: int) -> DataFrame:
                 right = [i for i, r in enumerate(rows) if r[1]]
                 links = joined(left, right, sets, [r[2] for r in rows], hundredths)
                 if links:
-                    yield pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], ["a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[i][2] for i, _ in links], pa.int64()), pa.array([rows[j][2] for _, j in links], pa.int64())], ["a", "b"])
 
         for batch in batches:
             for c, *row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):

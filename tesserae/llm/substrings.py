@@ -193,7 +193,7 @@ def verified(texts: DataFrame, rivals: DataFrame, similarity: float) -> DataFram
         groups = grouped(groups, compared(texts, other_pairs(few, BLOCK), similarity))
     if many.isEmpty():
         return groups
-    dealt = saved(by_shingles(texts, many, similarity), "dealt")
+    dealt = saved(by_shingles(texts, known_now(many, groups), similarity), "dealt")
     groups = grouped(groups, compared(texts, first_pairs(dealt, BLOCK), similarity))
     rest = saved(undecided(known_now(dealt, groups)), "undecided")
     return groups if rest.isEmpty() else grouped(groups, compared(texts, other_pairs(rest, BLOCK), similarity))
@@ -247,7 +247,7 @@ def pairs_of(sets: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) in each pair of blocks (pair, node, side, known), of a large pair only such as join two groups. Small pairs are looked through many at a time."""
+    """Known groups (a, b) that links join in each pair of blocks (pair, node, side, known). Small pairs are looked through many at a time."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = pairs.join(texts, F.col("node") == F.col("hash")).select(F.col("pair").alias("cell"), "hash", "side", "known", "doc_id", "start", "stop", "set")
 
@@ -260,7 +260,7 @@ def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
             return ok & ~((doc[i] == doc[j]) & (start[i] < stop[j]) & (start[j] < stop[i]))
 
         def links(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            cell, node, side, known, doc, start, stop = (table.column(c).to_numpy() for c in range(7))
+            cell, _, side, known, doc, start, stop = (table.column(c).to_numpy() for c in range(7))
             sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column(7)]
             sizes = np.array([len(s) for s in sets])
             begin = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
@@ -272,7 +272,8 @@ def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                 i, j, common = pairs_in(cell[small], [sets[k] for k in small])
                 i, j = small[i], small[j]
                 ok = alike([side, doc, start, stop], sizes, i, j, common, np.repeat(own, count)[i])
-                a, b = node[i[ok]].tolist(), node[j[ok]].tolist()
+                ok &= known[i] != known[j]
+                a, b = known[i[ok]].tolist(), known[j[ok]].tolist()
             for k in np.flatnonzero(count > SMALL):
                 rows = slice(begin[k], begin[k] + count[k])
                 cols, some, first = [x[rows] for x in (side, doc, start, stop)], sizes[rows], {}
@@ -289,8 +290,8 @@ def compared(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame
                     for j in near[alike(cols, some, i, near, common[near], own[k])].tolist():
                         if (x := find(i)) != (y := find(j)):
                             group[x] = y
-                            a.append(int(node[rows][i]))
-                            b.append(int(node[rows][j]))
+                            a.append(int(known[rows][i]))
+                            b.append(int(known[rows][j]))
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
