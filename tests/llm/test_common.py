@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,42 @@ def test_components_by_union(spark):
     assert got == {1: 1, 2: 1, 3: 1, 30: 1, 10: 10, 11: 10, **{100 + i: 100 for i in range(50)}}
 
 
+def union(edges) -> dict[int, int]:
+    """Smallest node that each node of edges reaches."""
+    low = {n: n for e in edges if e[0] != e[1] for n in e}
+    todo = True
+    while todo:
+        todo = False
+        for a, b in edges:
+            if a != b and low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                todo = True
+    return low
+
+
+@pytest.mark.parametrize("shape", ["chain", "mixed"])
+def test_components_of_long_chains_and_random_links(spark, shape):
+    rng = random.Random(4)
+    ids = rng.sample(range(10_000), 300)
+    edges = list(zip(ids, ids[1:], strict=False)) if shape == "chain" else [tuple(rng.choices(ids, k=2)) for _ in range(200)]
+    got = {r["node"]: r["component"] for r in common.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    assert got == union(edges)
+    assert common.components(spark.createDataFrame([(1, 1)], "a bigint, b bigint")).collect() == []
+
+
+def test_groups_grow_by_links_of_known_groups(spark):
+    """Links name components known by then, or nodes new to them; without links the groups stay."""
+    links = lambda rows: spark.createDataFrame(rows, "a bigint, b bigint")
+    first, then = [(9, 4), (4, 7), (1, 2), (20, 21)], [(4, 1), (20, 30), (40, 41)]
+    groups = common.grouped(None, links(first))
+    more = common.grouped(groups, links(then))
+    as_dict = lambda df: {r["node"]: r["component"] for r in df.collect()}
+    assert as_dict(groups) == union(first)
+    assert as_dict(more) == union(first + then)
+    assert more.count() == 10
+    assert as_dict(common.grouped(more, links([]))) == as_dict(more)
+
+
 def test_runs_are_cut_between_values(spark):
     import pyarrow as pa
 
