@@ -157,9 +157,10 @@ def src_foreign_table(t):
     """A foreign table: a table of another database under a name here."""
     import uuid
 
-    url, name, driver = f"jdbc:derby:memory:f{uuid.uuid4().hex};create=true", f"tesserae_{uuid.uuid4().hex}", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    t.nation.select("n_nationkey").write.format("jdbc").options(url=url, dbtable="far", driver=driver).save()
-    t.spark.sql(f"CREATE TABLE {name} USING jdbc OPTIONS (url '{url}', dbtable 'far', driver '{driver}')")
+    from tesserae.sources.embedded import DRIVER, embedded
+
+    url, name = embedded(t.spark, {"far": t.nation.select("n_nationkey")}), f"tesserae_{uuid.uuid4().hex}"
+    t.spark.sql(f"CREATE TABLE {name} USING jdbc OPTIONS (url '{url}', dbtable 'far', driver '{DRIVER}')")
     return t.spark.table(name).where("n_nationkey > 20").select("n_nationkey")
 
 
