@@ -10,6 +10,7 @@ from tesserae.plans.catalogs import NEW_SCRIPT, OLD_SCRIPT, values
 from tesserae.plans.registry import Registry
 from tesserae.session import shared_dir
 from tesserae.sources import readers, writers
+from tesserae.sources.embedded import DRIVER, embedded
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.QUERIES, _r.ORACLE_SQL
@@ -79,10 +80,8 @@ def src_library_list(t):
 @_r.query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
 def src_jdbc(t):
     """Catalog queries over JDBC, here an embedded database, one connection each."""
-    url = f"jdbc:derby:memory:t{uuid.uuid4().hex};create=true"
-    driver = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
-    t.nation.write.format("jdbc").options(url=url, dbtable="nation", driver=driver, createTableColumnTypes="n_name varchar(64)").save()
-    return readers.read_jdbc(t.spark, url, {"nation": 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_regionkey" = 1'}, driver)["nation"]
+    url = embedded(t.spark, {"nation": t.nation})
+    return readers.read_jdbc(t.spark, url, {"nation": 'SELECT "n_nationkey", "n_name" FROM nation WHERE "n_regionkey" = 1'}, DRIVER)["nation"]
 
 
 @_r.query("SELECT n_regionkey AS schema, n_name FROM nation WHERE n_regionkey IN (1, 3)")

@@ -9,7 +9,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NAMES = ("src_foreign_table",)
+NAMES = ("src_foreign_table", "src_jdbc")
 
 RUN = """
 import importlib.util, json, sys
