@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.operators.topk import limit_by
 from tesserae.session import saved
 
 
@@ -55,6 +56,15 @@ def any_join(left: DataFrame, right: DataFrame, on: Sequence[str], order: Sequen
     return left.join(one, list(on), how)
 
 
+def lateral_limit(left: DataFrame, right: DataFrame, on: dict[str, str], n: int, *order: Column, how: str = "inner") -> DataFrame:
+    """left, LATERAL (SELECT * FROM right WHERE its keys = left's ORDER BY order LIMIT n); on names right's key of each of left's, how "left" keeps rows of left without any.
+
+    Spark's own plan for this numbers a key's rows as they come out of a shuffle after the sort, in any order on a cluster. Here the window has the order itself, and tasks cut a key to n rows before the shuffle (Spark does so for n up to 1,000).
+    """
+    first = limit_by(right, n, list(on.values()), *order).alias("_right")
+    return left.alias("_left").join(first, [F.col(f"_left.`{a}`") == F.col(f"_right.`{b}`") for a, b in on.items()], how)
+
+
 def numbered(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """df with the position of each row in this total order, from 1.
 

@@ -21,10 +21,14 @@ _r.both("join_full", "SELECT a.k AS a, b.k AS b FROM (SELECT c_custkey AS k FROM
 _r.both("join_using", "SELECT k, a.x, b.y FROM (SELECT c_nationkey AS k, c_custkey AS x FROM customer) a JOIN (SELECT s_nationkey AS k, s_suppkey AS y FROM supplier) b USING (k)")
 _r.both("join_natural", "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation) a NATURAL JOIN (SELECT s_nationkey AS k, s_suppkey FROM supplier) b")
 _r.both("join_natural_full", "SELECT * FROM (SELECT n_nationkey AS k, n_name FROM nation WHERE n_nationkey < 15) a NATURAL FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 9 GROUP BY 1) b")
-_r.both("join_lateral", "SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x")
 _r.both("join_lateral_left", "SELECT c_custkey, x.n FROM customer LEFT JOIN LATERAL (SELECT count(*) AS n FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000) x ON true")
 
 
+@_r.query("SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) x")
+def join_lateral(t):
+    return joins.lateral_limit(t.customer, t.orders, {"c_custkey": "o_custkey"}, 2, F.col("o_totalprice").desc_nulls_last(), F.col("o_orderkey").asc_nulls_last()).select("c_custkey", "o_orderkey")
+
+
 @_r.query("SELECT c_custkey, x.o_orderkey FROM customer, LATERAL (SELECT o_orderkey FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000) x")
 def join_cross_apply(t):
     c, o = t.customer.alias("c"), t.orders.alias("o")

@@ -9,7 +9,7 @@ import sys
 import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-NAMES = ("src_foreign_table", "src_jdbc")
+NAMES = ("src_foreign_table", "src_jdbc", "join_lateral")
 
 RUN = """
 import importlib.util, json, sys
@@ -21,7 +21,7 @@ compare = importlib.util.module_from_spec(spec)
 spec.loader.exec_module(compare)
 from pyspark.sql import SparkSession
 
-conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": f"file://{folder}/shared", "spark.sql.warehouse.dir": f"file://{folder}/warehouse"}
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.driver.host": "127.0.0.1", "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.checkpoint.dir": f"file://{folder}/shared", "spark.sql.warehouse.dir": f"file://{folder}/warehouse"}
 spark = SparkSession.builder.config(map=conf).getOrCreate()
 spark.sparkContext.setLogLevel("OFF")
 said, sf = {}, "/root/testdata/sf0.01"
